@@ -1,8 +1,8 @@
 """Order-preserving packing of token sequences into windows (operator 8).
 
 Documents are dealt into hash groups of about equal text. A group's documents, in order of id, make one stream of tokens.
-Windows are cut at document ends, sentence ends and, where none lies within a window, after a full window. Dynamic
-programming over these places minimises padding plus the penalties of cuts inside documents; as padding grows by one
+Windows are cut at document ends, sentence ends or, at a higher penalty, when they are full. Dynamic programming over
+these places minimises padding plus the penalties of cuts inside documents plus a cost per window; as padding grows by one
 with each place that a window falls short, the best start of a window is the least of (cost + position) over the places
 in reach, which a monotone queue keeps. Windows whose length is a power of two aren't padded: they are further starts."""
 
@@ -51,10 +51,10 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
+def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int, window_cost: float = 0.0) -> list[int]:
     """The places (ascending, above 0, gaps of at most window) at which windows end, at least cost; the last is one.
 
-    cost(j) = penalty(j) + the least of cost(i) + padding(j - i) over places i (or 0) in reach."""
+    cost(j) = penalty(j) + window_cost + the least of cost(i) + padding(j - i) over places i (or 0) in reach."""
     powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
     at, cost, best = [0, *places.tolist()], [0.0], [0]
     index = {0: 0}
@@ -69,7 +69,7 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[
             k = index.get(here - p)
             if k is not None and cost[k] < least:
                 least, start = cost[k], k
-        cost.append(least + penalty)
+        cost.append(least + penalty + window_cost)
         best.append(start)
         index[here] = j
         key = cost[j] + here
@@ -84,26 +84,22 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[
 
 
 def cut_places(ends: list[np.ndarray], totals: list[int], window: int, split: float, hard: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places where windows may end and their penalties. ends: sentence ends in each document; totals: its tokens."""
-    places, penalties, base = [], [], 0
-    for inner, total in zip(ends, totals, strict=True):
-        inner = inner[(inner > 0) & (inner < total)]
-        known = np.concatenate([inner, [total]]).astype(np.int64)
-        kinds = np.full(len(known), split)
-        kinds[-1] = 0
-        gaps = np.diff(known, prepend=0)
-        if (far := np.flatnonzero(gaps > window)).size:
-            more = np.concatenate([np.arange(known[k] - gaps[k] + window, known[k], window) for k in far])
-            known, kinds = np.concatenate([known, more]), np.concatenate([kinds, np.full(len(more), hard)])
-            order = np.argsort(known, kind="stable")
-            known, kinds = known[order], kinds[order]
-        places.append(known + base)
-        penalties.append(kinds)
-        base += total
-    return np.concatenate(places), np.concatenate(penalties)
-
-
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, split_penalty: float = 1.0, hard_penalty: float = 2.0,
+    """Places where windows may end and their penalties. ends: sentence ends in each document; totals: its tokens.
+
+    Places: document ends (no penalty), sentence ends (split), and (hard) whatever lies a full window behind one of
+    these or behind the last such multiple, so that no gap is wider than a window."""
+    bases = np.concatenate([[0], np.cumsum(totals)])
+    inner = np.concatenate([e + b for e, b in zip(ends, bases[:-1], strict=True)]).astype(np.int64)
+    soft = np.union1d(inner, bases[1:])
+    full = np.union1d(soft + window, np.arange(window, bases[-1], window))
+    full = np.setdiff1d(full[full < bases[-1]], soft, assume_unique=True)
+    places = np.concatenate([soft, full])
+    penalties = np.concatenate([np.where(np.isin(soft, bases), 0.0, split), np.full(len(full), hard)])
+    order = np.argsort(places)
+    return places[order], penalties[order]
+
+
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, split_penalty: float = 2.0, hard_penalty: float = 8.0, window_cost: float = 8.0,
          group_bytes: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of packed windows: (id, start, length, ids, doc_tokens, sequence_id, offset); ids is binary, little-endian
     unsigned 32 bit.
@@ -117,7 +113,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
 
     def packed(group: int, keys: list, tokens: list[bytes], ends: list[np.ndarray]) -> pa.RecordBatch:
         totals = [len(x) // 4 for x in tokens]
-        cuts = choose_cuts(*cut_places(ends, totals, window, split_penalty, hard_penalty), window)
+        cuts = choose_cuts(*cut_places(ends, totals, window, split_penalty, hard_penalty), window, window_cost)
         rows: list[tuple] = []
         doc, base, opened = 0, 0, 0
         for k, cut in enumerate(cuts):
