@@ -68,7 +68,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     """(64, words): bit b of fingerprint 64 w + i is bit i of word w of plane b. Padding repeats the last fingerprint."""
     padded = np.concatenate([fps, np.repeat(fps[-1:], -len(fps) % 64)])
     bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T.reshape(64, -1, 64), axis=2, bitorder="little").view("<u8")[..., 0]
+    return np.ascontiguousarray(np.packbits(bits.T.reshape(64, -1, 64), axis=2, bitorder="little")).view("<u8")[..., 0]
 
 
 def over(counters: list[np.ndarray], radius: int) -> np.ndarray:
