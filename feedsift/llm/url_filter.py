@@ -54,7 +54,11 @@ def ngrams(host: Column, path: Column, sizes: Sequence[int] = (3, 4, 5)) -> Colu
 
     def of(mark: str, text: Column) -> list[Column]:
         framed = F.concat(F.lit("^"), text, F.lit("$"))
-        return [F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - (n - 1), F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n)))) for n in sizes]
+
+        def grams(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - (n - 1), F.lit(1))), lambda i: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))))
+
+        return [grams(n) for n in sizes]
 
     return F.concat(*of("h", host), *of("p", F.lower(path)))
 
