@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BUCKET, bucket_of, buckets, whole_text
-from .pieces import PieceTable, byte_batches
+from .pieces import PieceTable, encode_pieces
 from .token_counts import tokenizer
 
 #: Bits of a sequence_id that number the windows of a group.
 WINDOW_BITS = 26
-SENTENCE_END = (".", "!", "?", "\n", "。", "！", "？", '."', '!"', '?"')
+SENTENCE_END = {".", "!", "?", "\n", "。", "！", "？"}
 
 
 class Ids(PieceTable):
@@ -40,10 +40,10 @@ class Ids(PieceTable):
         self.lengths, self.ends = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
 
     def add(self, new: list[str]) -> None:
-        found = [np.array(e.ids, dtype="<u4").tobytes() for batch in byte_batches(new) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        found = encode_pieces(self.tokenizer, new)
         self.ids += found
         self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4])
-        self.ends = np.concatenate([self.ends, np.fromiter((x.endswith(SENTENCE_END) for x in new), dtype=bool, count=len(new))])
+        self.ends = np.concatenate([self.ends, np.fromiter((x[-1:] in SENTENCE_END for x in new), dtype=bool, count=len(new))])
 
 
 @lru_cache(maxsize=1)
@@ -55,27 +55,38 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int, window_c
     """The places (ascending, above 0, gaps of at most window) at which windows end, at least cost; the last is one.
 
     cost(j) = penalty(j) + window_cost + the least of cost(i) + padding(j - i) over places i (or 0) in reach."""
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
-    at, cost, best = [0, *places.tolist()], [0.0], [0]
-    index = {0: 0}
-    queue: deque[int] = deque([0])  # of places in reach, cost + position rising
-    for j, penalty in enumerate(penalties.tolist(), 1):
-        here = at[j]
-        while here - at[queue[0]] > window:
-            queue.popleft()
-        i = queue[0]
-        least, start = cost[i] + at[i] + window - here, i
-        for p in powers:
-            k = index.get(here - p)
-            if k is not None and cost[k] < least:
-                least, start = cost[k], k
-        cost.append(least + penalty + window_cost)
+    line = np.concatenate([[0], places])
+    index = np.full(int(line[-1]) + 1, -1, dtype=np.int64)
+    index[line] = np.arange(len(line))
+    # the places a power of two before each place, as one list with bounds
+    hits = [(j, index[line[j] - p]) for p in (1 << k for k in range(window.bit_length())) if p < window for j in [np.flatnonzero(line >= p)]]
+    ends = np.concatenate([j[i >= 0] for j, i in hits] or [np.zeros(0, dtype=np.int64)])
+    order = np.argsort(ends, kind="stable")
+    before = np.concatenate([i[i >= 0] for _, i in hits] or [ends])[order].tolist()
+    bounds = np.searchsorted(ends[order], np.arange(len(line) + 2)).tolist()
+    at, cost, best, keys = line.tolist(), [0.0], [0], [0.0]  # keys: cost + position
+    queue: deque[int] = deque([0])  # of places in reach, keys rising
+    pop, push, shift = queue.pop, queue.append, queue.popleft
+    upto = 0
+    for j, (here, penalty) in enumerate(zip(at[1:], (penalties + window_cost).tolist(), strict=True), 1):
+        start = queue[0]
+        while here - at[start] > window:
+            shift()
+            start = queue[0]
+        least = keys[start] + window - here
+        since, upto = upto if j > 1 else bounds[1], bounds[j + 1]
+        if since != upto:
+            for k in before[since:upto]:
+                if cost[k] < least:
+                    least, start = cost[k], k
+        least += penalty
+        cost.append(least)
         best.append(start)
-        index[here] = j
-        key = cost[j] + here
-        while queue and cost[queue[-1]] + at[queue[-1]] >= key:
-            queue.pop()
-        queue.append(j)
+        least += here
+        keys.append(least)
+        while queue and keys[queue[-1]] >= least:
+            pop()
+        push(j)
     cuts, j = [], len(at) - 1
     while j:
         cuts.append(at[j])

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 
 #: Two white spaces in a row, or one other than blank and line feed: such texts are cut by CUT.
-RUN, OTHER = re.compile(r"\s\s"), re.compile(r"[^\S \n]")
+RUNS = ("  ", "\n\n", " \n", "\n ")
+OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CUT = re.compile(r"(?<=\S)(?=\s)")
+#: One blank at most, in front of other signs.
+PLAIN = re.compile(r" ?\S+")
+LONG = 1_000
+RAW = "\0"
 EDGE = re.compile(r"(?<=\S)\s")
 
 
@@ -27,19 +33,24 @@ def slices(text: str, size: int = 1_000_000) -> Iterator[str]:
 
 
 def pieces(text: str) -> list[str]:
-    """Strings that make up the text and can be encoded one by one."""
-    if RUN.search(text) or OTHER.search(text):
-        return CUT.split(text)
+    """Keys of strings that make up the text and can be encoded one by one: `word` stands for a blank and the word, and
+    what follows RAW for itself. So the usual text, words with single blanks between, costs one split a line."""
+    if RAW in text or any(x in text for x in RUNS) or OTHER.search(text):
+        return [RAW + x for x in CUT.split(text)]
     out: list[str] = []
     for k, line in enumerate(text.split("\n")):
         if k:
-            out.append("\n")
+            out.append(RAW + "\n")
         first, *rest = line.split(" ")
-        out.append(first)
-        out += [f" {x}" for x in rest]
+        out.append(RAW + first)
+        out += rest
     return out
 
 
+def piece_of(key: str) -> str:
+    return key[1:] if key[:1] == RAW else f" {key}"
+
+
 class Numbers(dict):
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
@@ -50,7 +61,7 @@ class PieceTable:
     """Numbers the distinct pieces met and keeps, in the same order, what learn says of each. At most about `most` pieces
     stay from batch to batch."""
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], most: int = 400_000):
+    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], most: int = 900_000):
         self.numbers, self.known, self.learn, self.forget, self.most = Numbers(), 0, learn, forget, most
 
     def number(self, text: str) -> np.ndarray:
@@ -61,7 +72,7 @@ class PieceTable:
     def settle(self) -> None:
         """Learns the pieces numbered since the last call."""
         if len(self.numbers) > self.known:
-            self.learn(list(self.numbers)[self.known :])
+            self.learn(list(map(piece_of, islice(self.numbers, self.known, None))))
             self.known = len(self.numbers)
 
     def trim(self) -> None:
@@ -71,15 +82,19 @@ class PieceTable:
             self.forget()
 
 
-def byte_batches(texts: list[str], most_bytes: int = 256_000) -> Iterator[list[str]]:
-    """The texts in order, in batches of about as many bytes each."""
-    batch: list[str] = []
-    held = 0
-    for x in texts:
-        batch.append(x)
-        held += len(x) + 8
-        if held >= most_bytes:
-            yield batch
-            batch, held = [], 0
-    if batch:
-        yield batch
+def encode_pieces(tokenizer, new: list[str], line_pieces: int = 2_000) -> list[bytes]:
+    """The ids of each piece, as little-endian unsigned 32-bit numbers. Pieces without a white space inside go to the
+    tokenizer as lines of longer texts, in batches of like size: a lone line feed is a token of its own between them, at
+    which the ids are cut again. A piece of over LONG characters is encoded alone."""
+    (feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
+    plain, found = [x for x in new if PLAIN.fullmatch(x) and len(x) <= LONG], []
+    lines = [plain[k : k + line_pieces] for k in range(0, len(plain), line_pieces)]
+    for k in range(0, len(lines), 16):
+        for coded in tokenizer.encode_batch_fast(["\n".join(x) for x in lines[k : k + 16]], add_special_tokens=False):
+            ids = np.array(coded.ids, dtype="<u4")
+            held, feeds = ids.tobytes(), (4 * np.flatnonzero(ids == feed)).tolist()
+            found += [held[a:b] for a, b in zip([0, *(f + 4 for f in feeds)], [*feeds, len(held)], strict=True)]
+    if len(found) == len(new):
+        return found
+    known = dict(zip(plain, found, strict=True))
+    return [known[x] if x in known else np.array(tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in new]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import whole_text
-from .pieces import PieceTable, byte_batches
+from .pieces import PieceTable, encode_pieces
 
 
 def tokenizer(path: str):
@@ -35,8 +35,8 @@ class Lengths(PieceTable):
         super().__init__(self.add, self.clear)
 
     def add(self, new: list[str]) -> None:
-        found = [len(e) for batch in byte_batches(new) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-        self.lengths = np.concatenate([self.lengths, np.array(found, dtype=np.int64)])
+        found = np.fromiter(map(len, encode_pieces(self.tokenizer, new)), dtype=np.int64, count=len(new)) // 4
+        self.lengths = np.concatenate([self.lengths, found])
 
     def clear(self) -> None:
         self.lengths = self.lengths[:0]
