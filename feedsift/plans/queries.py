@@ -269,7 +269,9 @@ zones AS (
         CASE WHEN l_orderkey % 400 <> 0 THEN -111 + (l_partkey % 50) * 0.02::DOUBLE + (l_suppkey % 6) * 0.0005::DOUBLE * (l_partkey % 4) END AS lon,
         CASE WHEN l_orderkey % 400 <> 0 THEN 40 + (l_partkey // 50) * 0.02::DOUBLE END AS lat,
         l_linenumber % 2 = 1 AS point, l_returnflag AS source, [p_name, 'State Route ' || (l_partkey % 9)] AS road_names, l_linestatus = 'O' AS north,
-        epoch_us(l_shipdate) AS start_us, epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) * 86400000000 AS end_us
+        epoch_us(l_shipdate) AS start_us, epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) * 86400000000 AS end_us,
+        l_partkey AS part_key, l_orderkey AS order_key, CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE 0.001::DOUBLE * (1 + l_quantity % 10) END AS length,
+        CASE WHEN l_orderkey % 13 <> 0 THEN epoch_us(l_shipdate) + (l_orderkey % 30) * 86400000000 END AS update_us
     FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 20 = 0
 ), kept AS (
     SELECT * FROM zones QUALIFY row_number() OVER (PARTITION BY publisher_key, feature_id ORDER BY pos) = 1

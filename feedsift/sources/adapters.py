@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cadences and versions dealt to the registry's entries.
+#: Cadences and versions dealt to the registry's entries, fields of which a zone needs either.
 CADENCES = ("1m", "5m", "10m", "30m", "60m", "72h", "168h", None)
+VERIFIED = (
+    ("is_start_date_verified", "start_date_accuracy"), ("is_start_position_verified", "beginning_accuracy"),
+    ("is_end_date_verified", "end_date_accuracy"), ("is_end_position_verified", "ending_accuracy"),
+)
 VERSIONS = ("3.1", "4", "4.1", "4.2", "CWZ 1.0")
 
 
@@ -67,7 +71,8 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = F.col("l_suppkey") % 6
     present = F.col("l_orderkey") % 400 != 0
     start = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_partkey").alias("part_key"), F.col("l_orderkey").alias("order_key"),
         F.concat(F.lit("p"), g).alias("publisher_key"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("pos"),
         F.concat("l_orderkey", F.lit("-"), F.when(F.col("l_linenumber") == 7, 1).otherwise(F.col("l_linenumber"))).alias("feature_id"),
         F.when(present, -111 + (F.col("l_partkey") % 50) * 0.02 + g * 0.0005 * (F.col("l_partkey") % 4)).alias("lon"),
@@ -78,6 +83,44 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("start_us"), (start + F.col("l_quantity").cast("long") * 86_400_000_000).alias("end_us"),
         F.when(F.col("l_orderkey") % 13 != 0, start + (F.col("l_orderkey") % 30) * 86_400_000_000).alias("update_us"),
     )
+    a, b = F.array("lon", "lat"), F.array(F.col("lon") + F.col("length"), F.col("lat"))
+    vertices = F.when(F.col("lon").isNull(), F.array().cast("array<array<double>>")).when(F.col("length") == 0, F.array(a)).otherwise(F.array(a, b))
+    return rows.withColumn("vertices", vertices)
+
+
+def zone_verdicts(pairs: DataFrame) -> DataFrame:
+    """Adjudications of some pairs: (left_pos, right_pos, verdict)."""
+    n = (F.col("left_pos") + F.col("right_pos")) % 7
+    return pairs.select("left_pos", "right_pos", F.when(n < 2, "DUPLICATE").when(n == 2, "DISTINCT").when(n == 3, "UNSURE").alias("verdict")).filter("verdict IS NOT NULL")
+
+
+def zone_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of merged zones: each publisher's first zone of a part, with the fields that it states."""
+    pos = F.col("pos")
+
+    def every(n: int, value: str, shift: int = 0):
+        return F.when((pos + shift) % n == 0, value)
+
+    first = zones(spark, sf_dir).groupBy("part_key", "publisher_key").agg(F.min_by(F.struct("pos", "lon", "lat", "length", "update_us", "start_us", "end_us", "direction"), "pos").alias("z"))
+    pairs = [f for i, (v, a) in enumerate(VERIFIED) for f in (every(2, "true", i).alias(v), every(3, "estimated", i).alias(a))]
+    return first.select(F.concat(F.lit("z"), "part_key").alias("zone_id"), "publisher_key", "z.*").select(
+        "zone_id", "publisher_key", "pos", "lon", "lat", "length", "update_us", "direction", F.col("start_us").cast("string").alias("start_date"), F.when(pos % 11 != 0, F.col("end_us").cast("string")).alias("end_date"),
+        F.when(pos % 3 == 0, "some-lanes-closed").when(pos % 3 == 1, "all-lanes-open").alias("vehicle_impact"), F.when(pos % 4 != 0, "channel-device-method").alias("location_method"), *pairs,
+    )
+
+
+def publisher_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trust state of the zones' publishers; some have none."""
+    n = F.sum("s_nationkey")
+    rows = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("p"), F.col("s_suppkey") % 6).alias("publisher_key")).agg(n.alias("n"))
+    return rows.filter("n % 7 <> 0").select("publisher_key", F.element_at(F.array(*(F.lit(s) for s in ("ADMIT", "WATCH", "QUARANTINE"))), (F.col("n") % 3 + 1).cast("int")).alias("state"), (F.col("n") % 5 == 0).alias("decommissioned"))
+
+
+def registry_pulls(spark: SparkSession, sf_dir: str, pulls: int = 8) -> DataFrame:
+    """The entries of several pulls: (publisher_key, host_key, pull, needs_key)."""
+    s, pull = F.col("s_suppkey"), F.col("pull")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.explode(F.sequence(F.lit(1), F.lit(pulls))).alias("pull")).filter((s * 5 + pull) % 11 > 3)
+    return rows.select(F.col("s_name").alias("publisher_key"), F.concat(F.lit("org"), s % 5, F.lit("|feed"), s % 5).alias("host_key"), pull.cast("long").alias("pull"), ((s + pull) % 9 < 2).alias("needs_key"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from feedsift.operators import rules
-from feedsift.plans import queries
+from feedsift.plans import catalog, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,11 +18,11 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_its_sql(spark, con, name):
-    frame = queries.QUERIES[name](spark, SF)
+    frame = catalog.QUERIES[name](spark, SF)
     cols = sorted(frame.columns)
-    want = con.execute(queries.ORACLE_SQL[name])
+    want = con.execute(catalog.ORACLE_SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == cols
     rows = [tuple(r[names.index(c)] for c in cols) for r in want.fetchall()]
