@@ -1,6 +1,6 @@
 """All queries of the feeds, with their SQL."""
 
-from . import merge, queries
+from . import boards, merge, queries, streams
 
-QUERIES = queries.QUERIES | merge.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | merge.ORACLE_SQL
+QUERIES = queries.QUERIES | merge.QUERIES | boards.QUERIES | streams.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | merge.ORACLE_SQL | boards.ORACLE_SQL | streams.ORACLE_SQL

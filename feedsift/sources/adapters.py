@@ -19,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def poll_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per poll: times in microseconds since 1970, measures null where nothing was measured."""
+    return as_polls(table(spark, sf_dir, "events"))
+
+
+def as_polls(events: DataFrame) -> DataFrame:
+    """One row per poll, from a table or a stream of events: times in microseconds since 1970, measures null where nothing was
+    measured."""
     g, k, kind = F.col("g"), F.col("k"), F.col("event_type")
-    events = table(spark, sf_dir, "events").select(
+    events = events.select(
         "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("polled_us"), (F.col("user_id") % 5).cast("int").alias("g"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"), "event_type", "value",
     )
@@ -123,6 +128,20 @@ def registry_pulls(spark: SparkSession, sf_dir: str, pulls: int = 8) -> DataFram
     return rows.select(F.col("s_name").alias("publisher_key"), F.concat(F.lit("org"), s % 5, F.lit("|feed"), s % 5).alias("host_key"), pull.cast("long").alias("pull"), ((s + pull) % 9 < 2).alias("needs_key"))
 
 
+def feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feed_key, body): a feature collection as JSON text for each order's zones; a few bodies are broken or hold no list."""
+    props = F.struct(
+        F.struct("data_source_id", "direction", "road_names", F.col("feature_id").alias("description")).alias("core_details"), F.col("start_us").cast("string").alias("start_date"),
+        F.when(F.col("pos") % 11 != 0, F.col("end_us").cast("string")).alias("end_date"), F.when(F.col("pos") % 3 != 0, "active").otherwise("planned").alias("event_status"),
+    )
+    shape = F.when(F.size("vertices") > 0, F.struct(F.when(F.col("length") == 0, "Point").otherwise("LineString").alias("type"), F.col("vertices").alias("coordinates")))
+    feature = F.struct(F.col("feature_id").alias("id"), F.lit("Feature").alias("type"), props.alias("properties"), shape.alias("geometry"))
+    rows = zones(spark, sf_dir).groupBy(F.col("order_key").alias("feed_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", feature.alias("f")))), lambda x: x["f"]).alias("features"))
+    whole = F.to_json(F.struct(F.struct(F.col("feed_key").cast("string").alias("update_date")).alias("feed_info"), "features"))
+    broken = F.when(F.col("feed_key") % 17 == 0, "[1, 2").when(F.col("feed_key") % 19 == 0, '{"features": 5}').otherwise(whole)
+    return rows.select("feed_key", broken.alias("body"))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free texts as publishers serve them: one row per occurrence."""
     return table(spark, sf_dir, "documents").select(F.col("source").alias("publisher_key"), F.col("doc_id").alias("seen_at"), "text")

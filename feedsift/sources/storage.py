@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once and read back: later rounds do not compute it again, even when executors are lost. The folder is
-    spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in spark.checkpoint.dir; where that is unset (tests), in a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedsift-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once and read back: later rounds do not compute it again, even when executors are lost."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
