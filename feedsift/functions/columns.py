@@ -61,3 +61,14 @@ def point_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Co
     x = EARTH_METRES * F.radians(turned - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
     y = EARTH_METRES * F.radians(lat2 - lat1)
     return F.sqrt(x * x + y * y)
+
+
+def rfc3339_micros(text: Column) -> Column:
+    """Microseconds since 1970 of a date, time and offset; null for a bare date, a missing offset or anything else. A fraction of
+    any length is cut to six digits."""
+    pattern = r"^(\d{4}-\d{2}-\d{2})[Tt](\d{2}:\d{2}:\d{2})(?:\.(\d+))?(?:[Zz]|([+-])(\d{2}):?(\d{2}))$"
+    date, time, fraction, sign, hours, minutes = (F.regexp_extract(text, pattern, k) for k in range(1, 7))
+    whole = F.unix_micros(F.try_to_timestamp(F.concat(date, F.lit(" "), time, F.lit("+00:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX")))
+    part = F.rpad(F.substring(fraction, 1, 6), 6, "0").cast("long")
+    offset = F.coalesce((F.when(hours != "", hours).cast("long") * 60 + F.when(minutes != "", minutes).cast("long")) * 60_000_000, F.lit(0))
+    return F.when(date != "", whole + part - F.when(sign == "-", -offset).otherwise(offset))

@@ -34,3 +34,9 @@ def incidents(rows: DataFrame) -> DataFrame:
 def first_seen(rows: DataFrame) -> DataFrame:
     """Of each blocked text its earliest sighting and how many publishers served it."""
     return rows.filter("verdict = 'BLOCK'").groupBy("digest").agg(F.min("seen_at").alias("first_seen"), F.min_by("publisher_key", "seen_at").alias("first_publisher"), F.count_distinct("publisher_key").alias("publishers"))
+
+
+def unscreened(texts: DataFrame, cache: DataFrame) -> DataFrame:
+    """(digest, text) of each distinct text that has no usable verdict yet."""
+    distinct = texts.filter(F.col("text").isNotNull()).select("text").distinct().select(F.sha2("text", 256).alias("digest"), "text")
+    return distinct.join(cache.filter(F.col("verdict").isin("PASS", "BLOCK")).select("digest"), "digest", "left_anti")
