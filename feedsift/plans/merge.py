@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching, reconcile, republish
 from ..sources import adapters
+from ..sources.storage import written
 from .queries import ZONES, road_sql
 
 
@@ -19,7 +20,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = judged(spark, sf_dir)
+    pairs = written(judged(spark, sf_dir), "matches")  # read for the verdicts and for the pairs: geometry is judged once
     return matching.adjudicated(pairs, adapters.zone_verdicts(pairs))
 
 
