@@ -20,7 +20,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = written(judged(spark, sf_dir), "matches")  # read for the verdicts and for the pairs: geometry is judged once
+    pairs = written(judged(spark, sf_dir), "matches")  # read for the verdicts and for the pairs
     return matching.adjudicated(pairs, adapters.zone_verdicts(pairs))
 
 
