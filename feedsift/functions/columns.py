@@ -63,6 +63,19 @@ def point_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Co
     return F.sqrt(x * x + y * y)
 
 
+def coordinates(vertices: str, axis: int) -> Column:
+    """The longitudes (axis 0) or latitudes (1) of vertices."""
+    return F.transform(vertices, lambda p: F.get(p, F.lit(axis)))
+
+
+def line_length(vertices: str) -> Column:
+    """Metres along a line on the plane about its mean latitude; 0 for a point, null without vertices."""
+    v = F.col(vertices)
+    lat = F.aggregate(v, F.lit(0.0), lambda s, p: s + F.get(p, F.lit(1))) / F.size(v)
+    steps = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: point_distance(F.get(a, F.lit(0)), lat, F.get(b, F.lit(0)), lat) ** 2 + (EARTH_METRES * F.radians(F.get(b, F.lit(1)) - F.get(a, F.lit(1)))) ** 2)
+    return F.when(F.size(v) > 1, F.aggregate(F.transform(steps, F.sqrt), F.lit(0.0), lambda s, x: s + x)).when(F.size(v) == 1, 0.0)
+
+
 def rfc3339_micros(text: Column) -> Column:
     """Microseconds since 1970 of a date, time and offset; null for a bare date, a missing offset or anything else. A fraction of
     any length is cut to six digits."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..functions.columns import EARTH_METRES, normal_road
+from ..functions.columns import EARTH_METRES, coordinates, normal_road
 from ..sources.storage import written
 from .reconcile import REACH, SURE
 
@@ -169,7 +169,7 @@ def canonical(zones: DataFrame, members: DataFrame, grouped: DataFrame) -> DataF
     were dropped at it. The lead is the member of the lowest (publisher, pos)."""
     source = F.struct("publisher_key", "pos", "feature_id", "update_us")
     first = F.struct("publisher_key", "pos")
-    x, y = (F.flatten(F.transform("vertices", lambda p, k=k: F.array(F.get(p, F.lit(k))))) for k in (0, 1))
+    x, y = (coordinates("vertices", k) for k in (0, 1))
     rows = zones.join(members, "pos").groupBy("lead").agg(
         F.min_by(F.struct("vertices", "road_names", "direction", "start_us", "end_us"), first).alias("core"), F.array_sort(F.collect_list(source)).alias("sources"), F.count(F.lit(1)).alias("source_count"),
         F.min(F.array_min(x)).alias("west"), F.max(F.array_max(x)).alias("east"), F.min(F.array_min(y)).alias("south"), F.max(F.array_max(y)).alias("north"),
