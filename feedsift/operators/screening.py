@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REDACTED = "[withheld pending screening]"
+#: Fixed value: what stands in place of a text that did not pass.
+REDACTED = "[redacted: failed screening]"
 
 
 def screen(texts: DataFrame, needles: Sequence[tuple[str, str]]) -> DataFrame:

@@ -69,6 +69,19 @@ def registry_pull(spark: SparkSession, sf_dir: str, pull: int) -> DataFrame:
     return rows.filter("source_key % 10 <> 3") if pull == 2 else rows.filter("source_key % 13 <> 4")
 
 
+def registry_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_key, entry): the registry's entries as JSON text; some lack a field, one in 19 is broken."""
+    key = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    url = F.concat(F.lit("https://feeds.example/"), key)
+    fields = [
+        F.when(key % 17 != 0, F.col("n_name")).alias("issuingorganization"), F.col("s_name").alias("feedname"), F.element_at(F.array(*(F.lit(x) for x in VERSIONS)), (key % 5 + 1).cast("int")).alias("version"),
+        F.when(key % 20 == 0, True).alias("needapikey"), F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("active"),
+    ]
+    nested, plain = (F.to_json(F.struct(*fields, u.alias("url"))) for u in (F.struct(url.alias("url")), url))
+    return rows.select(key.alias("source_key"), F.when(key % 19 == 0, "[1").when(key % 2 == 0, nested).otherwise(plain).alias("entry"))
+
+
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point and line zones of six publishers; a line runs east from its first point for `length` degrees."""
     lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0")
