@@ -23,7 +23,7 @@ def cut_utf8(text: Column, size: int) -> Column:
         return F.hex(F.substring(raw, at + 1, 1)).between("80", "BF")
 
     cuts = [F.when(~inside(at), F.decode(F.substring(raw, 1, at), "UTF-8")) for at in range(size, max(size - 4, 0), -1)]
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.coalesce(*cuts))
+    return F.when(F.octet_length(text) <= size, text).when(text.isNotNull(), F.coalesce(*cuts, F.lit("")))
 
 
 def safe_id(value: Column) -> Column:
