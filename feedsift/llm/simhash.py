@@ -72,9 +72,9 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def over(counters: list[np.ndarray], radius: int) -> np.ndarray:
-    """The lanes whose three-bit count has passed the radius (below 8)."""
+    """The lanes whose count has passed the radius (which the counters can hold)."""
     greater, equal = np.zeros_like(counters[0]), np.full_like(counters[0], ~np.uint64(0))
-    for k in (2, 1, 0):
+    for k in reversed(range(len(counters))):
         if radius >> k & 1:
             equal &= counters[k]
         else:
@@ -86,26 +86,27 @@ def over(counters: list[np.ndarray], radius: int) -> np.ndarray:
 def close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of all fingerprints left[i], right[j] that differ in at most radius bits."""
     sliced = planes(right)
+    size = max(3, radius.bit_length())
     hits: list[tuple[np.ndarray, np.ndarray]] = []
     for base in range(0, len(left), 256):
         own = left[base : base + 256].astype("<u8")
         query, word = np.divmod(np.arange(len(own) * sliced.shape[1]), sliced.shape[1])
-        state = [np.zeros(len(query), dtype=np.uint64) for _ in range(4)]  # three counter bits, and what ran over them
+        state = [np.zeros(len(query), dtype=np.uint64) for _ in range(size + 1)]  # counter bits, and what ran over them
         for bit in range(64):
             ask = (~((own >> np.uint64(bit) & np.uint64(1)) - np.uint64(1)))[query]  # all ones where the query's bit is 1
             carry = sliced[bit][word] ^ ask
-            for k in range(3):
+            for k in range(size):
                 state[k], carry = state[k] ^ carry, state[k] & carry
-            state[3] |= carry
+            state[size] |= carry
             if bit % STRIDE == STRIDE - 1:
-                dead = state[3] | over(state, radius)
+                dead = state[size] | over(state[:size], radius)
                 alive = dead != ~np.uint64(0)
                 if bit == 63 or alive.sum() < 0.7 * len(alive):
                     query, word, state = query[alive], word[alive], [s[alive] for s in state]
                     if not len(query):
                         break
         if len(query):
-            lanes = np.unpackbits((~(state[3] | over(state, radius))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            lanes = np.unpackbits((~(state[size] | over(state[:size], radius))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             cell, lane = np.nonzero(lanes)
             i, j = query[cell] + base, word[cell] * 64 + lane
             hits.append((i[j < len(right)], j[j < len(right)]))

@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from feedsift.llm import line_dedup, simhash
 from feedsift.llm.common import read
@@ -33,3 +35,29 @@ def test_stages_keep_what_they_should(spark):
 def test_rejected_documents_go(spark):
     docs = spark.createDataFrame([(1, "the and of to is it", "en"), (2, None, "en"), (3, "12 34 -", "en"), (4, "", None), (None, "the and of it", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()} == {1, None}
+
+
+def test_copies_with_few_changed_words_go(spark):
+    rng = np.random.default_rng(3)
+    texts, near = [], 0
+    for k in range(40):  # independent texts, each with copies of which 1 to 2 % of the words are changed
+        words = [f"w{x}" for x in rng.integers(0, 5_000, int(rng.integers(150, 600)))]
+        texts.append(words)
+        for share in (0.01, 0.015, 0.02):
+            copy = list(words)
+            for at in rng.choice(len(words), max(1, round(share * len(words))), replace=False):
+                copy[at] = f"new{k}x{at}"
+            texts.append(copy)
+    texts += [[], [], ["one"], ["one"], ["two", "words"], ["two", "word"]]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+                near += 1
+    assert near >= 100  # most of the planted copies are as similar as the stage asks for
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
