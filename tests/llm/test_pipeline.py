@@ -61,3 +61,11 @@ def test_copies_with_few_changed_words_go(spark):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
+
+
+def test_null_and_repeated_ids(spark):
+    one, two, three, four = (" ".join(f"{x}{k}" for k in range(50)) for x in "abcd")
+    rows = [(None, one), (5, two), (5, two), (5, two), (None, two), (7, two + " more"), (6, three), (6, four), (None, three), (None, "alone"), (None, "alone"), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got)) == [(False, 5, two), (False, 6, three), (False, 6, four), (False, 8, ""), (True, 0, one), (True, 0, "alone")]
