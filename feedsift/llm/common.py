@@ -47,8 +47,16 @@ def buckets(docs: DataFrame, text: str, target_bytes: int) -> int:
     return max(1, -(-int(total) // target_bytes))
 
 
-def bucket_of(id_col: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int")
+def bucket_of(n: int, *columns: str) -> Column:
+    """A bucket by a hash of the columns. With the text among them, an id that many rows share, or that is null, weighs on
+    no bucket."""
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+
+
+def scattered(n: int) -> Column:
+    """A bucket by the row's place, so that rows which are equal throughout are dealt like any others. For use in one plan:
+    another reading may deal otherwise."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str], least_rows: int = 1) -> Iterator[pa.Table]:

@@ -1,17 +1,19 @@
 """Language-model scores of whole texts (operator 5).
 
-The model is a backoff automaton over words: a state for each frequent word as context, an arc for each bigram of
-frequent words, a failure arc with the context's backoff weight to the root, and the root's arcs for all words and the
-unknown one. Bigrams and words are smoothed by absolute discounting, interpolated, so each state's probabilities sum
-to 1. A word is frequent when it makes at least 1 / max_core of the training tokens, so there are at most max_core
-contexts, whatever the corpus; words and bigrams themselves are counted whole and grow with it.
-
-Counts stay distributed. Documents are dealt into hash buckets; each bucket asks once for each of its distinct words and
-frequent bigrams, a join answers, and the bucket's texts then traverse that part of the automaton from left to right."""
+The model is a backoff automaton over words: a state for each word of the training texts as context and one for a text's
+start, an arc for each bigram met there, a failure arc from each state to the root, and the root's arcs for all words and
+the unknown one. The root's words are smoothed by absolute discounting; a state's arcs by a Dirichlet prior drawn from the
+root: P(w | h) = (c(h, w) + strength * P(w)) / (c(h) + strength), so that the failure arc weighs strength / (c(h) + strength)
+and each state's probabilities sum to 1. No word, context or bigram is left out, however rare.
+
+Words and bigrams are 64-bit keys (at 10^9 distinct ones a collision anywhere has a chance of 3 %) and their counts are never
+in one place. Documents are dealt into buckets. A bucket sends its distinct keys, with how often its training texts hold
+each, to the parts of the key space; a part adds up what all buckets sent and answers each bucket in the order in which it
+asked. So a key crosses the network once for each bucket that holds it, and the answer is a count alone. The bucket's texts
+then traverse their own part of the automaton from left to right."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,91 +23,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BUCKET, bucket_of, buckets, stored, whole_groups, whole_text
+from .common import BUCKET, buckets, scattered, whole_groups, whole_text
 from .pieces import Numbers
 
-#: Keys of the end token and of the context at the start of a text (no word holds a blank); context 0 is the root.
-END, START, ROOT = (xxhash.xxh64_intdigest(x) - (1 << 63) for x in (b" end", b" start", b" root"))
+#: Keys of the end token, of the context at the start of a text (no word holds a blank) and of the root as context.
+END, START, ROOT = (xxhash.xxh64_intdigest(x) for x in (b" end", b" start", b" root"))
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+
+
+def arc_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """A key for each arc from a context's to a token's key."""
+    x = (context * _MIX[0]) ^ (token * _MIX[1] + _MIX[2])
+    x = (x ^ x >> np.uint64(29)) * _MIX[0]
+    return x ^ x >> np.uint64(32)
 
 
 class Tokens:
-    """Numbered distinct tokens of some texts, their 64-bit keys, and each text as numbers with its end."""
+    """Distinct tokens of some texts by number (the end is 0) with their 64-bit keys, and all texts as one line of numbers."""
 
     def __init__(self, texts: Iterable[str]):
-        numbers = Numbers(end=0)
+        numbers = Numbers({b" end": 0})
         get = numbers.__getitem__
-        self.texts = []
+        line = []
         for text in texts:
             words = text.encode().lower().split()  # bytes: A-Z alone are lowered, and only 20 and 09-0D are white space
-            self.texts.append(np.fromiter(map(get, [*words, "end"]), dtype=np.int32, count=len(words) + 1))
-        digest = xxhash.xxh64_intdigest
-        self.keys = np.array([END, *(digest(w) - (1 << 63) for w in list(numbers)[1:])], dtype=np.int64)
-
-    def counts(self, mine: list[int]) -> np.ndarray:
-        """How often each token stands in the texts at these positions."""
-        line = np.concatenate([self.texts[k] for k in mine]) if mine else np.zeros(0, dtype=np.int32)
-        return np.bincount(line, minlength=len(self.keys))
-
-    def bigrams(self, core: np.ndarray, mine: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context key, token key, count) of the distinct bigrams of core tokens; core: sorted keys. A text's start counts
-        as a core context."""
-        at = np.minimum(np.searchsorted(core, self.keys), max(0, len(core) - 1))
-        code = np.where(core[at] == self.keys, at + 1, 0) if len(core) else np.zeros(len(self.keys), dtype=np.int64)
-        width = len(core) + 2
-        parts = []
-        for k in mine:
-            line = code[self.texts[k]]
-            left, right = np.concatenate([[width - 1], line[:-1]]), line
-            both = (left > 0) & (right > 0)
-            parts.append(left[both] * width + right[both])
-        found, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64), return_counts=True)
-        keys = np.concatenate([[0], core, [START]])
-        return keys[found // width], keys[found % width], n
-
-
-def discount(counts: DataFrame) -> float:
-    """n1 / (n1 + 2 n2) of how many counts are 1 and 2; a half where there are none."""
-    one, two = counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
-
-
-def score(docs: DataFrame, training: Column, max_core: int = 50_000, bucket_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            line.append(np.fromiter(map(get, [*words, b" end"]), dtype=np.int32, count=len(words) + 1))
+        self.sizes = np.array([len(x) for x in line], dtype=np.int64)
+        self.line = np.concatenate(line) if line else np.zeros(0, dtype=np.int32)
+        self.keys = np.fromiter(map(xxhash.xxh64_intdigest, numbers), dtype=np.uint64, count=len(numbers))
+
+    def arcs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted distinct keys of the root's arcs for these tokens and of the arcs taken along the texts; which of them
+        each token's and each step's is."""
+        token = self.keys[self.line]
+        context = np.concatenate([[np.uint64(START)], token[:-1]]) if len(token) else token
+        if len(self.sizes):
+            context[np.cumsum(self.sizes)[:-1]] = START
+        keys, at = np.unique(np.concatenate([arc_keys(np.array([ROOT], dtype=np.uint64), self.keys), arc_keys(context, token)]), return_inverse=True)
+        return keys, at[: len(self.keys)], at[len(self.keys) :]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, all lowest bytes first: their high bytes, mostly zero, compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(held: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(held, dtype=np.uint8).reshape(width, -1).T).view(kind)[:, 0]
+
+
+def score(docs: DataFrame, training: Column, strength: float = 50.0, bucket_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row, learned from the rows where training holds.
 
     score is the log10 probability of the text's words and its end. A null text is empty: its end alone. A repeated row
-    counts, and is scored, as often as it stands there; null ids share a bucket; other columns are ignored. Without any
+    counts, and is scored, as often as it stands there; ids may be null or repeat; other columns are ignored. Without any
     training row every token is unknown and has probability 1 (base: 1 / 1). An empty table gives an empty result."""
-    rows = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text"), training.alias("__train"))
-    learned = rows.filter("__train").select("__text")
+    rows = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text"), F.coalesce(training, F.lit(False)).alias("__train"))
 
     def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = Tokens(t.as_py() for t in batch.column(0))
-            n = tokens.counts(list(range(batch.num_rows)))
+            n = np.bincount(tokens.line, minlength=len(tokens.keys))
             met = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.keys[met]), pa.array(n[met].astype(np.int64))], names=["w", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.keys[met].view(np.int64)), pa.array(n[met].astype(np.int64))], names=["w", "c"])
 
-    words = stored(learned.mapInArrow(count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
-    total, vocabulary = words.agg(F.sum("c"), F.count(F.lit(1))).first()
+    words = rows.filter("__train").select("__text").mapInArrow(count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    total, vocabulary, ones, twos = words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     total = total or 0
-    core = np.array(sorted(r[0] for r in words.filter(F.col("c") >= max(2, math.ceil(total / max_core))).select("w").collect()), dtype=np.int64)
+    cut = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5  # the discount, from how many counts are 1 and 2
 
-    def count_bigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, w, n = Tokens(t.as_py() for t in batch.column(0)).bigrams(core, list(range(batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(n.astype(np.int64))], names=["h", "w", "c"])
-
-    bigrams = stored(learned.mapInArrow(count_bigrams, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c")), "bigrams")
-    cut, cut2 = discount(words), discount(bigrams)
-    arcs = words.select(F.lit(ROOT).alias("h"), "w", "c").union(bigrams)
-    # of each context: its own count and the backoff weight; at most max_core + 1 rows
-    seen = bigrams.groupBy("h").agg(F.sum("c").alias("arcs"), F.count(F.lit(1)).alias("kinds"))
-    n_docs = words.filter(F.col("w") == END).first()
-    contexts = {r["h"]: (r["arcs"], r["kinds"]) for r in seen.collect()}
-    own = {r["w"]: r["c"] for r in words.join(F.broadcast(seen.select(F.col("h").alias("w"))), "w", "left_semi").collect()} | {START: n_docs["c"] if n_docs else 0}
-    states = {h: (own[h], 1 - (n - cut2 * kinds) / own[h]) for h, (n, kinds) in contexts.items()}
-
-    bucketed = rows.withColumn(BUCKET, bucket_of("__id", buckets(docs, text_col, bucket_bytes))).select(BUCKET, "__id", "__text").repartition(BUCKET)
+    n = buckets(docs, text_col, bucket_bytes)
+    parts = max(1, n // 2)
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+    dealt = rows.select(scattered(n).alias(BUCKET), "__id", "__text", "__train").repartition(BUCKET)
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, [BUCKET]):
@@ -113,49 +104,45 @@ def score(docs: DataFrame, training: Column, max_core: int = 50_000, bucket_byte
             for b in np.unique(bucket):
                 own = part.filter(pa.array(bucket == b))
                 tokens = Tokens(t.as_py() for t in own.column("__text"))
-                h, w, _ = tokens.bigrams(core, list(range(own.num_rows)))
-                h, w = np.concatenate([np.full(len(tokens.keys), ROOT), h]), np.concatenate([tokens.keys, w])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b), pa.int32()), pa.array(h), pa.array(w)], names=[BUCKET, "h", "w"])
-
-    asked = bucketed.sortWithinPartitions(BUCKET).mapInArrow(ask, f"{BUCKET} int, h long, w long")
-    answers = asked.join(arcs, ["h", "w"]).select(BUCKET, "h", "w", "c")
+                keys, roots, steps = tokens.arcs()
+                learned = np.repeat(own.column("__train").to_numpy(), tokens.sizes)
+                n = np.bincount(steps[learned], minlength=len(keys))
+                n[roots] += np.bincount(tokens.line[learned], minlength=len(roots))
+                bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                slices = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(parts), pa.int32()), pa.array([int(b)] * parts, pa.int32()), pa.array([planes(np.diff(keys[s], prepend=np.uint64(0))) for s in slices], pa.binary()), pa.array([planes(n[s].astype(np.uint32)) for s in slices], pa.binary())],
+                    names=["part", BUCKET, "keys", "n"],
+                )
+
+    asked = dealt.sortWithinPartitions(BUCKET).mapInArrow(ask, f"part int, {BUCKET} int, keys binary, n binary")
+
+    def add_up(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(from_planes(k.as_py(), "<u8"), dtype=np.uint64) for k in table.column("keys")]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([from_planes(x.as_py(), "<u4") for x in table.column("n")]))
+        found = np.split(sums.astype(np.uint64)[at], np.cumsum([len(k) for k in keys])[:-1])
+        return pa.Table.from_arrays([table.column("part"), table.column(BUCKET), pa.chunked_array([pa.array(map(planes, found), pa.binary())])], names=["part", BUCKET, "n"])
+
+    answers = asked.groupBy("part").applyInArrow(add_up, f"part int, {BUCKET} int, n binary")
     schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens = Tokens(t.as_py() for t in left.column("__text"))
-        order = np.argsort(tokens.keys)
-        h, w, c = (right.column(x).to_numpy() for x in ("h", "w", "c"))
-        at = order[np.searchsorted(tokens.keys[order], w)] if len(w) else np.zeros(0, dtype=np.int64)
-        root = h == ROOT
-        counts = np.zeros(len(tokens.keys), dtype=np.int64)
-        counts[at[root]] = c[root]
-        base = np.log10((counts + 1) / (total + vocabulary + 1))
-        plain = np.where(counts > 0, counts - cut, cut * vocabulary) / total if total else np.ones(len(counts))
-        down = np.log10(plain)
-        # arcs: from the state (number of the last token; -1 at the start) and the next token to a log-probability
-        places = {START: -1} | dict(zip(tokens.keys.tolist(), range(len(tokens.keys)), strict=True))
-        fail = np.zeros(len(tokens.keys) + 1)
-        for key, place in places.items():
-            if key in states:
-                fail[place] = math.log10(max(states[key][1], 1e-12))
-        arc: dict[int, float] = {}
-        for hk, k, n in zip(h[~root].tolist(), at[~root].tolist(), c[~root].tolist(), strict=True):
-            seen, weight = states[hk]
-            arc[(places[hk] << 32) + k] = math.log10((n - cut2) / seen + max(weight, 1e-12) * float(plain[k]))
-        fail_list, down_list = fail.tolist(), down.tolist()
-        n_tokens, n_known, base_score, scores = [], [], [], []
-        for line in tokens.texts:
-            state, sum_ = -1, 0.0
-            for token in line.tolist():
-                step = arc.get((state << 32) + token)
-                sum_ += fail_list[state] + down_list[token] if step is None else step
-                state = token
-            n_tokens.append(len(line))
-            n_known.append(int((counts[line] > 0).sum()))
-            base_score.append(float(base[line].sum()))
-            scores.append(sum_)
-        columns = [left.column("__id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([total] * len(scores), pa.int64()), pa.array(base_score, pa.float64()), pa.array(scores, pa.float64())]
+        _, roots, steps = tokens.arcs()
+        order = np.argsort(right.column("part").to_numpy())
+        held = right.column("n").to_pylist()
+        counts = np.concatenate([from_planes(held[k], "<u8") for k in order]).astype(np.float64) if len(order) else np.zeros(0)
+        word, arc, line = counts[roots], counts[steps], tokens.line
+        base = np.log10((word + 1) / (total + vocabulary + 1))
+        plain = np.where(word > 0, word - cut, cut * vocabulary) / total if total else np.ones(len(word))
+        # the state in which each token is met: that of the token before it, or of the start; how often training was there
+        state = word[np.concatenate([[0], line[:-1]])] if len(line) else np.zeros(0)  # a text's end (0) was met as often as a start
+        fail = strength / (state + strength)
+        step = np.log10(np.where(arc > 0, arc / (state + strength) + fail * plain[line], fail * plain[line]))
+        starts = np.cumsum(tokens.sizes) - tokens.sizes
+        columns = [left.column("__id"), pa.array(tokens.sizes), pa.array(np.add.reduceat((word > 0)[line].astype(np.int64), starts)), pa.array(np.full(len(starts), total)), pa.array(np.add.reduceat(base[line], starts)), pa.array(np.add.reduceat(step, starts))]
         return pa.Table.from_arrays(columns, names=schema.names)
 
-    out = bucketed.groupBy(BUCKET).cogroup(answers.groupBy(BUCKET)).applyInArrow(traverse, schema)
+    out = dealt.groupBy(BUCKET).cogroup(answers.groupBy(BUCKET)).applyInArrow(traverse, schema)
     return out.withColumnRenamed("__id", id_col)

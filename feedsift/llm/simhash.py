@@ -65,10 +65,11 @@ def masks(radius: int, agree: int) -> list[int]:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words): bit b of fingerprint 64 w + i is bit i of word w of plane b. Padding repeats the last fingerprint."""
-    padded = np.concatenate([fps, np.repeat(fps[-1:], -len(fps) % 64)])
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T.reshape(64, -1, 64), axis=2, bitorder="little")).view("<u8")[..., 0]
+    """(64 k, words) of fingerprints of k numbers each: bit b of fingerprint 64 w + i is bit i of word w of plane b. Padding
+    repeats the last fingerprint."""
+    padded = np.concatenate([fps, np.repeat(fps[-1:], -len(fps) % 64, axis=0)])
+    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(len(padded), -1), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.T.reshape(bits.shape[1], -1, 64), axis=2, bitorder="little")).view("<u8")[..., 0]
 
 
 def over(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -84,7 +85,9 @@ def over(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of all fingerprints left[i], right[j] that differ in at most radius bits."""
+    """Positions (i, j) of all fingerprints left[i], right[j] that differ in at most radius bits. A fingerprint is a number or
+    a row of numbers of 64 bits."""
+    left, right = (x.reshape(len(x), -1) for x in (left, right))
     sliced = planes(right)
     size = max(3, radius.bit_length())
     hits: list[tuple[np.ndarray, np.ndarray]] = []
@@ -92,8 +95,8 @@ def close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray,
         own = left[base : base + 256].astype("<u8")
         query, word = np.divmod(np.arange(len(own) * sliced.shape[1]), sliced.shape[1])
         state = [np.zeros(len(query), dtype=np.uint64) for _ in range(size + 1)]  # counter bits, and what ran over them
-        for bit in range(64):
-            ask = (~((own >> np.uint64(bit) & np.uint64(1)) - np.uint64(1)))[query]  # all ones where the query's bit is 1
+        for bit in range(len(sliced)):
+            ask = (~((own[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)) - np.uint64(1)))[query]  # all ones where the query's bit is 1
             carry = sliced[bit][word] ^ ask
             for k in range(size):
                 state[k], carry = state[k] ^ carry, state[k] & carry
@@ -101,7 +104,7 @@ def close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray,
             if bit % STRIDE == STRIDE - 1:
                 dead = state[size] | over(state[:size], radius)
                 alive = dead != ~np.uint64(0)
-                if bit == 63 or alive.sum() < 0.7 * len(alive):
+                if bit == len(sliced) - 1 or alive.sum() < 0.7 * len(alive):
                     query, word, state = query[alive], word[alive], [s[alive] for s in state]
                     if not len(query):
                         break

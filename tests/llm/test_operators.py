@@ -170,6 +170,20 @@ def test_line_runs_are_levelled(spark):
     assert {(r["k1"], r["k2"]) for r in runs.frequent(4).collect()} == {(1, 1)}
 
 
+def plain_model(texts, strength):
+    """The log10 probability of a text's tokens, and P(token | context), by plain counting; context None: a text's start."""
+    c, pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip([None, *t[:-1]], t, strict=True))
+    starts, total, (one, two) = len(texts), sum(c.values()), (sum(n == k for n in c.values()) for k in (1, 2))
+    cut = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+
+    def probability(h, w):
+        root = (c[w] - cut if c[w] else cut * len(c)) / total
+        seen = starts if h is None else c[h]
+        return (pairs[h, w] + strength * root) / (seen + strength)
+
+    return lambda t: sum(math.log10(probability(h, w)) for h, w in zip([None, *t[:-1]], t, strict=True)), probability
+
+
 def test_language_model(docs, empty, rows):
     held = [(i, t, zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False) for i, t in rows]
     tokens = lambda t: [*t.encode().lower().split(), "end"]
@@ -178,9 +192,12 @@ def test_language_model(docs, empty, rows):
     got = lm_scoring.score(docs, ~language.held_out("doc_id", 7), bucket_bytes=3_000).collect()
     want = sorted((i is None, i or 0, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), total, round(sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in tokens(t)), 6)) for i, t, _ in held)
     assert sorted((r[0] is None, r[0] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
-    other = {r[0]: r["score"] for r in lm_scoring.score(docs, ~language.held_out("doc_id", 7)).collect()}
-    assert all(other[r[0]] == pytest.approx(r["score"]) for r in got if r[0] is not None)
+    model, probability = plain_model([tokens(t) for _, t, out in held if not out], strength=50.0)
+    assert sorted((r[0] is None, r[0] or 0, round(r["score"], 6)) for r in got) == sorted((i is None, i or 0, round(model(tokens(t)), 6)) for i, t, _ in held)
+    for state in [None, *c.keys() - {"end"}]:  # every state's probabilities sum to 1, the unknown word's included
+        assert sum(probability(state, w) for w in [*c, "no such word"]) == pytest.approx(1)
+    other = lm_scoring.score(docs, ~language.held_out("doc_id", 7)).collect()  # all in one bucket
+    assert sorted((r[0] is None, r[0] or 0, round(r["score"], 6)) for r in other) == sorted((r[0] is None, r[0] or 0, round(r["score"], 6)) for r in got)
     assert lm_scoring.score(empty, F.lit(True)).count() == 0
     assert {(r["train_tokens"], r["score"]) for r in lm_scoring.score(docs, F.lit(False)).collect()} == {(0, 0.0)}
 

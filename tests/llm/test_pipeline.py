@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from feedsift.llm import line_dedup, simhash
+from feedsift.llm import line_dedup, shingles
 from feedsift.llm.common import read
 
 
@@ -19,19 +19,27 @@ def test_stages_keep_what_they_should(spark):
     third = stages["near-duplicates"](spark, second, sf)
     ids = {r["doc_id"] for r in third.collect()}
     assert third.columns == docs.columns and third.count() == len(ids)
-    prints = {i: simhash.fingerprint(t, 4) & (1 << 64) - 1 for i, t in kept.items()}
-    label = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for i, p in prints.items():
-            low = min(label[j] for j, q in prints.items() if (p ^ q).bit_count() <= 4)
-            changed |= low < label[i]
-            label[i] = min(low, label[i])
-    assert ids == set(label.values())
+    label = near_classes(list(kept.values()))
+    first_of = {}
+    for i, c in zip(kept, label, strict=True):
+        first_of[c] = min(i, first_of.get(c, i))
+    assert ids == set(first_of.values())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == ids
 
 
+def near_classes(texts):
+    """The class of each text by links of shingles of five words at a similarity of 0.8 or more, all pairs compared."""
+    words = [t.encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
 def test_rejected_documents_go(spark):
     docs = spark.createDataFrame([(1, "the and of to is it", "en"), (2, None, "en"), (3, "12 34 -", "en"), (4, "", None), (None, "the and of it", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()} == {1, None}
@@ -39,7 +47,7 @@ def test_rejected_documents_go(spark):
 
 def test_copies_with_few_changed_words_go(spark):
     rng = np.random.default_rng(3)
-    texts, near = [], 0
+    texts = []
     for k in range(40):  # independent texts, each with copies of which 1 to 2 % of the words are changed
         words = [f"w{x}" for x in rng.integers(0, 5_000, int(rng.integers(150, 600)))]
         texts.append(words)
@@ -49,15 +57,8 @@ def test_copies_with_few_changed_words_go(spark):
                 copy[at] = f"new{k}x{at}"
             texts.append(copy)
     texts += [[], [], ["one"], ["one"], ["two", "words"], ["two", "word"]]
-    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set() for t in texts]
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
-                low, high = sorted((label[i], label[j]))
-                label = [low if x == high else x for x in label]
-                near += 1
-    assert near >= 100  # most of the planted copies are as similar as the stage asks for
+    label = near_classes([" ".join(t) for t in texts])
+    assert len(set(label)) <= len(texts) - 100  # most of the planted copies are as similar as the stage asks for
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
@@ -69,3 +70,45 @@ def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got)) == [(False, 5, two), (False, 6, three), (False, 6, four), (False, 8, ""), (True, 0, one), (True, 0, "alone")]
+
+
+def test_a_chain_of_copies_in_hot_buckets_is_one_class(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 500, 150)]
+    texts = []
+    for k in range(260):  # a large group: similarities of pairs lie on both sides of 0.8
+        copy = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+            copy[at] = f"new{k}x{at}"
+        texts.append(" ".join(copy))
+    want = near_classes(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len(set(want)) > 5
+    for block in (512, 24):  # whole buckets, and buckets cut into chunks
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        assert sorted(r["row"] for r in shingles.survivors(docs, "doc_id").collect()) == sorted(set(want))
+
+
+def test_exact_similarity():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint64) for n in (0, 0, 1, 1, 90, 95, 300, 310, 400)] + [np.arange(100, dtype=np.uint64), np.arange(89, dtype=np.uint64), np.arange(80, dtype=np.uint64), np.arange(79, dtype=np.uint64)]
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    want = [5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)) for a, b in ((sets[x].tolist(), sets[y].tolist()) for x, y in zip(i, j, strict=True))]
+    assert shingles.alike(sets, i, j).tolist() == want
+
+
+def test_no_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() == 0
+
+
+def test_extra_columns_with_clashing_names_stay(spark):
+    names = ["row", "node", "class", "rank", "table", "key", "kept", "n_lines", "score", "__bucket"]
+    rows = [(k, f"the and of to is it {'x' * k}\nthe line", "en", *[str(k)] * len(names)) for k in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", *names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", *names]
+        assert all(r["node"] == str(r["doc_id"]) for r in docs.collect())
+    assert corpus_pipeline.packed(spark, docs, "").count() >= 1
