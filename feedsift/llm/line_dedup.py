@@ -82,7 +82,7 @@ def drop_common_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
     once, by a hash of the id; an empty table gives an empty result."""
     spark, n = docs.sparkSession, buckets(docs, text_col, bucket_bytes)
     rows = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text"), *(F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)))
-    rows = rows.withColumn(BUCKET, bucket_of("__id", n))
+    rows = rows.withColumn(BUCKET, bucket_of(n, "__id", "__text"))
 
     def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
