@@ -25,7 +25,7 @@ def poll_failed() -> Column:
 
 def poll_unreached() -> Column:
     """The poll never left this side: it says nothing of the publisher."""
-    return F.col("error").isNotNull() & F.coalesce(F.col("error_origin") == "INTERCHANGE", F.lit(False))
+    return F.col("error").isNotNull() & F.coalesce(F.col("error_origin") == "OWN_SIDE", F.lit(False))
 
 
 def has_body() -> Column:

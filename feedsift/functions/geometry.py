@@ -71,3 +71,54 @@ def symmetric_coverage(a: np.ndarray, b: np.ndarray, reach: float) -> float:
     """The smaller share of either line's samples that lie within reach of the other."""
     a, b = planar(a, b)
     return min(float((to_segments(samples(x), y) <= reach + ROUNDING).mean()) for x, y in ((a, b), (b, a)))
+
+
+def distance_rows(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, the distance of point p to the planar segment from a to b."""
+    step, off = b - a, p - a
+    square = (step**2).sum(axis=1)
+    share = np.clip((off * step).sum(axis=1) / np.where(square > 0, square, 1.0), 0.0, 1.0)
+    return np.sqrt(((off - share[:, None] * step) ** 2).sum(axis=1))
+
+
+def judge_short(a: np.ndarray, b: np.ndarray, points: np.ndarray, others: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(metres, coverage) of many pairs at once, each side a point or a line of two ends: a and b hold the ends (pairs, 2, 2),
+    a point's twice; points and others say which are points. coverage is nan beyond reach and between points."""
+    weight = [np.where(p, 1, 2) for p in (points, others)]
+    lat = sum(np.where(p, x[:, 0, 1], x[:, :, 1].sum(axis=1)) for x, p in ((a, points), (b, others))) / (weight[0] + weight[1])
+    scale = EARTH_METRES * np.cos(np.radians(lat))
+
+    def planar_ends(x: np.ndarray) -> list[np.ndarray]:
+        start = x[:, 0, 0] - 360 * np.round((x[:, 0, 0] - a[:, 0, 0]) / 360)
+        east = x[:, 1, 0] - x[:, 0, 0]
+        lon = start, start + east - 360 * np.round(east / 360)
+        return [np.column_stack([np.radians(lon[k]) * scale, np.radians(x[:, k, 1]) * EARTH_METRES]) for k in (0, 1)]
+
+    def own_length(x: np.ndarray) -> np.ndarray:
+        east = x[:, 1, 0] - x[:, 0, 0]
+        return EARTH_METRES * np.hypot(np.radians(east - 360 * np.round(east / 360)) * np.cos(np.radians(x[:, :, 1].mean(axis=1))), np.radians(x[:, 1, 1] - x[:, 0, 1]))
+
+    def side(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return np.sign((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]))
+
+    (p, q), (r, s) = planar_ends(a), planar_ends(b)
+    metres = np.minimum.reduce([distance_rows(p, r, s), distance_rows(q, r, s), distance_rows(r, p, q), distance_rows(s, p, q)])
+    metres[(side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)] = 0.0
+    coverage = np.full(len(a), np.nan)
+    at = np.flatnonzero((metres <= reach) & (np.maximum(own_length(a), own_length(b)) >= POINT_METRES))
+    if len(at):
+        p, q, r, s = (x[at] for x in (p, q, r, s))
+        coverage[at] = np.minimum(within(p, q, r, s, reach), within(r, s, p, q, reach))
+    return metres, coverage
+
+
+def within(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray, reach: float) -> np.ndarray:
+    """Row by row, the share of the samples of the planar line p to q that lie within reach of the segment r to s."""
+    long = np.hypot(*(q - p).T)
+    steps = np.ceil(long / STEP).astype(np.int64)
+    n = steps + 1  # and the end; a line without length is its start alone
+    row = np.repeat(np.arange(len(p)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    share = np.where(k == steps[row], 1.0, k * STEP / np.where(long > 0, long, 1.0)[row])
+    near = distance_rows(p[row] + (q - p)[row] * share[:, None], r[row], s[row]) <= reach + ROUNDING
+    return np.bincount(row, weights=near, minlength=len(p)) / n

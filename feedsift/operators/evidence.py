@@ -6,34 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import by_time
-from .rules import SEVERITY
-
-
-def verdict_changes(evaluated: DataFrame) -> DataFrame:
-    """(event_id, publisher_key, polled_us, from_state, to_state, direction) wherever a publisher's instantaneous verdict is
-    unlike that of its poll before."""
-    rows = evaluated.withColumn("from_state", F.lag("instantaneous").over(by_time())).filter("from_state <> instantaneous")
-    grade = F.create_map(*(F.lit(x) for p in SEVERITY.items() for x in p))
-    worse = grade[F.col("instantaneous")] > grade[F.col("from_state")]
-    return rows.select("event_id", "publisher_key", "polled_us", "from_state", F.col("instantaneous").alias("to_state"), F.when(worse, "ESCALATION").otherwise("DE_ESCALATION").alias("direction"))
 
 
 def packets(changes: DataFrame) -> DataFrame:
-    """(packet_id, publisher_key, to_state, event_id, opened_us, closed_us, closing_id): each escalation opens a packet; the
+    """(packet_id, publisher_key, to_state, event_id, opened_us, closed_us, closing_id, depth): each escalation of the latched
+    state opens a packet; the
     publisher's next recovery closes it. An episode that starts anew after a recovery is a packet of its own."""
     ahead = by_time().rowsBetween(1, Window.unboundedFollowing)
     closing = F.first_value(F.when(F.col("direction") == "DE_ESCALATION", F.struct("polled_us", "event_id")), F.lit(True)).over(ahead)
     rows = changes.withColumn("__closing", closing).filter("direction = 'ESCALATION'")
-    return rows.select(F.concat_ws("|", "publisher_key", "to_state", "event_id").alias("packet_id"), "publisher_key", "to_state", "event_id", F.col("polled_us").alias("opened_us"), F.col("__closing.polled_us").alias("closed_us"), F.col("__closing.event_id").alias("closing_id"))
+    return rows.select(F.concat_ws("|", "publisher_key", "to_state", "event_id").alias("packet_id"), "publisher_key", "to_state", "event_id", F.col("polled_us").alias("opened_us"), F.col("__closing.polled_us").alias("closed_us"), F.col("__closing.event_id").alias("closing_id"), "depth")
 
 
-def windows(found: DataFrame, polls: DataFrame, depth: int = 12, embedded: int = 50) -> DataFrame:
-    """(packet_id, window_start, window_end, observations, truncated): the `depth` newest polls at each opening.
+def windows(found: DataFrame, polls: DataFrame, embedded: int = 50) -> DataFrame:
+    """(packet_id, window_start, window_end, observations, truncated): the newest polls at each opening, as many as the rules
+    that fired rested on (depth).
 
     Polls are numbered per publisher, and a packet asks for its numbers by equi-join: no range join, whatever the history."""
     numbered = polls.select("publisher_key", "polled_us", "event_id", F.row_number().over(by_time()).alias("n"))
     opened = found.join(numbered.select("event_id", "n"), "event_id")
-    asked = opened.select("packet_id", "publisher_key", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - (depth - 1)), F.col("n"))).alias("n"))
+    asked = opened.select("packet_id", "publisher_key", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("depth") + 1), F.col("n"))).alias("n"))
     rows = asked.join(numbered, ["publisher_key", "n"]).groupBy("packet_id")
     return rows.agg(F.min("polled_us").alias("window_start"), F.max("polled_us").alias("window_end"), F.count(F.lit(1)).alias("observations"), (F.count(F.lit(1)) > embedded).alias("truncated"))
 

@@ -74,11 +74,27 @@ def rule_columns(r: Ruleset) -> list[Column]:
 
 
 def evaluate(polls: DataFrame, rules: Ruleset | None = None) -> DataFrame:
-    """(event_id, publisher_key, polled_us, failed, results, instantaneous): results is an array of (rule_id, verdict, reason)
-    in rule order; instantaneous the most severe verdict, WATCH if no rule applies."""
+    """(event_id, publisher_key, polled_us, failed, results, depth, instantaneous): results is an array of (rule_id, verdict,
+    reason) in rule order; depth is how many polls back the rules that fired looked, 1 at least; instantaneous the most severe
+    verdict, WATCH if no rule applies."""
     rows = consecutive_failures(polls).join(frozen(polls), "event_id", "left")
     results = F.array(*(F.struct(F.lit(n).alias("rule_id"), c["verdict"].alias("verdict"), c["reason"].alias("reason")) for n, c in zip(RULES, rule_columns(rules or Ruleset()), strict=True)))
-    return rows.select("event_id", "publisher_key", "polled_us", "failed", results.alias("results")).withColumn("instantaneous", most_severe(F.col("results")))
+    rows = rows.withColumn("results", results)
+    depth = F.greatest(F.lit(1), F.when(fired("R1"), F.col("failures")), F.when(fired("R5"), F.col("n"))).cast("long")
+    return rows.select("event_id", "publisher_key", "polled_us", "failed", "results", depth.alias("depth")).withColumn("instantaneous", most_severe(F.col("results")))
+
+
+def fired(rule: str) -> Column:
+    return F.exists("results", lambda r: (r["rule_id"] == rule) & r["verdict"].isin("WATCH", "QUARANTINE"))
+
+
+def fired_rules() -> Column:
+    """The rules that fired, the most severe first, else in rule order."""
+
+    def having(verdict: str) -> Column:
+        return F.transform(F.filter("results", lambda r: r["verdict"] == verdict), lambda r: r["rule_id"])
+
+    return F.concat(having("QUARANTINE"), having("WATCH"))
 
 
 def most_severe(results: Column) -> Column:
@@ -119,11 +135,12 @@ class Fold:
 
 
 def trust_states(evaluated: DataFrame, rules: Ruleset | None = None) -> DataFrame:
-    """(event_id, publisher_key, polled_us, from_state, state, clean, streak, latches) of each poll, in time order.
+    """(event_id, publisher_key, polled_us, from_state, state, clean, streak, latches, rule_ids, depth) of each poll, in time
+    order; rule_ids: those that fired, the most severe first.
 
     A publisher's polls stream through one task in order; only its state is held, so a long history needs no memory."""
     rules = rules or Ruleset()
-    rows = evaluated.select("publisher_key", "polled_us", "event_id", "failed", "instantaneous", F.col("results.verdict").alias("verdicts"), F.col("results.reason").alias("reasons"))
+    rows = evaluated.select("publisher_key", "polled_us", "event_id", "failed", "instantaneous", F.col("results.verdict").alias("verdicts"), F.col("results.reason").alias("reasons"), F.array_join(fired_rules(), ",").alias("rule_ids"), "depth")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fold = None, Fold(rules)
@@ -134,26 +151,20 @@ def trust_states(evaluated: DataFrame, rules: Ruleset | None = None) -> DataFram
                     key, fold = r["publisher_key"], Fold(rules)
                 before = fold.state
                 clean = fold.step(r["polled_us"], r["failed"], r["instantaneous"], r["verdicts"], r["reasons"])
-                out.append({"event_id": r["event_id"], "publisher_key": key, "polled_us": r["polled_us"], "from_state": before, "state": fold.state, "clean": clean, "streak": fold.streak, "latches": ",".join(sorted(fold.latches))})
+                out.append({"event_id": r["event_id"], "publisher_key": key, "polled_us": r["polled_us"], "from_state": before, "state": fold.state, "clean": clean, "streak": fold.streak, "latches": ",".join(sorted(fold.latches)), "rule_ids": r["rule_ids"], "depth": r["depth"]})
             if out:
                 yield pa.RecordBatch.from_pylist(out)
 
-    return rows.repartition("publisher_key").sortWithinPartitions("publisher_key", "polled_us", "event_id").mapInArrow(run, "event_id long, publisher_key string, polled_us long, from_state string, state string, clean boolean, streak long, latches string")
+    return rows.repartition("publisher_key").sortWithinPartitions("publisher_key", "polled_us", "event_id").mapInArrow(run, "event_id long, publisher_key string, polled_us long, from_state string, state string, clean boolean, streak long, latches string, rule_ids string, depth long")
 
 
-def transitions(states: DataFrame, evaluated: DataFrame) -> DataFrame:
-    """A row for each change of state, with the rules that fired, most severe first, and the direction."""
-    fired = F.filter("results", lambda r: r["verdict"].isin("WATCH", "QUARANTINE"))
-
-    def having(verdict: str) -> Column:
-        return F.transform(F.filter(fired, lambda r: r["verdict"] == verdict), lambda r: r["rule_id"])
-
-    ordered = F.concat(having("QUARANTINE"), having("WATCH"))
-    rows = states.filter("state <> from_state").join(evaluated.select("event_id", ordered.alias("__rules")), "event_id")
-    rank = {s: k for k, s in enumerate(STATES)}
-    grade = F.create_map(*(F.lit(x) for p in rank.items() for x in p))
-    return rows.select("event_id", "publisher_key", "polled_us", "from_state", F.col("state").alias("to_state"), F.array_join("__rules", ",").alias("rule_ids"), F.get("__rules", F.lit(0)).alias("primary_rule_id"),
-                       F.when(grade[F.col("state")] > grade[F.col("from_state")], "ESCALATION").otherwise("DE_ESCALATION").alias("direction"))
+def transitions(states: DataFrame) -> DataFrame:
+    """A row for each change of state, with the rules that fired, most severe first, the depth of their evidence and the
+    direction."""
+    grade = F.create_map(*(F.lit(x) for p in SEVERITY.items() for x in p))
+    first = F.nullif(F.split_part("rule_ids", F.lit(","), F.lit(1)), F.lit(""))
+    return states.filter("state <> from_state").select("event_id", "publisher_key", "polled_us", "from_state", F.col("state").alias("to_state"), "rule_ids", first.alias("primary_rule_id"),
+                                                       F.when(grade[F.col("state")] > grade[F.col("from_state")], "ESCALATION").otherwise("DE_ESCALATION").alias("direction"), "depth")
 
 
 def states_at(changes: DataFrame, at_us: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import has_body
-from .history import consecutive_failures, earlier, frozen
+from .history import earlier, frozen
 
 #: Versions with a schema, the short ways to write two of them, rules that need a body, states in order of concern.
 KNOWN_VERSIONS = ("3.0", "3.1", "4.0", "4.1", "4.2")
@@ -127,16 +127,6 @@ def rules_changed_since(version: Column) -> Column:
     return out
 
 
-def evidence_depth(evaluated: DataFrame, polls: DataFrame) -> DataFrame:
-    """(event_id, depth): how many polls back the rules that fired at a poll looked; 1 at least."""
-
-    def fired(rule: str) -> Column:
-        return F.exists("results", lambda r: (r["rule_id"] == rule) & r["verdict"].isin("WATCH", "QUARANTINE"))
-
-    rows = evaluated.join(consecutive_failures(polls).select("event_id", "failures"), "event_id").join(frozen(polls).select("event_id", "n"), "event_id", "left")
-    return rows.select("event_id", F.greatest(F.lit(1), F.when(fired("R1"), F.col("failures")), F.when(fired("R5"), F.col("n"))).cast("long").alias("depth"))
-
-
 def churn(evaluated: DataFrame, polls: DataFrame) -> DataFrame:
     """(event_id, status, polls_in_window, advances): OK where the frozen-structure rule could be evaluated, with its measures;
     else the reason why not, without."""

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import board, evidence, history, rules
 from ..sources import adapters
-from .queries import POLLS, RESULTS
+from ..sources.storage import written
+from .queries import AT_US, FOLD, POLLS, states
 
+#: The pull that replays ask for; three days lie between pulls, so it was taken at AT_US.
 AT = 6
 
 
@@ -20,13 +22,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.registry_events(pulls(spark, sf_dir))
 
 
-def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(adapters.poll_log(spark, sf_dir))
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitions of the latched state."""
+    return rules.transitions(states(spark, sf_dir))
 
 
 def host_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest verdict on the host of each publisher."""
-    latest = evaluated(spark, sf_dir).groupBy(F.col("publisher_key").alias("host_key")).agg(F.max_by("instantaneous", F.struct("polled_us", "event_id")).alias("state"))
+    """The state, at the asked time, of the host of each publisher."""
+    latest = rules.states_at(changes(spark, sf_dir), AT_US).withColumnRenamed("publisher_key", "host_key")
     return pulls(spark, sf_dir).select("publisher_key", "host_key").distinct().join(latest, "host_key").select("publisher_key", "state")
 
 
@@ -59,15 +62,20 @@ def flt_fleet_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_packet_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.packets(evidence.verdict_changes(evaluated(spark, sf_dir)))
+    return evidence.packets(changes(spark, sf_dir))
 
 
 def agg_evidence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.windows(win_packet_episodes(spark, sf_dir), adapters.poll_log(spark, sf_dir))
+    return windows_of(spark, sf_dir, win_packet_episodes(spark, sf_dir))
+
+
+def windows_of(spark: SparkSession, sf_dir: str, packets: DataFrame) -> DataFrame:
+    return evidence.windows(packets, adapters.poll_log(spark, sf_dir))
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = win_packet_episodes(spark, sf_dir).join(agg_evidence_window(spark, sf_dir), "packet_id")
+    found = written(win_packet_episodes(spark, sf_dir), "packets")  # few rows behind the whole fold: read twice
+    found = found.join(windows_of(spark, sf_dir, found), "packet_id")
     text = F.when(F.col("event_id") % 7 != 0, evidence.rendering())
     return found.withColumn("rendering", text).withColumn("approval_state", F.when(F.col("event_id") % 5 == 0, "APPROVED").otherwise("DRAFT"))
 
@@ -87,12 +95,12 @@ def top_notice_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_recent_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = evidence.verdict_changes(evaluated(spark, sf_dir))
-    return changes.select("event_id", "publisher_key", "polled_us", "to_state").orderBy(F.desc("polled_us"), F.desc("event_id")).limit(100)
+    rows = changes(spark, sf_dir).select("event_id", "publisher_key", "polled_us", "to_state")
+    return rows.orderBy(F.desc("polled_us"), F.desc("event_id")).limit(100)
 
 
 def agg_replay_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return board.horizon(adapters.poll_log(spark, sf_dir), evidence.verdict_changes(evaluated(spark, sf_dir)), events(spark, sf_dir))
+    return board.horizon(adapters.poll_log(spark, sf_dir), changes(spark, sf_dir), events(spark, sf_dir))
 
 
 def agg_feed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,29 +153,21 @@ pulls AS (
     SELECT publisher_key FROM registry_events WHERE pull <= 6 AND event IN ('ACCESS_LOST', 'ACCESS_GAINED') GROUP BY 1 HAVING arg_max(event, pull) = 'ACCESS_LOST'
 )"""
 
-VERDICTS = RESULTS + """, graded AS (
-    SELECT event_id, publisher_key, polled_us, coalesce(max(CASE verdict WHEN 'QUARANTINE' THEN 3 WHEN 'WATCH' THEN 2 WHEN 'ADMIT' THEN 1 END), 2) AS grade FROM results GROUP BY ALL
-), moves AS (
-    SELECT *, lag(grade) OVER (PARTITION BY publisher_key ORDER BY polled_us, event_id) AS old FROM graded
-), changes AS (
-    SELECT *, ['ADMIT', 'WATCH', 'QUARANTINE'][grade] AS to_state, grade > old AS worse FROM moves WHERE grade <> old
-), episodes AS (
+VERDICTS = FOLD + """, episodes AS (
     SELECT *, first_value(CASE WHEN NOT worse THEN {'u': polled_us, 'e': event_id} END IGNORE NULLS) OVER (PARTITION BY publisher_key ORDER BY polled_us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closing FROM changes
 ), packets AS (
-    SELECT concat_ws('|', publisher_key, to_state, event_id) AS packet_id, publisher_key, to_state, event_id, polled_us AS opened_us, closing.u AS closed_us, closing.e AS closing_id FROM episodes WHERE worse
-), numbered AS (
-    SELECT event_id, publisher_key, polled_us, row_number() OVER (PARTITION BY publisher_key ORDER BY polled_us, event_id) AS n FROM polls
+    SELECT concat_ws('|', publisher_key, to_state, event_id) AS packet_id, publisher_key, to_state, event_id, polled_us AS opened_us, closing.u AS closed_us, closing.e AS closing_id, depth FROM episodes WHERE worse
 ), windows AS (
     SELECT packet_id, min(b.polled_us) AS window_start, max(b.polled_us) AS window_end, count(*) AS observations, count(*) > 50 AS truncated
-    FROM packets JOIN numbered a USING (event_id) JOIN numbered b ON a.publisher_key = b.publisher_key AND b.n BETWEEN a.n - 11 AND a.n GROUP BY 1
+    FROM packets JOIN marks a USING (event_id) JOIN marks b ON a.publisher_key = b.publisher_key AND b.k BETWEEN a.k - packets.depth + 1 AND a.k GROUP BY 1
 ), drafts AS (
     SELECT packets.*, observations, CASE WHEN event_id % 7 <> 0 THEN 'Publisher ' || publisher_key || ' moved to ' || to_state || ' on ' || CASE WHEN observations = 1 THEN '1 poll' ELSE observations || ' polls' END || '.' END AS rendering,
         CASE WHEN event_id % 5 = 0 THEN 'APPROVED' ELSE 'DRAFT' END AS approval_state
     FROM packets JOIN windows USING (packet_id)
 )"""
 
-SNAPSHOT = f"{EVENTS}, {VERDICTS.strip()}" + """, hosts AS (
-    SELECT publisher_key AS host_key, ['ADMIT', 'WATCH', 'QUARANTINE'][arg_max(grade, (polled_us, event_id))] AS state FROM graded GROUP BY 1
+SNAPSHOT = f"{EVENTS}, {VERDICTS.strip()}" + f""", hosts AS (
+    SELECT publisher_key AS host_key, arg_max(to_state, (polled_us, event_id)) AS state FROM changes WHERE polled_us <= {AT_US} GROUP BY 1
 ), snapshot AS (
     SELECT publisher_key, CASE WHEN publisher_key IN (SELECT publisher_key FROM gated) THEN 'NO_ACCESS' ELSE coalesce(state, 'WATCH') END AS state
     FROM members LEFT JOIN (SELECT DISTINCT publisher_key, host_key FROM pulls) USING (publisher_key) LEFT JOIN hosts USING (host_key)
@@ -183,19 +183,19 @@ ORACLE_SQL = {
     "registry_history": f"WITH {EVENTS} SELECT * FROM registry_events",
     "asof_membership_at": f"WITH {EVENTS} SELECT * FROM members",
     "asof_access_at": f"WITH {EVENTS} SELECT * FROM gated",
-    "asof_snapshot_at": f"WITH {SNAPSHOT} SELECT * FROM snapshot",
-    "agg_band_counts": f"WITH {SNAPSHOT} SELECT band, count(publisher_key) FILTER (contains(lower(publisher_key), '2')) AS shown, count(publisher_key) AS total FROM (SELECT unnest(['ADMIT', 'WATCH', 'QUARANTINE', 'NO_ACCESS']) AS band) LEFT JOIN snapshot ON band = state GROUP BY 1",
-    "flt_fleet_board": f"WITH {SNAPSHOT} SELECT * FROM snapshot WHERE state <> 'NO_ACCESS' AND contains(lower(publisher_key), 'supplier')",
-    "win_packet_episodes": f"WITH {VERDICTS} SELECT * FROM packets",
-    "agg_evidence_window": f"WITH {VERDICTS} SELECT * FROM windows",
-    "ev_open_packet": f"WITH {VERDICTS} SELECT packet_id, rendering, approval_state, observations FROM drafts",
-    "ev_apply_decisions": f"""WITH {VERDICTS}, made AS (
+    "asof_snapshot_at": f"WITH RECURSIVE {SNAPSHOT} SELECT * FROM snapshot",
+    "agg_band_counts": f"WITH RECURSIVE {SNAPSHOT} SELECT band, count(publisher_key) FILTER (contains(lower(publisher_key), '2')) AS shown, count(publisher_key) AS total FROM (SELECT unnest(['ADMIT', 'WATCH', 'QUARANTINE', 'NO_ACCESS']) AS band) LEFT JOIN snapshot ON band = state GROUP BY 1",
+    "flt_fleet_board": f"WITH RECURSIVE {SNAPSHOT} SELECT * FROM snapshot WHERE state <> 'NO_ACCESS' AND contains(lower(publisher_key), 'supplier')",
+    "win_packet_episodes": f"WITH RECURSIVE {VERDICTS} SELECT * FROM packets",
+    "agg_evidence_window": f"WITH RECURSIVE {VERDICTS} SELECT * FROM windows",
+    "ev_open_packet": f"WITH RECURSIVE {VERDICTS} SELECT packet_id, rendering, approval_state, observations FROM drafts",
+    "ev_apply_decisions": f"""WITH RECURSIVE {VERDICTS}, made AS (
         SELECT packet_id, CASE WHEN event_id % 4 <> 0 THEN 'reviewer' END AS identity, rendering, CASE WHEN event_id % 4 = 0 THEN 'E_EVID_002' WHEN approval_state <> 'DRAFT' THEN 'E_EVID_003' WHEN rendering IS NULL THEN 'E_EVID_001'
             WHEN event_id % 11 = 0 THEN 'E_EVID_003' ELSE 'ACCEPTED' END AS outcome FROM drafts
     ) SELECT packet_id, identity, outcome, CASE WHEN outcome = 'ACCEPTED' THEN 'APPROVED' END AS approval_state, CASE WHEN outcome = 'ACCEPTED' THEN sha256(rendering) END AS approved_sha256 FROM made""",
-    "top_notice_queue": f"WITH {VERDICTS} SELECT packet_id, opened_us FROM drafts WHERE approval_state = 'DRAFT' AND closed_us IS NULL ORDER BY opened_us, packet_id",
-    "top_recent_transitions": f"WITH {VERDICTS} SELECT event_id, publisher_key, polled_us, to_state FROM changes ORDER BY polled_us DESC, event_id DESC LIMIT 100",
-    "agg_replay_horizon": f"WITH {EVENTS}, {VERDICTS.strip()} SELECT (SELECT min(polled_us) FROM polls) AS earliest_poll, (SELECT min(polled_us) FROM changes) AS earliest_transition, (SELECT min(pull) FROM registry_events) AS earliest_pull",
+    "top_notice_queue": f"WITH RECURSIVE {VERDICTS} SELECT packet_id, opened_us FROM drafts WHERE approval_state = 'DRAFT' AND closed_us IS NULL ORDER BY opened_us, packet_id",
+    "top_recent_transitions": f"WITH RECURSIVE {VERDICTS} SELECT event_id, publisher_key, polled_us, to_state FROM changes ORDER BY polled_us DESC, event_id DESC LIMIT 100",
+    "agg_replay_horizon": f"WITH RECURSIVE {EVENTS}, {VERDICTS.strip()} SELECT (SELECT min(polled_us) FROM polls) AS earliest_poll, (SELECT min(polled_us) FROM changes) AS earliest_transition, (SELECT min(pull) FROM registry_events) AS earliest_pull",
     "agg_feed_health": f"WITH {POLLS} SELECT publisher_key, count(*) AS polls, count(*) FILTER (NOT failed) AS reached, count(*) FILTER (has_body AND update_age_seconds > 604800) AS stale, count(*) FILTER (has_body AND update_age_seconds IS NULL) AS undeterminable, count(*) FILTER (has_body AND past > 0) AS contradictory FROM polls GROUP BY 1",
     "set_unsupported_numbers": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({found_numbers('text')}, lambda n: NOT list_contains([doc_id::VARCHAR, n_chars::VARCHAR], n)))), ',') AS unsupported FROM documents",
     "agg_transfer_economics": "SELECT f AS floor_seconds, sum(w)::BIGINT AS wire_bytes, sum(w * 86400 // greatest(c, f))::BIGINT AS bytes_a_day FROM (SELECT strlen(html) AS w, 60 * (1 + page_id % 90) AS c, unnest([0, 300, 900, 3600])::BIGINT AS f FROM pages) GROUP BY 1",

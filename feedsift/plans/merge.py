@@ -197,7 +197,7 @@ MATCHES = ZONES + f""", sides AS (
     SELECT a.publisher_key AS left_publisher, a.pos AS left_pos, b.publisher_key AS right_publisher, b.pos AS right_pos, greatest(a.long_m, b.long_m) AS longest,
         6371008.8 * radians(greatest(0.0::DOUBLE, b.lon - a.lon - a.length, a.lon - b.lon - b.length)) * cos(radians(a.lat)) AS metres, least({share("a", "b")}, {share("b", "a")}) AS cov,
         a.source = b.source AS same_source, list_has_any(a.roads, b.roads) AS shared_road, a.north AND b.north AS same_direction, a.start_us <= b.end_us AND b.start_us <= a.end_us AS dates_overlap
-    FROM sides a JOIN sides b ON a.publisher_key < b.publisher_key AND b.lat BETWEEN a.lat - 0.005 AND a.lat + 0.005 AND b.lon <= a.lon + a.length + 0.01 AND a.lon <= b.lon + b.length + 0.01
+    FROM sides a JOIN sides b ON a.part_key = b.part_key AND a.publisher_key < b.publisher_key AND b.lat BETWEEN a.lat - 0.005 AND a.lat + 0.005 AND b.lon <= a.lon + a.length + 0.01 AND a.lon <= b.lon + b.length + 0.01
 ), judged AS (
     SELECT *, CASE WHEN longest >= 50 THEN cov END AS coverage, longest < 50 OR cov >= 0.6 AS matched, CASE WHEN same_source AND metres <= 1 THEN 'TIER_1' ELSE 'TIER_2' END AS tier,
         (left_pos + right_pos) % 7 AS n

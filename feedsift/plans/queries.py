@@ -11,6 +11,8 @@ from ..functions.columns import ROAD_WORDS, cadence_seconds, clamp, normal_road
 from ..operators import history, reconcile, registry, rollup, rules, screening
 from ..sources import adapters
 
+#: The time that replays ask for: 18 days after the start of the tables' year, in microseconds.
+AT_US = 1_704_067_200_000_000 + 18 * 86_400_000_000
 #: What the screen looks for in the driver's texts, in order.
 NEEDLES = (("password", "secret"), ("@", "contact"), ("idiot", "abuse"), ("license", "notice"))
 
@@ -59,19 +61,20 @@ def fold_most_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.evaluate(polls(spark, sf_dir)).select("event_id", "instantaneous")
 
 
-def fold_trust_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.trust_states(rules.evaluate(polls(spark, sf_dir)))
 
 
+def fold_trust_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states(spark, sf_dir).drop("rule_ids", "depth")
+
+
 def fold_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evaluated = rules.evaluate(polls(spark, sf_dir))
-    return rules.transitions(rules.trust_states(evaluated), evaluated)
+    return rules.transitions(states(spark, sf_dir)).drop("depth")
 
 
 def asof_states_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evaluated = rules.evaluate(polls(spark, sf_dir))
-    latest = evaluated.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY polled_us)")).first()[0]
-    return rules.states_at(rules.transitions(rules.trust_states(evaluated), evaluated), latest or 0)
+    return rules.states_at(rules.transitions(states(spark, sf_dir)), AT_US)
 
 
 def agg_publisher_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +160,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 POLLS = """
 base AS (
-    SELECT event_id, ts, epoch_us(ts) AS polled_us, user_id % 5 AS g, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, event_type, value,
+    SELECT event_id, ts, epoch_us(ts) AS polled_us, user_id // 30 AS org, user_id // 30 % 5 AS g, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, event_type, value,
         event_type = 'error' AS err, event_type NOT IN ('error', 'view') AS body
     FROM events
 ), named AS (
-    SELECT *, 'org' || g || '|feed' || g AS publisher_key,
+    SELECT *, 'org' || org || '|feed' || org AS publisher_key,
         CASE WHEN err THEN CASE WHEN k % 10 = 0 THEN 0 ELSE 503 END WHEN event_type = 'view' THEN 304 ELSE 200 END AS http_status,
         event_type = 'view' AS not_modified, CASE WHEN NOT err THEN value END AS latency_ms,
         CASE g WHEN 0 THEN 1e8::DOUBLE WHEN 1 THEN value WHEN 2 THEN 691200.0::DOUBLE WHEN 3 THEN CASE WHEN k >= 10 THEN (5 - k)::DOUBLE END ELSE 3600.0::DOUBLE END AS update_age_seconds,
@@ -216,7 +219,7 @@ def graded(watch: str, quarantine: str) -> str:
 
 
 RESULTS = FROZEN + f""", judged AS (
-    SELECT p.event_id, p.publisher_key, p.polled_us, p.day, [
+    SELECT p.event_id, p.publisher_key, p.polled_us, p.day, p.failed, p.failures, n, [
         CASE WHEN unreached THEN 'NOT_APPLICABLE/MISSING_INPUT' ELSE {graded("failures >= 3", "failures >= 12")} END,
         CASE WHEN failed THEN 'NOT_APPLICABLE/NO_BODY' WHEN update_age_seconds IS NULL OR update_age_seconds < 0 THEN 'NOT_APPLICABLE/MISSING_INPUT'
             ELSE {graded("update_age_seconds > 604800", "update_age_seconds > 2592000")} END,
@@ -235,6 +238,45 @@ RESULTS = FROZEN + f""", judged AS (
     FROM (SELECT *, unnest(list_zip(range(1, 7), found), max_depth := 1) AS z FROM judged) q, LATERAL (SELECT z[1] AS i, z[2] AS v) x
 )"""
 
+
+
+def bits(condition: str) -> str:
+    """The rules whose answer x meets the condition, as bits of a number."""
+    return f"list_sum(list_transform(found, lambda x, i: CASE WHEN {condition} THEN 1 << (i - 1)::INT ELSE 0 END))::INT"
+
+
+def named(mask: str) -> str:
+    return f"list_filter(['R1', 'R2', 'R3', 'R4', 'R5', 'R6'], lambda x, i: {mask} & (1 << (i - 1)::INT) > 0)"
+
+
+#: The state of each publisher poll by poll: every step joins each publisher's next poll.
+FOLD = RESULTS + f""", masks AS (
+    SELECT event_id, publisher_key, polled_us, failed, failures, n, row_number() OVER (PARTITION BY publisher_key ORDER BY polled_us, event_id) AS k,
+        {bits("starts_with(x, 'QUARANTINE')")} AS q, {bits("starts_with(x, 'WATCH')")} AS w, {bits("starts_with(x, 'ADMIT')")} AS fine, {bits("starts_with(x, 'NOT_APPLICABLE') AND NOT contains(x, 'MEASURED')")} AS unmeasured
+    FROM judged
+), marks AS MATERIALIZED (
+    SELECT *, CASE WHEN q > 0 THEN 2 WHEN w > 0 THEN 1 WHEN fine > 0 THEN 0 ELSE 1 END AS grade,
+        greatest(1, CASE WHEN (q | w) & 1 > 0 THEN failures END, CASE WHEN (q | w) & 16 > 0 THEN n END)::BIGINT AS depth FROM masks
+), fold AS (
+    SELECT publisher_key, 0::BIGINT AS k, 1 AS old, 1 AS state, 0 AS latches, 0::BIGINT AS streak, NULL::BIGINT AS since, false AS clean FROM marks WHERE k = 1
+    UNION ALL
+    SELECT publisher_key, k, state, new, CASE WHEN new < state OR new = 0 THEN 0 ELSE latches | CASE WHEN new = 2 THEN q ELSE q | w END END, CASE WHEN new = state THEN run ELSE 0 END, CASE WHEN new = state THEN start END, clean
+    FROM (
+        SELECT *, CASE WHEN grade > state THEN grade WHEN state = 2 AND run >= 12 AND (polled_us - start) / 3.6e9::DOUBLE >= 6 THEN 1 WHEN state = 1 AND run >= 6 THEN 0 ELSE state END AS new
+        FROM (
+            SELECT *, CASE WHEN clean AND grade <= state THEN streak + 1 ELSE 0 END AS run, CASE WHEN clean AND grade <= state THEN coalesce(since, polled_us) END AS start
+            FROM (SELECT m.*, f.state, f.latches, f.streak, f.since, NOT m.failed AND m.grade = 0 AND f.latches & m.unmeasured = 0 AS clean FROM fold f JOIN marks m ON m.publisher_key = f.publisher_key AND m.k = f.k + 1)
+        )
+    )
+), states AS (
+    SELECT m.*, ['ADMIT', 'WATCH', 'QUARANTINE'][f.old + 1] AS from_state, ['ADMIT', 'WATCH', 'QUARANTINE'][f.state + 1] AS state, f.clean, f.streak, array_to_string({named("f.latches")}, ',') AS latches,
+        array_to_string(list_concat({named("q")}, {named("w")}), ',') AS rule_ids, f.state > f.old AS worse
+    FROM marks m JOIN fold f USING (publisher_key, k)
+), changes AS (
+    SELECT event_id, publisher_key, polled_us, from_state, state AS to_state, rule_ids, nullif(split_part(rule_ids, ',', 1), '') AS primary_rule_id, CASE WHEN worse THEN 'ESCALATION' ELSE 'DE_ESCALATION' END AS direction, depth, worse
+    FROM states WHERE state <> from_state
+)"""
+
 PULLS = """
 pull AS (
     SELECT n_name || '|' || s_name AS publisher_key, s_suppkey AS s, n_name, 'https://feeds.example/' || s_suppkey AS url,
@@ -272,7 +314,7 @@ zones AS (
         epoch_us(l_shipdate) AS start_us, epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) * 86400000000 AS end_us,
         l_partkey AS part_key, l_orderkey AS order_key, CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE 0.001::DOUBLE * (1 + l_quantity % 10) END AS length,
         CASE WHEN l_orderkey % 13 <> 0 THEN epoch_us(l_shipdate) + (l_orderkey % 30) * 86400000000 END AS update_us
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 20 = 0
+    FROM lineitem JOIN part ON l_partkey = p_partkey
 ), kept AS (
     SELECT * FROM zones QUALIFY row_number() OVER (PARTITION BY publisher_key, feature_id ORDER BY pos) = 1
 )"""
@@ -283,7 +325,7 @@ PAIRS = ZONES + f""", points AS (
     SELECT a.publisher_key AS left_publisher, a.pos AS left_pos, b.publisher_key AS right_publisher, b.pos AS right_pos,
         sqrt(pow(6371008.8 * radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(6371008.8 * radians(b.lat - a.lat), 2)) AS metres,
         a.source = b.source AS same_source, list_has_any(a.roads, b.roads) AS shared_road, a.north AND b.north AS same_direction, a.start_us <= b.end_us AND b.start_us <= a.end_us AS dates_overlap
-    FROM points a JOIN points b ON a.publisher_key < b.publisher_key AND b.lat BETWEEN a.lat - 0.002 AND a.lat + 0.002 AND b.lon BETWEEN a.lon - 0.01 AND a.lon + 0.01
+    FROM points a JOIN points b ON a.part_key = b.part_key AND a.publisher_key < b.publisher_key AND b.lat BETWEEN a.lat - 0.002 AND a.lat + 0.002 AND b.lon BETWEEN a.lon - 0.01 AND a.lon + 0.01
 ), near AS (
     SELECT *, CASE WHEN same_source AND metres <= 1 THEN 'TIER_1' ELSE 'TIER_2' END AS tier FROM pairs WHERE metres <= 150
 )"""
@@ -314,6 +356,9 @@ ORACLE_SQL: dict[str, str] = {
     "win_r5_frozen": f"WITH {FROZEN} SELECT * FROM frozen",
     "rule_results_long": f"WITH {RESULTS} SELECT event_id, rule_id, verdict, reason FROM results",
     "fold_most_severe": f"WITH {RESULTS} SELECT event_id, ['ADMIT', 'WATCH', 'QUARANTINE'][coalesce(max(CASE verdict WHEN 'QUARANTINE' THEN 3 WHEN 'WATCH' THEN 2 WHEN 'ADMIT' THEN 1 END), 2)] AS instantaneous FROM results GROUP BY event_id",
+    "fold_trust_state": f"WITH RECURSIVE {FOLD} SELECT event_id, publisher_key, polled_us, from_state, state, clean, streak, latches FROM states",
+    "fold_transition": f"WITH RECURSIVE {FOLD} SELECT event_id, publisher_key, polled_us, from_state, to_state, rule_ids, primary_rule_id, direction FROM changes",
+    "asof_states_at": f"WITH RECURSIVE {FOLD} SELECT publisher_key, arg_max(to_state, (polled_us, event_id)) AS state FROM changes WHERE polled_us <= {AT_US} GROUP BY 1",
     "agg_publisher_daily": f"""WITH {CHANGES}, daily AS (
         SELECT publisher_key, day, count(*) AS poll_count, count(*) FILTER (failed) AS failure_count, count(*) FILTER (not_modified AND NOT failed) AS not_modified_count,
             quantile_disc(CASE WHEN NOT failed THEN latency_ms END, 0.5) AS latency_p50_ms, quantile_disc(CASE WHEN NOT failed THEN latency_ms END, 0.95) AS latency_p95_ms,

@@ -92,7 +92,7 @@ def agg_oldest_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_evidence_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.evidence_depth(evaluated(spark, sf_dir), adapters.poll_log(spark, sf_dir))
+    return evaluated(spark, sf_dir).select("event_id", "depth")
 
 
 def prj_churn_status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,11 @@
 import itertools
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from feedsift.functions import geometry
 from feedsift.operators import matching
+from feedsift.plans import merge
 
 
 def test_a_ramp_inside_a_long_corridor_does_not_match_it():
@@ -44,11 +44,44 @@ def test_candidates_miss_no_pair_within_reach(spark):
 
 
 def test_groups_hold_one_zone_of_a_publisher_and_keep_the_better_edge():
-    edges = pd.DataFrame([(1, 2, "a", "b"), (2, 3, "b", "a"), (3, 4, "a", "c"), (2, 4, "b", "c")], columns=["a", "b", "pa", "pb"])
+    edges = [(1, 2, "a", "b", False), (2, 3, "b", "a", False), (3, 4, "a", "c", False), (2, 4, "b", "c", False)]
     found = list(matching.greedy(edges))
     assert [x for x in found if x[0] == "dropped"] == [("dropped", 2, 3), ("dropped", 2, 4)]
     assert sorted(x[1:] for x in found if x[0] == "member") == [(1, 1), (2, 1), (3, 3), (4, 3)]
-    assert ("dropped", 1, 2) in list(matching.greedy(edges, {(1, 2)}))
+    assert ("dropped", 1, 2) in list(matching.greedy([(1, 2, "a", "b", True), *edges]))
+
+
+def test_a_pair_judged_apart_binds_whole_groups():
+    # 1-2 and 3-4 are groups; 2 and 4 were judged apart, so 1-3 must not join them
+    edges = [(2, 4, "b", "d", True), (1, 2, "a", "b", False), (3, 4, "c", "d", False), (1, 3, "a", "c", False)]
+    assert [x for x in matching.greedy(edges) if x[0] == "dropped"] == [("dropped", 1, 3)]
+
+
+def test_short_geometries_are_judged_as_one_by_one():
+    rng = np.random.default_rng(2)
+    n = 400
+    a, b = (rng.uniform(-0.004, 0.004, (n, 2, 2)) + [179.999, 50.0] for _ in range(2))
+    for x in (a, b):  # many cross the antimeridian
+        x[..., 0] = (x[..., 0] + 180) % 360 - 180
+    points, others = rng.random(n) < 0.3, rng.random(n) < 0.3
+    a[points, 1], b[others, 1] = a[points, 0], b[others, 0]
+    metres, coverage = geometry.judge_short(a, b, points, others, 150.0)
+    for k in range(n):
+        x, y = (g[k, :1] if p[k] else g[k] for g, p in ((a, points), (b, others)))
+        assert metres[k] == pytest.approx(geometry.min_distance(x, y), abs=1e-6)
+        whole = metres[k] <= 150 and max(geometry.length(x), geometry.length(y)) >= geometry.POINT_METRES
+        assert np.isnan(coverage[k]) if not whole else coverage[k] == pytest.approx(geometry.symmetric_coverage(x, y, 150.0))
+
+
+def test_groups_of_a_whole_table_equal_one_pass_over_all_edges(spark):
+    pairs = merge.adjudicated(spark, "/root/testdata/sf0.001").collect()
+    apart = [(r["left_pos"], r["right_pos"]) for r in pairs if r["verdict"] == "DISTINCT"]
+    order = sorted((r["tier"], r["metres"], r["left_publisher"], r["right_publisher"], r["left_pos"], r["right_pos"]) for r in pairs if r["accepted"])
+    want = {x[1:] for x in matching.greedy([(a, b, "", "", True) for a, b in apart] + [(a, b, p, q, False) for _, _, p, q, a, b in order]) if x[0] == "member"}
+    rows = merge.grp_constrained_components(spark, "/root/testdata/sf0.001").collect()
+    lead = {r["pos"]: r["lead"] for r in rows}
+    assert {(p, lead[p]) for p, _ in want} == want and all(p == q for p, q in lead.items() if (p, q) not in want)
+    assert len(apart) > 50 and all(lead[a] != lead[b] for a, b in apart)
 
 
 def test_components_reach_the_smallest_node(spark):
