@@ -55,6 +55,45 @@ def normal_road(name: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def unwrapped(lon: Column, ref: Column) -> Column:
+    """The longitude in the branch nearest to ref; halves go to the even turn."""
+    return lon - 360 * F.bround((lon - ref) / 360)
+
+
+def to_metres(lon: Column, lat: Column, lat0: Column) -> tuple[Column, Column]:
+    """East and north in metres on the plane about latitude lat0."""
+    return EARTH_METRES * F.radians(lon) * F.cos(F.radians(lat0)), EARTH_METRES * F.radians(lat)
+
+
+def iso_utc(micros: Column) -> Column:
+    """ISO text of a time in UTC; a fraction only where there is one."""
+    at = F.timestamp_micros(micros)
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros % 1_000_000 != 0, F.date_format(at, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+
+
+def utc_moment(stamp: Column) -> Column:
+    """A stamp for a reader: to the second in UTC; one without a zone, or that cannot be read, is named as such."""
+    at = rfc3339_micros(stamp)
+    local = F.try_to_timestamp(F.replace(F.substring(stamp, 1, 19), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return (
+        F.when(F.coalesce(stamp, F.lit("")) == "", "not recorded").when(at.isNotNull(), F.concat(F.date_format(F.timestamp_micros(at), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")))
+        .when(local.isNotNull(), F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(" (no time zone given)"))).otherwise(F.concat(stamp, F.lit(" (unreadable as a timestamp)")))
+    )
+
+
+def classified(allowed: Column) -> tuple[Column, Column]:
+    """(error, origin) of a raw response (transport_error, not_modified, http_status, body), in this order: a refused scheme is
+    our own side's; then a transport error, a not-modified without its status, a status outside 2xx, no body, a body that is no
+    JSON object."""
+    status, body = F.col("http_status"), F.col("body")
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
+    error = (
+        F.when(~allowed, "SchemeRefused").when(F.col("transport_error").isNotNull(), F.col("transport_error")).when(F.col("not_modified") & (status != 304), "HTTPStatus").when(F.col("not_modified"), None)
+        .when((status < 200) | (status >= 300), "HTTPStatus").when(body.isNull(), "EmptyResponse").when(~readable, "Unreadable")
+    )
+    return error, F.when(error.isNotNull(), F.when(~allowed, "OWN_SIDE").otherwise("PUBLISHER"))
+
+
 def point_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Metres between two points on the plane about their mean latitude; longitudes in one branch."""
     turned = lon2 - 360 * F.bround((lon2 - lon1) / 360)

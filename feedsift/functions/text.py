@@ -40,6 +40,11 @@ def pair_key(left: Column, right: Column, *more: str) -> Column:
     return F.concat_ws("|", F.least(a, b), F.greatest(a, b), *(F.lit(x) for x in more))
 
 
+def cache_key(text: Column, *more: str) -> Column:
+    """The key of a text under a policy and a model."""
+    return F.concat_ws("|", F.sha2(text, 256), *(F.lit(x) for x in more))
+
+
 def road_label(names: Column, direction: Column, redacted: str) -> Column:
     """struct(label, redacted, alternatives) of a zone's road names: each name once (case and outer blanks do not count, the
     first spelling stays); without any, the direction or `unnamed`; empty where screening withheld every name."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .views import violations
+
 
 def features(bodies: DataFrame) -> DataFrame:
     """(feed_key, pos, feature_id, shape, start_date, end_date, event_status, description, road_names, raw): a row for each
@@ -48,3 +52,21 @@ def consistency(rows: DataFrame, now_us: Column) -> DataFrame:
     end is missing or unreadable."""
     active, end = F.col("event_status") == "active", F.expr("try_cast(end_date AS long)")
     return rows.groupBy("feed_key").agg(F.count(F.lit(1)).alias("features"), F.count_if(active).alias("active"), F.count_if(active & (end < now_us)).alias("active_past"), F.count_if(active & end.isNull()).alias("active_undated"))
+
+
+def work_zone_fields(rows: DataFrame) -> DataFrame:
+    """(feed_key, pos, field, value) of each property of a feature that is neither an object nor a list."""
+    held = F.try_variant_get(F.try_parse_json("raw"), "$.properties", "map<string,variant>")
+    entries = rows.select("feed_key", "pos", F.explode(held).alias("field", "v"))
+    kind = F.schema_of_variant("v")
+    plain = ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID")
+    return entries.filter(plain).select("feed_key", "pos", "field", F.try_variant_get("v", "$", "string").alias("value"))
+
+
+def observations(feeds: DataFrame, now_us: Column, constraints: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
+    """What the body of each feed measures: (feed_key, update_date, features, active, active_past, active_undated, schema_errors,
+    content_hash, structural_hash). Feeds without a feature measure nothing."""
+    rows = features(feeds)
+    errors = violations(rows, ["feed_key"], constraints).groupBy("feed_key").agg(F.count(F.lit(1)).alias("schema_errors"))
+    found = consistency(rows, now_us).join(hashes(rows), "feed_key").join(errors, "feed_key", "left").join(header(feeds).select("feed_key", "update_date"), "feed_key")
+    return found.withColumn("schema_errors", F.coalesce("schema_errors", F.lit(0)))

@@ -49,6 +49,60 @@ def rendering() -> Column:
     return F.concat(F.lit("Publisher "), F.col("publisher_key"), F.lit(" moved to "), F.col("to_state"), F.lit(" on "), polls, F.lit("."))
 
 
+#: What stands between a model's prose and the facts that it was given.
+MARKER = "Facts of record:"
+
+
+def facts(found: DataFrame, windows_: DataFrame, changes: DataFrame, embedded: int = 50) -> DataFrame:
+    """What a notice may cite of each packet, and nothing else."""
+    rows = found.join(windows_, "packet_id").join(changes.select("event_id", "rule_ids"), "event_id")
+    return rows.select("packet_id", "publisher_key", "to_state", "rule_ids", "window_start", "window_end", "observations", F.least("observations", F.lit(embedded)).cast("long").alias("embedded"), "truncated", F.col("closed_us").alias("resolved_us"))
+
+
+def moment(micros: str) -> Column:
+    return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd HH:mm:ss")
+
+
+def lines(*parts: Column) -> Column:
+    return F.concat_ws("\n", *parts)
+
+
+def stated(label: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{label}: "), value)
+
+
+def observed() -> Column:
+    n = F.when(F.col("observations") == 1, F.lit("1 poll")).otherwise(F.concat(F.col("observations").cast("string"), F.lit(" polls")))
+    return stated("Observed", F.concat(n, F.lit(", "), moment("window_start"), F.lit(" to "), moment("window_end"), F.lit(" UTC")))
+
+
+def consumer_text() -> Column:
+    """The decision record for those who use the feed, from a packet's facts."""
+    org, feed = (F.split_part("publisher_key", F.lit("|"), F.lit(k)) for k in (1, 2))
+    status = F.when(F.col("resolved_us").isNull(), "open").otherwise(F.concat(F.lit("resolved "), moment("resolved_us"), F.lit(" UTC")))
+    return lines(stated("Decision record", org), stated("Feed", feed), stated("State", F.col("to_state")), stated("Rules fired", F.replace("rule_ids", F.lit(","), F.lit(", "))), observed(), stated("Status", status))
+
+
+def registry_text() -> Column:
+    """The notice for the registry, a draft until a person approves it."""
+    org, feed = (F.split_part("publisher_key", F.lit("|"), F.lit(k)) for k in (1, 2))
+    return lines(F.concat(F.lit("Notice on the registry entry of "), org), stated("Feed", feed), stated("Rules", F.replace("rule_ids", F.lit(","), F.lit(", "))), observed(), F.lit("This notice is a draft and goes out only when a person approves it."))
+
+
+def redrafted(found: DataFrame) -> DataFrame:
+    """Drafts (rendering: today's wording; stored: what is held) with outcome: KEEP_MODEL where a model wrote the text, REWRITE
+    where the wording is older, else UNCHANGED. What is no draft is left out."""
+    outcome = F.when(F.contains("stored", F.lit(MARKER)), "KEEP_MODEL").when(~F.col("stored").eqNullSafe(F.col("rendering")), "REWRITE").otherwise("UNCHANGED")
+    return found.filter("approval_state = 'DRAFT'").withColumn("outcome", outcome)
+
+
+def guarded(found: DataFrame) -> DataFrame:
+    """Packets with used: whether a drafter's prose cites only numbers of the packet's facts."""
+    cited = F.concat_ws(" ", F.col("observations").cast("string"), "publisher_key", "packet_id")
+    checked = unsupported_numbers(found.withColumn("__facts", cited), "prose", "__facts")
+    return checked.withColumn("used", (F.size("unsupported") == 0) & (F.trim("prose") != "")).drop("__facts", "unsupported")
+
+
 def extended(found: DataFrame, later: DataFrame) -> DataFrame:
     """Packets (packet_id, approval_state, closed_us, observation_ids) with later observations (packet_id, event_id): ids join as
     a set, what is no draft becomes one again, and a closed packet is refused (refused, unchanged)."""

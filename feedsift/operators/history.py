@@ -47,6 +47,12 @@ def latest_polls(polls: DataFrame, n: int) -> DataFrame:
     return polls.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= n)
 
 
+def retained_polls(polls: DataFrame, n: int, days: int) -> DataFrame:
+    """The newest n polls of each publisher that are at most so many days older than the newest of all."""
+    last = polls.agg((F.max("polled_us") - days * DAY_US).alias("__least"))  # one row
+    return latest_polls(polls, n).crossJoin(F.broadcast(last)).filter(F.col("polled_us") >= F.col("__least")).drop("place", "__least")
+
+
 def dedupe_polls(polls: DataFrame) -> DataFrame:
     """One poll per publisher and time: that with the greatest event_id."""
     best = polls.groupBy("publisher_key", "polled_us").agg(F.max("event_id").alias("event_id"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -106,6 +106,13 @@ def matches(pairs: DataFrame, reach: float = REACH, sure: float = SURE) -> DataF
     )
 
 
+def verdicts(pairs: DataFrame, adjudicator: Column) -> DataFrame:
+    """(left_pos, right_pos, verdict) of the matched pairs of the second tier, by an adjudicator over the pair's columns; what it
+    does not answer is UNSURE."""
+    asked = pairs.filter("matched AND tier = 'TIER_2'")
+    return asked.select("left_pos", "right_pos", F.coalesce(adjudicator, F.lit("UNSURE")).alias("verdict"))
+
+
 def adjudicated(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The matched pairs with the verdict on each of the second tier: (left_pos, right_pos, verdict) is looked up, a pair
     without a usable one is NOT_RUN. Only the first tier and DUPLICATE are accepted."""
@@ -217,23 +224,34 @@ def canonical(zones: DataFrame, members: DataFrame, grouped: DataFrame) -> DataF
     return rows.join(lost, "lead", "left")
 
 
-def assign_identity(members: DataFrame, held: DataFrame, at: int) -> DataFrame:
+def claims(members: DataFrame, held: DataFrame) -> DataFrame:
+    """(group_key, members, held, oldest, place) of each group of (group_key, source_key), from the map (source_key,
+    canonical_id, first_mapped_at): the oldest id that a member holds (null without any), and the group's place among those
+    that claim it: the largest first, by members on ties."""
+    old = F.struct("first_mapped_at", "canonical_id")
+    rows = members.join(held, "source_key", "left").groupBy("group_key").agg(
+        F.min(F.when(F.col("canonical_id").isNotNull(), old)).alias("oldest"), F.collect_set("canonical_id").alias("held"), F.array_sort(F.collect_list("source_key")).alias("members"))
+    order = Window.partitionBy("oldest.canonical_id").orderBy(F.desc(F.size("members")), "members")
+    inherits = rows.filter("oldest IS NOT NULL").withColumn("place", F.row_number().over(order))
+    return inherits.unionByName(rows.filter("oldest IS NULL").withColumn("place", F.lit(0)))
+
+
+def digest_id(at: int) -> Callable[[Column], Column]:
+    """Mints a digest of the cycle and a group's first member, so a repeated task mints the same."""
+    return lambda first: F.sha2(F.concat_ws("|", F.lit(str(at)), first.cast("string")), 256)
+
+
+def assign_identity(members: DataFrame, held: DataFrame, at: int, mint: Callable[[Column], Column] | None = None) -> DataFrame:
     """(group_key, canonical_id, first_mapped_at, minted, supersedes) of each group of (group_key, source_key), from the map
     (source_key, canonical_id, first_mapped_at).
 
     A group inherits the oldest id that a member holds. Where several claim one, the largest keeps it, by members on ties; the
-    others mint and name the claimed id as superseded. A minted id is a digest of the cycle and the first member, so a repeated
-    task mints the same."""
-    old = F.struct("first_mapped_at", "canonical_id")
-    rows = members.join(held, "source_key", "left").groupBy("group_key").agg(
-        F.min(F.when(F.col("canonical_id").isNotNull(), old)).alias("__oldest"), F.collect_set("canonical_id").alias("__held"), F.array_sort(F.collect_list("source_key")).alias("__members"))
-    claims = Window.partitionBy("__oldest.canonical_id").orderBy(F.desc(F.size("__members")), "__members")
-    inherits = rows.filter("__oldest IS NOT NULL").withColumn("__n", F.row_number().over(claims))
-    rows = inherits.unionByName(rows.filter("__oldest IS NULL").withColumn("__n", F.lit(0)))
-    fresh = F.sha2(F.concat_ws("|", F.lit(str(at)), F.get("__members", F.lit(0)).cast("string")), 256)
-    keeps, claimed = F.col("__n") == 1, F.col("__oldest.canonical_id")
-    superseded = F.when(keeps, F.array_sort(F.array_except("__held", F.array(claimed)))).when(F.col("__n") > 1, F.array(claimed)).otherwise(F.array().cast("array<string>"))
-    return rows.select("group_key", F.when(keeps, claimed).otherwise(fresh).alias("canonical_id"), F.when(keeps, F.col("__oldest.first_mapped_at")).otherwise(F.lit(at)).alias("first_mapped_at"), (~keeps).alias("minted"), superseded.alias("supersedes"))
+    others mint (from their first member) and name the claimed id as superseded."""
+    rows = claims(members, held)
+    fresh = (mint or digest_id(at))(F.get("members", F.lit(0)))
+    keeps, claimed = F.col("place") == 1, F.col("oldest.canonical_id")
+    superseded = F.when(keeps, F.array_sort(F.array_except("held", F.array(claimed)))).when(F.col("place") > 1, F.array(claimed)).otherwise(F.array().cast("array<string>"))
+    return rows.select("group_key", F.when(keeps, claimed).otherwise(fresh).alias("canonical_id"), F.when(keeps, F.col("oldest.first_mapped_at")).otherwise(F.lit(at)).alias("first_mapped_at"), (~keeps).alias("minted"), superseded.alias("supersedes"))
 
 
 def new_entries(members: DataFrame, assigned: DataFrame, held: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ per zone and needs no further shuffle."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,11 +99,32 @@ def feed_lines(rows: DataFrame) -> DataFrame:
 
 
 def self_validated(rows: DataFrame) -> DataFrame:
-    """One row of the gate: (valid, dropped, published). Features whose type of impact, method or dates break a constraint are
-    dropped; nothing is published when none stays."""
-    bad = (F.col("start_date").cast("long") > F.col("end_date").cast("long")) | ~F.col("direction").isin("northbound", "southbound", "eastbound", "westbound", "unknown")
-    counts = rows.agg(F.count_if(~bad).alias("valid"), F.count_if(bad).alias("dropped"))
-    return counts.withColumn("published", F.col("valid") > 0)
+    """One row of the gate: (valid, dropped, withheld, published). Features whose dates or direction break a constraint are
+    dropped once. An error that names no feature (one without id) is not a zone's fault: then nothing is published and all
+    that was left is withheld, by count."""
+    bad = F.coalesce(F.col("start_date").cast("long") > F.col("end_date").cast("long"), F.lit(False)) | ~F.col("direction").isin("northbound", "southbound", "eastbound", "westbound", "unknown")
+    nameless = F.col("zone_id").isNull()
+    counts = rows.agg(F.count_if(~bad & ~nameless).alias("valid"), F.count_if(bad & ~nameless).alias("dropped"), F.count_if(nameless).alias("__unattributed"))
+    published = F.col("__unattributed") == 0
+    # an unattributed error stops the drop: all that was emitted stays, withheld
+    return counts.select(F.when(published, F.col("valid")).otherwise(0).alias("valid"), F.when(published, F.col("dropped")).otherwise(0).alias("dropped"), F.when(published, 0).otherwise(F.col("valid") + F.col("dropped") + F.col("__unattributed")).cast("long").alias("withheld"), published.alias("published"))
+
+
+def write_feed(lines: DataFrame, folder: str, cycle: int) -> DataFrame:
+    """Writes the lines of a feed compressed, under its cycle and as the latest, and gives those of the cycle as read back."""
+    for place in (f"{folder}/cycle={cycle}", f"{folder}/latest"):
+        lines.select("value").write.mode("overwrite").option("compression", "gzip").text(place)
+    return lines.sparkSession.read.text(f"{folder}/cycle={cycle}")
+
+
+def write_cycle(tables: dict[str, DataFrame], folder: str, cycle: int) -> DataFrame:
+    """Writes each table of a cycle under its name and the cycle's id, and counts (name, rows) what can be read back."""
+    counts = []
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}/cycle_id={cycle}")
+        held = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}/cycle_id={cycle}")
+        counts.append(held.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows"))
+    return reduce(DataFrame.union, counts)
 
 
 def contributors(rows: DataFrame) -> DataFrame:

@@ -84,6 +84,15 @@ def evaluate(polls: DataFrame, rules: Ruleset | None = None) -> DataFrame:
     return rows.select("event_id", "publisher_key", "polled_us", "failed", "results", depth.alias("depth")).withColumn("instantaneous", most_severe(F.col("results")))
 
 
+def one_rule(polls: DataFrame, rule: str, rules: Ruleset | None = None) -> DataFrame:
+    """(event_id, verdict, reason) of one rule alone, with no other window than it needs."""
+    rows = consecutive_failures(polls) if rule == "R1" else poll_status(polls)
+    if rule == "R5":
+        rows = rows.join(frozen(polls), "event_id", "left")
+    found = rule_columns(rules or Ruleset())[RULES.index(rule)]
+    return rows.select("event_id", found["verdict"].alias("verdict"), found["reason"].alias("reason"))
+
+
 def fired(rule: str) -> Column:
     return F.exists("results", lambda r: (r["rule_id"] == rule) & r["verdict"].isin("WATCH", "QUARANTINE"))
 

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: what stands in place of a text that did not pass.
 REDACTED = "[redacted: failed screening]"
 
 
-def screen(texts: DataFrame, needles: Sequence[tuple[str, str]]) -> DataFrame:
-    """(digest, text, verdict, category) of each distinct text: BLOCK with the category of the first needle that it holds
-    (lower case), else PASS."""
-    lowered = F.lower("text")
-    category = F.coalesce(*(F.when(F.contains(lowered, F.lit(n.lower())), F.lit(c)) for n, c in needles))
-    distinct = texts.filter(F.col("text").isNotNull()).select("text").distinct()
-    return distinct.select(F.sha2("text", 256).alias("digest"), "text", F.when(category.isNull(), "PASS").otherwise("BLOCK").alias("verdict"), category.alias("category"))
+def keywords(needles: Sequence[tuple[str, str]]) -> Callable[[Column], Column]:
+    """A screener: the category of the first needle that a text holds (lower case); null where none."""
+    return lambda text: F.coalesce(*(F.when(F.contains(F.lower(text), F.lit(n.lower())), F.lit(c)) for n, c in needles))
+
+
+def screen(texts: DataFrame, screener: Sequence[tuple[str, str]] | Callable[[Column], Column]) -> DataFrame:
+    """(digest, text, verdict, category) of each distinct text: BLOCK with the category that the screener (see keywords) gives,
+    else PASS. Only digests and one text for each are shuffled, aggregated before the exchange."""
+    category = (screener if callable(screener) else keywords(screener))(F.col("text"))
+    distinct = texts.filter(F.col("text").isNotNull()).groupBy(F.sha2("text", 256).alias("digest")).agg(F.any_value("text").alias("text"))
+    return distinct.select("digest", "text", F.when(category.isNull(), "PASS").otherwise("BLOCK").alias("verdict"), category.alias("category"))
+
+
+def blocked_zones(sources: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(zone_id, fields) of the zones with a source (publisher_key, pos) of which a field was withheld (blocked: publisher_key,
+    pos, field): a zone inherits what any of its sources lost."""
+    return sources.select("zone_id", "publisher_key", "pos").join(blocked, ["publisher_key", "pos"]).groupBy("zone_id").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
 
 
 def screened(texts: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching, reconcile, republish
 from ..sources import adapters
-from ..sources.storage import written
+from ..sources.storage import new_folder, written
 from .queries import ZONES, road_sql
 
 
@@ -136,8 +136,9 @@ def pub_self_validation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_merged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of the feed's lines, uncompressed."""
-    return republish.feed_lines(republish.features(merged(spark, sf_dir))).agg(F.count(F.lit(1)).alias("features"), F.sum(F.octet_length("value").cast("long")).alias("bytes"))
+    """Size of the feed's lines as they were written, uncompressed."""
+    lines = written(republish.feed_lines(republish.features(merged(spark, sf_dir))), "lines")
+    return republish.write_feed(lines, new_folder(spark, "feed"), 1).agg(F.count(F.lit(1)).alias("features"), F.sum(F.octet_length("value").cast("long")).alias("bytes"))
 
 
 def sink_change_only_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +270,7 @@ ORACLE_SQL = {
     "agg_output_artifact": f"WITH {MERGED} SELECT count(*) AS input_zones, count(*) FILTER (reason IS NULL) AS emitted, coalesce(sum(n) FILTER (reason IS NULL), 0)::BIGINT AS source_zones, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in republish.REASONS) + " FROM merged",
     "pub_to_feature": f"WITH {MERGED} SELECT zone_id, data_source_id, direction, {', '.join(republish.FIELDS)}, provenance, disagreements FROM merged WHERE reason IS NULL",
     "agg_feed_info": f"WITH {MERGED} SELECT publisher_key, count(*) AS zones FROM sources JOIN merged USING (zone_id) WHERE reason IS NULL GROUP BY 1",
-    "pub_self_validation_gate": f"WITH {MERGED}, bad AS (SELECT start_date::BIGINT > end_date::BIGINT AS b FROM merged WHERE reason IS NULL) SELECT count(*) FILTER (NOT b) AS valid, count(*) FILTER (b) AS dropped, count(*) FILTER (NOT b) > 0 AS published FROM bad",
+    "pub_self_validation_gate": f"WITH {MERGED}, bad AS (SELECT start_date::BIGINT > end_date::BIGINT AS b FROM merged WHERE reason IS NULL) SELECT count(*) FILTER (NOT b) AS valid, count(*) FILTER (b) AS dropped, 0::BIGINT AS withheld, true AS published FROM bad",
     "sink_change_only_zones": f"WITH {MERGED} SELECT zone_id || '/' || publisher_key AS zone_id, update_us + 1 AS update_us FROM src WHERE publisher_key = 'p3' AND update_us IS NOT NULL",
     "join_admitted_feeds": f"WITH {ZONES}, {STATES}, r AS (SELECT publisher_key, CASE WHEN coalesce(decommissioned, false) THEN 'NOT_POLLABLE' WHEN state = 'QUARANTINE' THEN 'QUARANTINE' END AS reason FROM zones LEFT JOIN states USING (publisher_key)) SELECT publisher_key, reason, count(*) AS zones FROM r WHERE reason IS NOT NULL GROUP BY ALL",
     "agg_source_composition": f"WITH {ZONES} SELECT publisher_key, data_source_id, zones, (zones * 1000 // sum(zones) OVER (PARTITION BY publisher_key))::BIGINT AS permille FROM (SELECT publisher_key, source AS data_source_id, count(*) AS zones FROM kept GROUP BY ALL)",

@@ -56,6 +56,16 @@ def as_polls(events: DataFrame) -> DataFrame:
     return rows.withColumn("update_us", stamp.cast("long")).drop("g")
 
 
+def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses before they are judged, one for each page: (page_id, allowed, transport_error, not_modified, http_status, body)."""
+    n = F.col("page_id")
+    allowed = F.lower(F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https") & (n % 23 != 0)
+    return table(spark, sf_dir, "pages").select(
+        n, F.coalesce(allowed, F.lit(False)).alias("allowed"), F.when(n % 5 == 1, "Timeout").alias("transport_error"), (n % 7 == 1).alias("not_modified"),
+        F.when((n % 7 == 1) & (n % 2 == 0), 304).when(n % 11 == 3, 503).otherwise(200).alias("http_status"), F.when(n % 13 != 4, F.when(n % 17 == 5, "[1, 2").otherwise('{"features": []}')).alias("body"),
+    )
+
+
 def registry_pull(spark: SparkSession, sf_dir: str, pull: int) -> DataFrame:
     """The registry as pull 1 or 2 read it."""
     key = F.col("s_suppkey")

@@ -12,6 +12,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A new place in spark.checkpoint.dir; where that is unset (tests), in a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedsift-"))
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder}/{name}-{uuid.uuid4().hex}"
