@@ -1,8 +1,9 @@
 """Lines that many documents share (operator 6).
 
-Line keys are held as 128-bit hashes in levelled sorted runs: each batch of documents adds one sorted run at level 0,
-and when a level holds `fanout` runs they are merged into one run of the next level. A batch is joined with the runs
-before it is added, so that it tells which of its keys are new. At the end the runs' totals give the keys to drop."""
+Line keys are held as 128-bit hashes in levelled sorted runs. Each batch of documents is merge-joined with the runs: keys
+that enough documents hold are settled and go by an anti-join, new keys and raised counts make the batch's own sorted run
+at level 0; when a level holds `fanout` runs they are merged into one run of the next level. The settled keys are the lines
+to drop."""
 
 from __future__ import annotations
 
@@ -33,35 +34,42 @@ def line_keys(text: str, least: int) -> list[bytes | None]:
 
 
 class LineRuns:
-    """Levelled sorted runs of (k1, k2, docs): in how many documents each line key was met."""
+    """Levelled sorted runs of (k1, k2, docs): in how many documents each line key was met; and of the keys that `least`
+    documents or more hold, which are settled and counted no further."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, least: int, fanout: int = 2):
+        self.spark, self.least, self.fanout = spark, least, fanout
         self.levels: list[list[DataFrame]] = [[]]
+        self.settled: list[DataFrame] = []
 
-    def merged(self) -> DataFrame:
-        """One row a key over all runs."""
-        runs = [run for level in self.levels for run in level]
-        if not runs:
-            return self.spark.createDataFrame([], "k1 long, k2 long, docs long")
-        return runs[0] if len(runs) == 1 else merge(runs)
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
-    def fresh(self, keys: DataFrame) -> DataFrame:
-        """The keys that no run holds."""
-        return reduce(lambda left, run: left.join(run, KEYS, "left_anti"), [run for level in self.levels for run in level], keys)
+    def unsettled(self, keys: DataFrame) -> DataFrame:
+        """The rows whose key is not settled yet."""
+        return reduce(lambda left, run: left.join(run, KEYS, "left_anti"), self.settled, keys)
 
     def add(self, batch: DataFrame) -> None:
-        """Adds one batch of (k1, k2, docs) as a sorted run, then merges the levels that are full."""
-        self.levels[0].append(sorted_run(batch.groupBy(*KEYS).agg(F.sum("docs").alias("docs"))))
+        """Adds one batch of (k1, k2, docs). What is settled is taken out of it; the rest is joined with the runs: a key that
+        no run holds is new, another's count is raised. Keys that reach `least` with this batch are settled, the others are
+        its sorted run; then the levels that are full are merged."""
+        rest = self.unsettled(batch.groupBy(*KEYS).agg(F.sum("docs").alias("docs")))
+        before = merge(self.runs()).withColumnRenamed("docs", "before") if self.runs() else None
+        met = rest.join(before, KEYS, "left") if before else rest.withColumn("before", F.lit(0).cast("long"))
+        met = stored(met.withColumn("total", F.col("docs") + F.coalesce("before", F.lit(0))), "batch")
+        self.settled.append(sorted_run(met.filter(F.col("total") >= self.least).select(*KEYS)))
+        self.levels[0].append(sorted_run(met.filter(F.col("total") < self.least).select(*KEYS, "docs")))
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(sorted_run(merge(self.levels[k])))
+                self.levels[k + 1].append(sorted_run(self.unsettled(merge(self.levels[k]))))
                 self.levels[k] = []
+                self.settled = [sorted_run(reduce(DataFrame.union, self.settled))]
 
-    def frequent(self, least: int) -> DataFrame:
-        return self.merged().filter(F.col("docs") >= least).select(*KEYS)
+    def frequent(self) -> DataFrame:
+        """The keys that `least` documents or more hold, each once."""
+        return reduce(DataFrame.union, self.settled) if self.settled else self.spark.createDataFrame([], "k1 long, k2 long")
 
 
 def merge(runs: list[DataFrame]) -> DataFrame:
@@ -72,14 +80,24 @@ def sorted_run(keys: DataFrame) -> DataFrame:
     return stored(keys.sortWithinPartitions(*KEYS), "run")
 
 
-def drop_common_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, batches: int = 4, fanout: int = 4, bucket_bytes: int = 8_000_000,
+def batches_of(n: int, first: int) -> list[tuple[int, int]]:
+    """Ranges that cut n buckets into batches: the first of `first`, each further one as large as all before it, so that all
+    joins with the runs together read a few times the keys, whatever their number, and there are log n batches."""
+    out, at = [], 0
+    while at < n:
+        out.append((at, min(n, max(first, 2 * at))))
+        at = out[-1][1]
+    return out
+
+
+def drop_common_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, first_batch: int = 8, fanout: int = 2, bucket_bytes: int = 8_000_000,
                       id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """(id, *carry, kept, n_lines, n_dropped) of each row of docs: kept is the text without the lines whose key at least
     least_docs rows hold.
 
     A null or empty text is one empty line, and keys below least_chars code points are never dropped. A repeated row is
-    one more document. Null ids share a bucket and lose nothing. Columns to carry may have any name. Texts are shuffled
-    once, by a hash of the id; an empty table gives an empty result."""
+    one more document. Null and repeated ids are ids like others. Columns to carry may have any name. Texts are shuffled
+    once, by a hash of id and text; an empty table gives an empty result."""
     spark, n = docs.sparkSession, buckets(docs, text_col, bucket_bytes)
     rows = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text"), *(F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)))
     rows = rows.withColumn(BUCKET, bucket_of(n, "__id", "__text"))
@@ -93,11 +111,11 @@ def drop_common_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(list(found.values()), pa.int64())], names=[BUCKET, "k1", "k2", "docs"])
 
     met = stored(rows.select(BUCKET, "__text").mapInArrow(count, f"{BUCKET} int, k1 long, k2 long, docs long"), "lines")
-    runs = LineRuns(spark, fanout)
-    for k in range(batches):
-        runs.add(met.filter(F.col(BUCKET) % batches == k))
+    runs = LineRuns(spark, least_docs, fanout)
+    for start, end in batches_of(n, first_batch):
+        runs.add(met.filter(F.col(BUCKET).between(start, end - 1)))
     # every bucket that holds a frequent key is told of it once
-    frequent = met.join(stored(runs.frequent(least_docs), "frequent"), KEYS, "left_semi").select(BUCKET, *KEYS).distinct()
+    frequent = met.join(runs.frequent(), KEYS, "left_semi").select(BUCKET, *KEYS).distinct()
     carried = [T.StructField(c, docs.schema[c].dataType) for c in carry]
     inner = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), *(T.StructField(f"__c{k}", f.dataType) for k, f in enumerate(carried)), T.StructField("__kept", T.StringType()), T.StructField("__n", T.LongType()), T.StructField("__dropped", T.LongType())])
 

@@ -1,12 +1,13 @@
 """Near-duplicate vectors within a label (operator 10).
 
-Each direction is rotated at random and kept as the signs of its coordinates with a correction factor, from which the
-inner product with any other vector can be estimated without bias; the error has a known scale. Sign bits of several
-rotations also key the candidate buckets. In a bucket, pairs whose upper confidence bound reaches the threshold are
-computed again, exactly, on the original vectors; the others are left."""
+Each direction is rotated at random once and stored as the packed signs of its coordinates with a correction factor, from
+which the inner product with any other vector can be estimated without bias; the error has a known scale. Sign bits of
+further rotations key the candidate buckets. In a bucket, stored codes that differ in too many bits are left; of the other
+pairs, those whose upper confidence bound reaches the threshold are computed again, exactly, on the original vectors."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,16 +19,22 @@ from .common import stored, whole_groups
 from .graph import components, forest, pair_blocks
 from .vectors import dimension, matrix, rotations, usable
 
-#: Rows of a comparison block.
-BLOCK = 1024
+#: Rows of a comparison block; pairs computed at once.
+BLOCK, PAIRS = 1024, 65_536
 
 
 class Codes:
-    """Binary codes of unit vectors by random rotations: bits for estimates, and keys of `bits` bits for `tables` tables."""
-
-    def __init__(self, d: int, tables: int, bits: int, seed: int = 11):
-        self.d, self.tables, self.bits = d, tables, bits
-        self.rotation = rotations(d, -(-tables * bits // d), seed)
+    """Binary codes of unit vectors by random rotations: bits and a correction factor for estimates, and keys of `bits` bits for
+    `tables` tables."""
+
+    def __init__(self, d: int, tables: int, bits: int, threshold: float, sigmas: float, lost: float, seed: int = 11):
+        self.d, self.tables, self.bits, self.threshold, self.sigmas = d, tables, bits, threshold, sigmas
+        rotation = rotations(d, 1 + -(-tables * bits // d), seed)
+        self.first, self.rotation = rotation[:d], rotation[d:]
+        # a pair just at the threshold differs in more than `apart` bits with a chance below `lost`
+        share, self.apart, tail = math.acos(threshold) / math.pi, d, 0.0
+        while self.apart and (tail := tail + math.comb(d, self.apart) * share**self.apart * (1 - share) ** (d - self.apart)) < lost:
+            self.apart -= 1
 
     def unit(self, x: np.ndarray) -> np.ndarray:
         x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the square
@@ -38,63 +45,87 @@ class Codes:
         signs = (unit @ self.rotation.T >= 0)[:, : self.tables * self.bits].reshape(-1, self.tables, self.bits)
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
-    def reach(self, left: np.ndarray, right: np.ndarray, sigmas: float) -> np.ndarray:
-        """(left, right): upper confidence bounds of the inner products, from left's codes and right's rotated coordinates."""
-        turned, other = left @ self.rotation[: self.d].T, right @ self.rotation[: self.d].T
-        signs = np.where(turned >= 0, 1.0, -1.0) / np.sqrt(self.d)
-        factor = np.abs(turned).sum(axis=1) / np.sqrt(self.d)  # of the code with its own vector
-        spread = sigmas * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / np.sqrt(max(1, self.d - 1))
-        return (signs @ other.T) / factor[:, None] + spread[:, None]
-
-
-def linked(codes: Codes, x: np.ndarray, y: np.ndarray, threshold: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of all pairs of rows of x and y whose cosine is at least threshold."""
-    u, v = codes.unit(x), codes.unit(y)
-    i, j = np.nonzero(codes.reach(u, v, sigmas) >= threshold)
-    hit = np.concatenate([np.einsum("ij,ij->i", u[a], v[b]) for a, b in zip(np.array_split(i, max(1, len(i) // 65536)), np.array_split(j, max(1, len(j) // 65536)), strict=True)]) >= threshold
-    return i[hit], j[hit]
-
-
-def near_vectors(rows: DataFrame, threshold: float = 0.98, tables: int = 32, bits: int = 16, sigmas: float = 6.0, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
+    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the signs of its rotated coordinates, packed in words of 64 bits, and the code's product with its own
+        vector."""
+        turned = unit @ self.first.T
+        bits = np.packbits(turned >= 0, axis=1, bitorder="little")
+        return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view("<u8"), np.abs(turned).sum(axis=1) / np.sqrt(self.d)
+
+    def estimate(self, code: np.ndarray, factor: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row by row, the unbiased estimate of the inner product of a coded vector with another unit vector, and how far that
+        may lie above it."""
+        signs = np.where(np.unpackbits(code.view(np.uint8), axis=1, bitorder="little")[:, : self.d], 1.0, -1.0) / np.sqrt(self.d)
+        found = np.einsum("ij,ij->i", signs, other @ self.first.T) / factor
+        return found, self.sigmas * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / np.sqrt(max(1, self.d - 1))
+
+    def linked(self, x: np.ndarray, y: np.ndarray, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (i, j) of all pairs of rows of x and y whose cosine is at least the threshold; left and right: their codes
+        and factors. Codes that differ in too many bits are left, then pairs whose bound stays below; the rest is computed."""
+        apart = sum(np.bitwise_count(left[0][:, None, w] ^ right[0][None, :, w]).astype(np.int16) for w in range(left[0].shape[1]))
+        i, j = np.nonzero(apart <= self.apart)
+        u, v, hits = self.unit(x), self.unit(y), []
+        for p, q in zip(np.array_split(i, max(1, len(i) // PAIRS)), np.array_split(j, max(1, len(j) // PAIRS)), strict=True):
+            found, above = self.estimate(left[0][p], left[1][p], v[q])
+            near = np.flatnonzero(found + above >= self.threshold)
+            near = near[np.einsum("ij,ij->i", u[p[near]], v[q[near]]) >= self.threshold]
+            hits.append(np.stack([p[near], q[near]]))
+        i, j = np.concatenate(hits, axis=1)
+        return i, j
+
+
+def near_vectors(rows: DataFrame, threshold: float = 0.98, sigmas: float = 6.0, lost: float = 1e-6, least_bits: int = 12, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id) of each row: how many other rows of the same label have a cosine of at least threshold,
     and the smallest id reachable by such links.
 
     Rows whose label is null, or whose vector is null, zero, holds null or non-finite components or has another size than
-    most, link with nothing: 0 links, their own id. Equal vectors are one node that counts as often as it stands there; an
-    id names one vector (rows that share an id are one node's). Null ids link with nothing. Other columns are ignored. A pair just at a threshold of 0.98 misses all 32
-    tables with probability 1e-6, closer ones with less. An empty table gives an empty result."""
+    most, link with nothing: 0 links, their own id. Equal vectors are one node that counts as often as it stands there; where
+    an id names several vectors, each is a node of its own. Null ids link with nothing. Other columns are ignored. The keys'
+    bits grow with the logarithm of the largest label's rows, so that buckets do not grow, and the tables with the bits: a
+    pair just at the threshold misses all tables with a chance of `lost`, closer ones with less. An empty table gives an empty
+    result."""
     d = dimension(rows, vector_col)
     base = rows.select(F.col(id_col), F.col(label_col).alias("__label"), F.col(vector_col).alias("__v"))
     if not d:
         return base.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
-    codes = Codes(d, tables, bits)
     live = base.filter(usable("__v") & (F.size("__v") == d) & F.col("__label").isNotNull() & F.col(id_col).isNotNull())
-    nodes = stored(live.groupBy("__label", "__v").agg(F.min(F.col(id_col).cast("long")).alias("__rep"), F.count(F.lit(1)).alias("__size")), "nodes")
-
-    def key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alike = live.groupBy("__label", "__v").agg(F.min(F.col(id_col).cast("long")).alias("__first"), F.count(F.lit(1)).alias("__size"))
+    nodes = stored(alike.withColumn("__rep", F.monotonically_increasing_id()), "nodes")  # written once: the numbers stay
+    largest = nodes.groupBy("__label").count().agg(F.max("count")).first()[0] or 1
+    bits = max(least_bits, math.ceil(math.log2(largest)))
+    tables = math.ceil(math.log(lost) / math.log(1 - (1 - math.acos(threshold) / math.pi) ** bits))
+    codes = Codes(d, tables, bits, threshold, sigmas, lost)
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = codes.keys(codes.unit(matrix(batch.column(1), d)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(found))), pa.array(found.ravel())], names=["__rep", "__table", "__key"])
-
-    # labels as hashes: the block keys are numbers; the labels themselves are compared again with the rows
-    keyed = nodes.select("__rep", "__v").mapInArrow(key, "__rep long, __table int, __key long").join(nodes.select("__rep", F.xxhash64("__label").alias("__lab")), "__rep")
-    blocks = pair_blocks(keyed, ["__lab", "__table", "__key"], "__rep", BLOCK).join(nodes.select("__rep", "__size", "__v"), "__rep")
+            unit = codes.unit(matrix(batch.column("__v"), d))
+            code, factor = codes.encode(unit)
+            keys = codes.keys(unit)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("__rep"), batch.column("__lab"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), lists], names=["__rep", "__lab", "__code", "__factor", "__keys"])
+
+    # labels as hashes: the block keys are numbers; two labels of one hash would need 10^9 labels
+    coded = stored(nodes.select("__rep", F.xxhash64("__label").alias("__lab"), "__v").mapInArrow(encode, "__rep long, __lab long, __code binary, __factor double, __keys array<long>"), "codes")
+    keyed = coded.select("__rep", "__lab", F.posexplode("__keys").alias("__table", "__key"))
+    held = nodes.select("__rep", "__size", "__v").join(coded.select("__rep", "__code", "__factor"), "__rep")
+    blocks = pair_blocks(keyed, ["__lab", "__table", "__key"], "__rep", BLOCK).join(held, "__rep")
     keys = ["__lab", "__table", "__key", "__low", "__high"]
 
     def block(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        rep, size, chunk = (part.column(c).to_numpy() for c in ("__rep", "__size", "__chunk"))
+        rep, size, chunk, factor = (part.column(c).to_numpy() for c in ("__rep", "__size", "__chunk", "__factor"))
         table, low, high = (part.column(c)[0].as_py() for c in ("__table", "__low", "__high"))
-        x = matrix(part.column("__v"), d)
+        x, code = matrix(part.column("__v"), d), np.frombuffer(b"".join(part.column("__code").to_pylist()), dtype="<u8").reshape(len(rep), -1)
         a, b = (np.flatnonzero(chunk == low), np.flatnonzero(chunk == high))
-        i, j = linked(codes, x[a], x[b], threshold, sigmas)
+        i, j = codes.linked(x[a], x[b], (code[a], factor[a]), (code[b], factor[b]))
         i, j = a[i], b[j]
         i, j = (i[i < j], j[i < j]) if low == high else (i, j)
         if not len(i):
             return
         left, right = forest(len(rep), i, j)
         yield rep[left], rep[right], np.zeros(len(left), dtype=np.int64)
-        own = codes.keys(codes.unit(x))
-        first = np.concatenate([(own[p] == own[q]).argmax(axis=1) for p, q in zip(np.array_split(i, max(1, len(i) // 65536)), np.array_split(j, max(1, len(j) // 65536)), strict=True)]) == table
+        some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        own, p, q = codes.keys(codes.unit(x[some])), at[: len(i)], at[len(i) :]
+        first = np.concatenate([(own[m] == own[n]).argmax(axis=1) for m, n in zip(np.array_split(p, max(1, len(p) // PAIRS)), np.array_split(q, max(1, len(q) // PAIRS)), strict=True)]) == table
         i, j = i[first], j[first]  # each pair counts in the first table in which it meets
         n = np.bincount(i, weights=size[j], minlength=len(rep)) + np.bincount(j, weights=size[i], minlength=len(rep))
         some = np.flatnonzero(n)
@@ -107,11 +138,12 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, tables: int = 32, bit
                 for a, b, n in block(group.slice(at, end - at)):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
 
-    found = stored(blocks.select(*keys, "__chunk", "__rep", "__size", "__v").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, n long"), "links")
+    found = stored(blocks.select(*keys, "__chunk", "__rep", "__size", "__v", "__code", "__factor").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, n long"), "links")
     counts = found.groupBy(F.col("a").alias("__rep")).agg(F.sum("n").alias("__n"))
     classes = components(found.select("a", "b").distinct()).withColumnRenamed("node", "__rep")
-    known = nodes.join(counts, "__rep", "left").join(classes, "__rep", "left")
-    known = stored(known.select("__label", "__v", (F.col("__size") - 1 + F.coalesce("__n", F.lit(0))).alias("n_links"), F.coalesce("component", "__rep").alias("component")), "known")
+    known = nodes.join(counts, "__rep", "left").join(classes, "__rep", "left").withColumn("component", F.coalesce("component", "__rep"))
+    least = known.groupBy("component").agg(F.min("__first").alias("__least"))
+    known = stored(known.join(least, "component").select("__label", "__v", (F.col("__size") - 1 + F.coalesce("__n", F.lit(0))).alias("n_links"), F.col("__least").alias("component")), "known")
     joined = base.join(known, ["__label", "__v"], "left")
     alone = F.col(id_col).isNull() | F.col("n_links").isNull()
     return joined.select(id_col, F.when(alone, 0).otherwise(F.col("n_links")).alias("n_links"), F.when(alone, F.col(id_col)).otherwise(F.col("component")).cast(rows.schema[id_col].dataType).alias("component_id"))

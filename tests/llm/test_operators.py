@@ -154,20 +154,22 @@ def test_lines(docs, empty, rows):
         return sorted((i is None, i or 0, "\n".join(x for x, k in zip(t.split("\n"), ks, strict=True) if met[k] < least), len(ks), sum(met[k] >= least for k in ks)) for (i, t), ks in zip(rows, keys, strict=True))
 
     for least in (2, 3, 10):
-        got = line_dedup.drop_common_lines(docs, least_docs=least, bucket_bytes=2_000, carry=["kept", "n_tokens"])
+        got = line_dedup.drop_common_lines(docs, least_docs=least, bucket_bytes=2_000, first_batch=1, carry=["kept", "n_tokens"])
         assert got.columns == ["doc_id", "kept", "n_tokens", "kept", "n_lines", "n_dropped"]
         assert sorted((r[0] is None, r[0] or 0, r[3], r[4], r[5]) for r in got.collect()) == brute(least)
     assert line_dedup.drop_common_lines(empty).count() == 0
 
 
 def test_line_runs_are_levelled(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
+    runs = line_dedup.LineRuns(spark, least=4, fanout=2)
     for k in range(5):
-        batch = spark.createDataFrame([(1, 1, 1), (2, k, 3)], "k1 long, k2 long, docs long")
-        assert runs.fresh(batch).count() == (2 if not k else 1)
-        runs.add(batch)
+        runs.add(spark.createDataFrame([(1, 1, 1), (2, k, 3), (3, 3, 4 * (k == 2))], "k1 long, k2 long, docs long").filter("docs > 0"))
+        want = ({(3, 3)} if k >= 2 else set()) | ({(1, 1)} if k >= 3 else set())
+        assert sorted((r["k1"], r["k2"]) for r in runs.frequent().collect()) == sorted(want)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert {(r["k1"], r["k2"]) for r in runs.frequent(4).collect()} == {(1, 1)}
+    assert [tuple(r) for r in runs.levels[0][0].collect()] == [(2, 4, 3)]  # settled keys are counted no further
+    assert sorted(tuple(r) for r in runs.levels[2][0].collect()) == [(2, k, 3) for k in range(4)]
+    assert line_dedup.batches_of(70, 8) == [(0, 8), (8, 16), (16, 32), (32, 64), (64, 70)] and line_dedup.batches_of(1, 8) == [(0, 1)]
 
 
 def plain_model(texts, strength):
@@ -255,6 +257,37 @@ def test_nearest(spark, vectors):
     assert nearest.search(rows.limit(0), rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 10, 21, 27])
+def test_nearest_finds_all_candidates_where_they_are_few(spark, n):
+    rng = np.random.default_rng(n)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((n, 16)))], "vec_id long, embedding array<double>")
+    got = nearest.search(rows, rows, k=20).collect()
+    assert Counter(r["query_id"] for r in got) == Counter({k: min(20, n - 1) for k in range(n) if n > 1})
+
+
+def test_nearest_at_production_parameters_with_a_crowd_of_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64)).astype(np.float32)
+    x[::3] = x[0]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = nearest.search(rows, rows.filter("vec_id % 20 = 0"), k=20, shard_rows=500).collect()
+    found: dict[int, set[int]] = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y, recall = x.astype(np.float64), []
+    for q in range(0, 3000, 20):
+        order = np.lexsort((np.arange(3000), -(y @ y[q])))
+        best = [k for k in order.tolist() if k != q][:20]
+        assert len(found[q]) == 20
+        recall.append(len(found[q] & set(best)) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_shards_hold_lists_up_to_their_size():
+    first, many = nearest.shards_of(np.array([3, 0, 4, 25, 9, 2, 10]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 5, 6] and many.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
 @pytest.mark.parametrize("block", [16, 1024])
 def test_vector_dedup(vectors, monkeypatch, block):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
@@ -277,12 +310,31 @@ def test_vector_dedup(vectors, monkeypatch, block):
     assert vector_dedup.near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_an_id_of_several_vectors_has_a_node_for_each(spark):
+    rows = [(1, [1.0, 0.0, 0.0], "a"), (1, [0.0, 1.0, 0.0], "a"), (2, [1.0, 0.001, 0.0], "a"), (3, [0.0, 1.0, 0.001], "a"), (3, [1.0, 0.0, 0.0], "b")]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 1, 1)]
+
+
 def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(2)
-    codes = vector_dedup.Codes(64, 32, 16)
+    codes = vector_dedup.Codes(64, 32, 16, 0.98, 6.0, 1e-6)
     x, y = codes.unit(rng.standard_normal((300, 64))), codes.unit(rng.standard_normal((300, 64)))
-    true, upper, estimate = x @ y.T, codes.reach(x, y, 6.0), codes.reach(x, y, 0.0)
-    assert (upper >= true).all() and abs((estimate - true).mean()) < 0.003
+    code, factor = codes.encode(x)
+    i, j = (k.ravel() for k in np.indices((300, 300)))
+    true, (estimate, above) = (x @ y.T).ravel(), codes.estimate(code[i], factor[i], y[j])
+    assert (estimate + above >= true).all() and abs((estimate - true).mean()) < 0.003
+
+
+def test_codes_of_linked_vectors_are_not_too_far_apart():
+    rng = np.random.default_rng(4)
+    codes = vector_dedup.Codes(64, 32, 16, 0.98, 6.0, 1e-6)
+    x = codes.unit(rng.standard_normal((4000, 64)))
+    off = rng.standard_normal((4000, 64))
+    off = codes.unit(off - (off * x).sum(axis=1, keepdims=True) * x)
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * off  # just at the threshold
+    apart = np.bitwise_count(codes.encode(x)[0] ^ codes.encode(y)[0]).sum(axis=1)
+    assert 3.5 < apart.mean() < 4.7 and (apart <= codes.apart).all() and codes.apart < 25
 
 
 def test_queries_carry_the_asked_columns(spark):
