@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import whole_text
+from .common import small_batches, whole_text
 from .pieces import PieceTable
 
 #: Fixed value: the pattern by which the vocabulary's texts are cut before merges.
@@ -128,11 +128,12 @@ class Codes(PieceTable):
         self.bpe = PairIndex(path)
         self.cut = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")") if self.bpe.special else None
-        self.clear()
-        super().__init__(self.add, self.clear)
-
-    def clear(self) -> None:
         self.lengths, self.ids, self.texts = np.zeros(0, dtype=np.int64), [], []
+        super().__init__(self.add, self.stay)
+
+    def stay(self, numbers: np.ndarray) -> None:
+        self.lengths = self.lengths[numbers]
+        self.ids, self.texts = (list(map(held.__getitem__, numbers.tolist())) for held in (self.ids, self.texts))
 
     def words(self, piece: str) -> list[str]:
         if self.specials and self.specials.search(piece):
@@ -169,7 +170,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         table = codes(tokenizer_path)
         for batch in batches:
             found = [table.number(t.as_py()) for t in batch.column(1)]
-            table.settle()
+            table.settle(found)
             n = [int(table.lengths[x].sum()) for x in found]
             id_of, text_of = table.ids.__getitem__, table.texts.__getitem__
             ids = ["".join(map(id_of, x.tolist()))[1:] for x in found]
@@ -177,4 +178,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             table.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
-    return docs.select(id_col, whole_text(text_col).alias("__text")).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, whole_text(text_col).alias("__text")).mapInArrow(run, schema)

@@ -38,6 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
+    """df, after its session was told to hand rows to Python in batches of about size bytes: long texts then cost a task little
+    memory. What the session was told by its user stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":  # Spark's default
+        conf.set(name, size)
+    return df
+
+
 def whole_text(text: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

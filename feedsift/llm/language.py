@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import small_batches, stored
 from .pieces import slices
 
 #: In the code of an n-gram, the third or second letter that there isn't.
@@ -117,7 +117,7 @@ def predict_rows(docs: DataFrame, known: dict[str, np.ndarray], length: int = 30
             found = [judge(t.as_py() or "") for t in batch.column(text_at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=schema.names)
 
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, "__lang", "__score")
+    return small_batches(docs).toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, "__lang", "__score")
 
 
 def predict(docs: DataFrame, known: dict[str, np.ndarray], length: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], length: int = 300, id
             found = [judge(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def held_out(id_col: str, parts: int, part: int = 2) -> Column:

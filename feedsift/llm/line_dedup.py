@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BUCKET, bucket_of, buckets, stored, whole_text
+from .common import BUCKET, bucket_of, buckets, small_batches, stored, whole_text
 
 KEYS = ["k1", "k2"]
 BLANK, BLANK_BYTES = " \t\n\x0b\x0c\r", b" \t\n\x0b\x0c\r"
@@ -99,7 +99,7 @@ def drop_common_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
     one more document. Null and repeated ids are ids like others. Columns to carry may have any name. Texts are shuffled
     once, by a hash of id and text; an empty table gives an empty result."""
     spark, n = docs.sparkSession, buckets(docs, text_col, bucket_bytes)
-    rows = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text"), *(F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)))
+    rows = small_batches(docs).select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text"), *(F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)))
     rows = rows.withColumn(BUCKET, bucket_of(n, "__id", "__text"))
 
     def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,32 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BUCKET, bucket_of, buckets, whole_text
-from .pieces import PieceTable, encode_pieces
-from .token_counts import tokenizer
+from .common import BUCKET, bucket_of, buckets, small_batches, whole_text
+from .pieces import PieceIds, byte_level
 
 #: Bits of a sequence_id that number the windows of a group.
 WINDOW_BITS = 26
 SENTENCE_END = {".", "!", "?", "\n", "。", "！", "？"}
 
 
-class Ids(PieceTable):
-    """Of each piece: its ids as little-endian bytes, how many, and whether a sentence ends with it."""
+class Ids(PieceIds):
+    """The ids of texts and where their sentences end."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.clear()
-        super().__init__(self.add, self.clear)
+        super().__init__(path)
+        size = self.tokenizer.get_vocab_size()
+        names = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
+        signs = tuple(byte_level(x) for x in SENTENCE_END)
+        self.ends, self.feeds = (np.array([x.endswith(last) for x in names]) for last in (signs, byte_level("\n")))
+        self.blank = np.array([x.startswith((byte_level(" "), byte_level("\n"))) for x in names])
 
-    def clear(self) -> None:
-        self.ids: list[bytes] = []
-        self.lengths, self.ends = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-
-    def add(self, new: list[str]) -> None:
-        found = encode_pieces(self.tokenizer, new)
-        self.ids += found
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4])
-        self.ends = np.concatenate([self.ends, np.fromiter((x[-1:] in SENTENCE_END for x in new), dtype=bool, count=len(new))])
+    def sentences(self, ids: bytes) -> np.ndarray:
+        """The places behind an id that ends a sentence: a line feed, or a sign with white space to follow."""
+        ids = np.frombuffer(ids, dtype="<u4")
+        return np.flatnonzero(self.feeds[ids[:-1]] | (self.ends[ids[:-1]] & self.blank[ids[1:]])) + 1
 
 
 @lru_cache(maxsize=1)
@@ -56,8 +53,8 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int, window_c
 
     cost(j) = penalty(j) + window_cost + the least of cost(i) + padding(j - i) over places i (or 0) in reach."""
     line = np.concatenate([[0], places])
-    index = np.full(int(line[-1]) + 1, -1, dtype=np.int64)
-    index[line] = np.arange(len(line))
+    index = np.full(int(line[-1]) + 1, -1, dtype=np.int32)
+    index[line] = np.arange(len(line), dtype=np.int32)
     # the places a power of two before each place, as one list with bounds
     hits = [(j, index[line[j] - p]) for p in (1 << k for k in range(window.bit_length())) if p < window for j in [np.flatnonzero(line >= p)]]
     ends = np.concatenate([j[i >= 0] for j, i in hits] or [np.zeros(0, dtype=np.int64)])
@@ -97,17 +94,20 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int, window_c
 def cut_places(ends: list[np.ndarray], totals: list[int], window: int, split: float, hard: float) -> tuple[np.ndarray, np.ndarray]:
     """Places where windows may end and their penalties. ends: sentence ends in each document; totals: its tokens.
 
-    Places: document ends (no penalty), sentence ends (split), and (hard) whatever lies a full window behind one of
-    these or behind the last such multiple, so that no gap is wider than a window."""
+    Places: document ends (no penalty), sentence ends (split), and (hard) what lies a full window behind the last of these
+    in each sixteenth of a window, or at a multiple of the window, so that no gap is wider than a window."""
     bases = np.concatenate([[0], np.cumsum(totals)])
-    inner = np.concatenate([e + b for e, b in zip(ends, bases[:-1], strict=True)]).astype(np.int64)
-    soft = np.union1d(inner, bases[1:])
-    full = np.union1d(soft + window, np.arange(window, bases[-1], window))
-    full = np.setdiff1d(full[full < bases[-1]], soft, assume_unique=True)
-    places = np.concatenate([soft, full])
-    penalties = np.concatenate([np.where(np.isin(soft, bases), 0.0, split), np.full(len(full), hard)])
-    order = np.argsort(places)
-    return places[order], penalties[order]
+    total = int(bases[-1])
+    kind = np.zeros(total + 1, dtype=np.uint8)  # of each place: 0 none, 1 full, 2 sentence, 3 document
+    kind[np.concatenate([e + b for e, b in zip(ends, bases[:-1], strict=True)]).astype(np.int64)] = 2
+    kind[bases] = 3
+    soft = np.flatnonzero(kind)[1:]
+    sixteenth = soft // max(1, window // 16)
+    full = np.concatenate([soft[np.append(sixteenth[1:] != sixteenth[:-1], True)] + window, np.arange(window, total, window)])
+    full = full[full < total]
+    kind[full[kind[full] == 0]] = 1
+    places = np.flatnonzero(kind)[1:]  # but for the start
+    return places, np.array([0.0, hard, split, 0.0])[kind[places]]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, split_penalty: float = 2.0, hard_penalty: float = 8.0, window_cost: float = 8.0,
@@ -147,23 +147,21 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
         group, keys, tokens, ends = None, [], [], []
         for batch in batches:
             keys_type = batch.schema.field(1).type
-            found = [table.number(t.as_py()) for t in batch.column(2)]
-            table.settle()
-            get = table.ids.__getitem__
-            for g, key, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found, strict=True):
+            for g, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if g != group and keys:
                     yield packed(group, keys, tokens, ends)
                     keys, tokens, ends = [], [], []
                 group = g
                 keys.append(key)
-                tokens.append(b"".join(map(get, numbers.tolist())) + end)
-                ends.append(np.cumsum(table.lengths[numbers])[table.ends[numbers]])
-            table.trim()
+                ids = table.of(text.as_py())
+                tokens.append(ids + end)
+                ends.append(table.sentences(ids))
+                table.trim()
         if keys:
             yield packed(group, keys, tokens, ends)
 
     keys_type: pa.DataType = pa.int64()
-    rows = docs.select(bucket_of(id_col, n).alias(BUCKET), F.col(id_col), whole_text(text_col).alias("__text"))
+    rows = small_batches(docs).select(F.col(id_col), whole_text(text_col).alias("__text")).select(bucket_of(n, id_col, "__text").alias(BUCKET), id_col, "__text")
     return rows.repartition(BUCKET).sortWithinPartitions(BUCKET, id_col, "__text").mapInArrow(run, schema)
 
 

@@ -6,9 +6,11 @@ space is safe, and where a white space stands alone, both its sides are."""
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
+from struct import pack
 
 import numpy as np
 
@@ -20,6 +22,11 @@ CUT = re.compile(r"(?<=\S)(?=\s)")
 PLAIN = re.compile(r" ?\S+")
 LONG = 1_000
 RAW = "\0"
+#: Pieces of ASCII signs and Latin letters that every version of Unicode has, and how the pattern cuts them.
+PLAIN_SIGNS = re.compile(" ?[!-~À-ÖØ-öø-ɏ]+")
+PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^A-Za-zÀ-ÖØ-öø-ɏ0-9 ]+")
+#: Bytes of a line of pieces and of a batch that goes to the tokenizer at once.
+LINE, BATCH = 16_000, 256_000
 EDGE = re.compile(r"(?<=\S)\s")
 
 
@@ -34,17 +41,10 @@ def slices(text: str, size: int = 1_000_000) -> Iterator[str]:
 
 def pieces(text: str) -> list[str]:
     """Keys of strings that make up the text and can be encoded one by one: `word` stands for a blank and the word, and
-    what follows RAW for itself. So the usual text, words with single blanks between, costs one split a line."""
+    what follows RAW for itself. So the usual text, words with single blanks between, costs one split."""
     if RAW in text or any(x in text for x in RUNS) or OTHER.search(text):
         return [RAW + x for x in CUT.split(text)]
-    out: list[str] = []
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            out.append(RAW + "\n")
-        first, *rest = line.split(" ")
-        out.append(RAW + first)
-        out += rest
-    return out
+    return (RAW + text.replace("\n", f" {RAW}\n {RAW}")).split(" ")
 
 
 def piece_of(key: str) -> str:
@@ -52,49 +52,138 @@ def piece_of(key: str) -> str:
 
 
 class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
         return n
 
 
 class PieceTable:
-    """Numbers the distinct pieces met and keeps, in the same order, what learn says of each. At most about `most` pieces
-    stay from batch to batch."""
+    """Numbers the distinct pieces met and keeps, in the same order, what learn says of each. From batch to batch at most about
+    `most` pieces stay: when there are more, those that were met once go (keep: the numbers of those that stay, in order)."""
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], most: int = 900_000):
-        self.numbers, self.known, self.learn, self.forget, self.most = Numbers(), 0, learn, forget, most
+    def __init__(self, learn: Callable[[list[str]], None], keep: Callable[[np.ndarray], None], most: int = 600_000):
+        self.numbers, self.uses, self.learn, self.keep, self.most = Numbers(), np.zeros(0, dtype=np.int64), learn, keep, most
 
     def number(self, text: str) -> np.ndarray:
         get = self.numbers.__getitem__
         parts = [np.fromiter(map(get, found), dtype=np.int32, count=len(found)) for found in map(pieces, slices(text))]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
-    def settle(self) -> None:
-        """Learns the pieces numbered since the last call."""
-        if len(self.numbers) > self.known:
-            self.learn(list(map(piece_of, islice(self.numbers, self.known, None))))
-            self.known = len(self.numbers)
+    def settle(self, found: list[np.ndarray]) -> None:
+        """Learns the pieces numbered since the last call and counts the uses in these texts."""
+        known = len(self.uses)
+        if len(self.numbers) > known:
+            self.learn(list(map(piece_of, islice(self.numbers, known, None))))
+        uses = np.bincount(np.concatenate(found), minlength=len(self.numbers)) if found else np.zeros(len(self.numbers), dtype=np.int64)
+        uses[:known] += self.uses
+        self.uses = uses
 
     def trim(self) -> None:
-        if self.known > self.most:
-            self.numbers.clear()
-            self.known = 0
-            self.forget()
+        if len(self.uses) > self.most:
+            least = 2
+            while (self.uses >= least).sum() > self.most // 2:
+                least *= 2
+            stay = np.flatnonzero(self.uses >= least)
+            names = list(self.numbers)
+            self.numbers = Numbers(zip(map(names.__getitem__, stay.tolist()), range(len(stay)), strict=True))
+            self.uses = np.ones(len(stay), dtype=np.int64)
+            self.keep(stay)
+
+
+def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+def even_batches(texts: Sequence[str], size: int) -> Iterator[Sequence[str]]:
+    """The texts in batches of about size bytes; a longer text is a batch of its own."""
+    ends = np.cumsum(np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in texts), dtype=np.int64, count=len(texts)))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield texts[at:upto]
+        at = upto
 
 
-def encode_pieces(tokenizer, new: list[str], line_pieces: int = 2_000) -> list[bytes]:
-    """The ids of each piece, as little-endian unsigned 32-bit numbers. Pieces without a white space inside go to the
-    tokenizer as lines of longer texts, in batches of like size: a lone line feed is a token of its own between them, at
-    which the ids are cut again. A piece of over LONG characters is encoded alone."""
+def encode_pieces(tokenizer, new: list[str]) -> list[bytes]:
+    """The ids of each piece, as little-endian unsigned 32-bit numbers, encoded in batches of about equal bytes. Pieces
+    without a white space inside go as lines of longer texts, themselves of about equal bytes: a lone line feed is a token
+    of its own between them, at which the ids are cut again. The others, and pieces of over LONG characters, are texts of
+    their own."""
     (feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
-    plain, found = [x for x in new if PLAIN.fullmatch(x) and len(x) <= LONG], []
-    lines = [plain[k : k + line_pieces] for k in range(0, len(plain), line_pieces)]
-    for k in range(0, len(lines), 16):
-        for coded in tokenizer.encode_batch_fast(["\n".join(x) for x in lines[k : k + 16]], add_special_tokens=False):
-            ids = np.array(coded.ids, dtype="<u4")
+    lined = [len(x) <= LONG and PLAIN.fullmatch(x) is not None for x in new]
+    coded: list[bytes] = []
+    lines = ["\n".join(x) for x in even_batches([x for x, plain in zip(new, lined, strict=True) if plain], LINE)]
+    for batch in even_batches(lines, BATCH):
+        for text in tokenizer.encode_batch_fast(batch, add_special_tokens=False):
+            ids = np.array(text.ids, dtype="<u4")
             held, feeds = ids.tobytes(), (4 * np.flatnonzero(ids == feed)).tolist()
-            found += [held[a:b] for a, b in zip([0, *(f + 4 for f in feeds)], [*feeds, len(held)], strict=True)]
-    if len(found) == len(new):
+            coded += [held[a:b] for a, b in zip([0, *(f + 4 for f in feeds)], [*feeds, len(held)], strict=True)]
+    if len(coded) == len(new):
+        return coded
+    alone = (np.array(text.ids, dtype="<u4").tobytes() for batch in even_batches([x for x, plain in zip(new, lined, strict=True) if not plain], BATCH) for text in tokenizer.encode_batch_fast(batch, add_special_tokens=False))
+    found = iter(coded)
+    return [next(found if plain else alone) for plain in lined]
+
+
+def byte_letters() -> list[str]:
+    """How a byte-level vocabulary writes bytes: visible ones of Latin-1 as themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+BYTES = byte_letters()
+
+
+def byte_level(text: str) -> str:
+    return "".join(BYTES[b] for b in text.encode())
+
+
+BLANK, word = byte_level(" "), re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+LETTERS = {c: byte_level(chr(c)) for c in [0x20, *range(0xC0, 0x250)]}
+
+
+class PieceIds(dict):
+    """The ids of pieces by their keys (see pieces), as little-endian unsigned 32-bit numbers, found when first asked for. A
+    piece of plain signs is cut as the pattern cuts it and its parts go straight to the merges; any other goes to the
+    tokenizer. Pieces not asked for since the table was last full are forgotten."""
+
+    def __init__(self, path: str, most: int = 300_000):
+        self.tokenizer, self.most, self.old = tokenizer(path), most, {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.special = any(PLAIN_SIGNS.fullmatch(t.content) and "<|" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.pop(key, None)
+        if found is None and word(key) and not self.special:  # by far the most
+            ids = [t.id for t in self.tokenize(BLANK + (key if key.isascii() else key.translate(LETTERS)))]
+            found = pack(f"<{len(ids)}I", *ids)
+        self[key] = found = self.encode(piece_of(key)) if found is None else found
         return found
-    known = dict(zip(plain, found, strict=True))
-    return [known[x] if x in known else np.array(tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in new]
+
+    def encode(self, piece: str) -> bytes:
+        if self.special or not PLAIN_SIGNS.fullmatch(piece) or "<|" in piece:
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        parts = PARTS.findall(piece)
+        if len(parts) > 1:
+            return b"".join([self[p[1:] if p[0] == " " else RAW + p] for p in parts])
+        ids = [t.id for t in self.tokenize(piece.replace(" ", LETTERS[0x20]) if piece.isascii() else piece.translate(LETTERS))]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def of(self, text: str) -> bytes:
+        """The ids of a whole text."""
+        get = self.__getitem__
+        return b"".join([b"".join(map(get, pieces(x))) for x in slices(text)])
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, whole_groups, whole_text
+from .common import small_batches, stored, whole_groups, whole_text
 from .graph import components, forest, pair_blocks
 
 #: Shingles counted at once; rows of a comparison block; planes between two tests for abandoned words.
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             found = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=schema.names)
 
-    return docs.select(id_col, whole_text(text_col).alias("__text")).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, whole_text(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def masks(radius: int, agree: int) -> list[int]:

@@ -1,11 +1,10 @@
 """Token counts of whole texts (operator 2).
 
 Texts are cut at safe boundaries (see pieces), the distinct pieces of an Arrow batch go to the tokenizer in batches of
-equal bytes, and only lengths come back. No shuffle; a task holds one Arrow batch and a bounded table of piece lengths."""
+about equal bytes, and only lengths come back. No shuffle; a task holds one Arrow batch and a bounded table of piece lengths."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -15,31 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text
-from .pieces import PieceTable, encode_pieces
-
-
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
-    from tokenizers import Tokenizer
-
-    out = Tokenizer.from_file(path)
-    out.no_truncation()
-    out.no_padding()
-    return out
+from .common import small_batches, whole_text
+from .pieces import PieceTable, encode_pieces, tokenizer
 
 
 class Lengths(PieceTable):
     def __init__(self, path: str):
         self.tokenizer, self.lengths = tokenizer(path), np.zeros(0, dtype=np.int64)
-        super().__init__(self.add, self.clear)
+        super().__init__(self.add, self.stay)
 
     def add(self, new: list[str]) -> None:
         found = np.fromiter(map(len, encode_pieces(self.tokenizer, new)), dtype=np.int64, count=len(new)) // 4
         self.lengths = np.concatenate([self.lengths, found])
 
-    def clear(self) -> None:
-        self.lengths = self.lengths[:0]
+    def stay(self, numbers: np.ndarray) -> None:
+        self.lengths = self.lengths[numbers]
 
 
 @lru_cache(maxsize=1)
@@ -59,10 +48,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for batch in batches:
             texts = batch.column(1)
             found = [table.number(t.as_py()) for t in texts]
-            table.settle()
+            table.settle(found)
             n = [int(table.lengths[x].sum()) for x in found]
             table.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=schema.names)
 
-    rows = docs.select(F.col(id_col), whole_text(text_col).alias("__text"))
+    rows = small_batches(docs).select(F.col(id_col), whole_text(text_col).alias("__text"))
     return rows.withColumn("__bytes", F.octet_length("__text").cast("long")).mapInArrow(count, schema)

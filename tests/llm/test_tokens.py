@@ -10,7 +10,7 @@ from feedsift.llm import bpe, packing, token_counts
 from feedsift.llm.pieces import slices
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-SIGNS = ["a", "the", "word", " ", " ", " ", "  ", "\n", "\t", " \n", "é", "1", "23", "!", "'s", "<|endoftext|>", "\x1c", "\x85", "中", "😀", "aaaa", "\r\n", "\0", "½", "."]
+SIGNS = ["a", "the", "word", " ", " ", " ", "  ", "\n", "\t", " \n", "é", "1", "23", "!", "'s", "<|endoftext|>", "\x1c", "\x85", "中", "😀", "aaaa", "\r\n", "\0", "½", ".", "'re", "’", "word.", " Wört,", "###", "_", "ǅ", "×", "x2y", "?!", "don't"]
 
 
 @pytest.fixture(scope="module")
@@ -21,16 +21,35 @@ def texts():
 
 def test_ids_lengths_and_decoded_text_equal_the_library(texts):
     library = token_counts.tokenizer(PATH)
-    tables = token_counts.Lengths(PATH), packing.Ids(PATH), bpe.Codes(PATH)
+    tables, packed = (token_counts.Lengths(PATH), bpe.Codes(PATH)), packing.Ids(PATH)
     numbers = [[t.number(x) for x in texts] for t in tables]
-    for t in tables:
-        t.settle()
+    for t, found in zip(tables, numbers, strict=True):
+        t.settle(found)
     for k, x in enumerate(texts):
         ids = library.encode(x, add_special_tokens=False).ids
         assert tables[0].lengths[numbers[0][k]].sum() == len(ids), repr(x)
-        assert b"".join(tables[1].ids[n] for n in numbers[1][k]) == np.array(ids, dtype="<u4").tobytes(), repr(x)
-        assert "".join(tables[2].ids[n] for n in numbers[2][k])[1:] == ",".join(map(str, ids)), repr(x)
-        assert b"".join(tables[2].texts[n] for n in numbers[2][k]).decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False), repr(x)
+        assert packed.of(x) == np.array(ids, dtype="<u4").tobytes(), repr(x)
+        assert "".join(tables[1].ids[n] for n in numbers[1][k])[1:] == ",".join(map(str, ids)), repr(x)
+        assert b"".join(tables[1].texts[n] for n in numbers[1][k]).decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False), repr(x)
+
+
+def test_a_table_that_forgets_gives_the_same(texts):
+    library = token_counts.tokenizer(PATH)
+    packed = packing.Ids(PATH)
+    packed.most = 200
+    for x in texts:
+        assert packed.of(x) == np.array(library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(x)
+        packed.trim()
+        assert len(packed) <= 200
+    for t in (token_counts.Lengths(PATH), bpe.Codes(PATH)):
+        t.most = 300
+        for at in range(0, 4000, 100):
+            found = [t.number(x) for x in texts[at : at + 100]]
+            t.settle(found)
+            for x, n in zip(texts[at : at + 100], found, strict=True):
+                assert t.lengths[n].sum() == len(library.encode(x, add_special_tokens=False).ids)
+            t.trim()
+            assert len(t.numbers) == len(t.uses) == len(t.lengths) <= 300
 
 
 def test_slices_make_up_the_text():
@@ -59,3 +78,11 @@ def test_cuts_cost_the_least(seed):
     lengths = np.diff([0, *cuts])
     got = sum(extra[c] + 3.0 for c in cuts) + sum(0 if n & (n - 1) == 0 else window - n for n in lengths.tolist())
     assert lengths.max() <= window and got == pytest.approx(brute_cost(places.tolist(), penalties.tolist(), window, 3.0))
+
+
+def test_sentences_end_at_line_feeds_and_before_white_space():
+    table = packing.Ids(PATH)
+    text = "One. Two 3.5 three! four?\nfive. "
+    ids = table.of(text)
+    cuts = [4 * k for k in table.sentences(ids).tolist()]
+    assert [table.tokenizer.decode(np.frombuffer(ids[a:b], dtype="<u4").tolist()) for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)] == ["One.", " Two 3.5 three!", " four?", "\n", "five.", " "]
