@@ -12,14 +12,15 @@ from feedsift.operators import matching, rules, views
 from feedsift.plans import merge, queries
 
 SF = "/root/testdata/sf0.001"
+FOLD_SF = "/root/testdata/sf0.01"  # several publishers
 RANK = {"ADMIT": 0, "WATCH": 1, "QUARANTINE": 2}
 
 
 @pytest.fixture(scope="module")
 def folded(spark):
-    evaluated = rules.evaluate(queries.polls(spark, SF)).collect()
+    evaluated = rules.evaluate(queries.polls(spark, FOLD_SF)).collect()
     found = {r["event_id"]: {x["rule_id"]: x["verdict"] for x in r["results"]} for r in evaluated}
-    return sorted(rules.trust_states(rules.evaluate(queries.polls(spark, SF))).collect(), key=lambda r: (r["publisher_key"], r["polled_us"], r["event_id"])), found
+    return sorted(rules.trust_states(rules.evaluate(queries.polls(spark, FOLD_SF))).collect(), key=lambda r: (r["publisher_key"], r["polled_us"], r["event_id"])), found
 
 
 def test_transitions_are_the_changes_of_state_with_the_rules_that_fired(spark, folded):
@@ -31,14 +32,13 @@ def test_transitions_are_the_changes_of_state_with_the_rules_that_fired(spark, f
         if old != r["state"]:
             fired = sorted((k for k, v in found[r["event_id"]].items() if v in ("WATCH", "QUARANTINE")), key=lambda k, e=r["event_id"]: (-RANK[found[e][k]], k))
             want.add((r["event_id"], old, r["state"], ",".join(fired), fired[0] if fired else None, "ESCALATION" if RANK[r["state"]] > RANK[old] else "DE_ESCALATION"))
-    got = {(r["event_id"], r["from_state"], r["to_state"], r["rule_ids"], r["primary_rule_id"], r["direction"]) for r in queries.fold_transition(spark, SF).collect()}
+    got = {(r["event_id"], r["from_state"], r["to_state"], r["rule_ids"], r["primary_rule_id"], r["direction"]) for r in queries.fold_transition(spark, FOLD_SF).collect()}
     assert got == want and len(want) > 3
 
 
 def test_states_at_a_time_are_those_of_the_last_transition(spark, folded):
     states, _ = folded
-    times = sorted(r["polled_us"] for r in states)
-    at = times[(len(times) + 1) // 2 - 1]
+    at = queries.AT_US
     moves: dict[str, list[tuple[int, str]]] = {}
     last: dict[str, str] = {}
     for r in states:
@@ -46,7 +46,7 @@ def test_states_at_a_time_are_those_of_the_last_transition(spark, folded):
             moves.setdefault(r["publisher_key"], []).append((r["polled_us"], r["state"]))
         last[r["publisher_key"]] = r["state"]
     want = {k: v[n - 1][1] for k, v in moves.items() if (n := bisect_right([t for t, _ in v], at))}
-    assert {r["publisher_key"]: r["state"] for r in queries.asof_states_at(spark, SF).collect()} == want
+    assert {r["publisher_key"]: r["state"] for r in queries.asof_states_at(spark, FOLD_SF).collect()} == want
 
 
 def test_zones_hold_every_member_once_in_a_box_around_them(spark):
