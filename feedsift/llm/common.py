@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, groups: DataFrame, keys: Sequence[str], hot: Column) -> DataFrame:
+    """The rows with the columns of their group, of which there is one for each keys. Groups that are `hot` (a condition that
+    few can meet, as to hold a thousandth of all rows) come by broadcast, so that their rows stay where they are; the others are
+    met by a shuffle, on which none weighs much."""
+    keys, few = list(keys), F.broadcast(groups.filter(hot))
+    return rows.join(few, keys).unionByName(rows.join(few, keys, "left_anti").join(groups.filter(~hot), keys))
+
+
 def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
     """df, after its session was told to hand rows to Python in batches of about size bytes: long texts then cost a task little
     memory. What the session was told by its user stays."""

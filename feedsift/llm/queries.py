@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_dedup, lm_scoring, nearest, packing, simhash, token_counts, url_filter, vector_dedup
+from . import bpe, language, line_dedup, lm_scoring, nearest, packing, prefix_trie, simhash, substrings, token_counts, url_filter, vector_codes, vector_dedup
 from .common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,7 +65,22 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_token_counts, op3_nearest, op4_simhash, op5_lm_scoring, op6_line_dedup, op7_url_filter, op8_packing, op9_bpe, op10_vector_dedup)}
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(read(spark, sf_dir, "documents"), size=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256.0)
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"), heads, least=8, every=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_token_counts, op3_nearest, op4_simhash, op5_lm_scoring, op6_line_dedup, op7_url_filter, op8_packing, op9_bpe, op10_vector_dedup, op11_substrings, op12_vector_codes, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op6_line_dedup": r"""
@@ -102,5 +117,104 @@ WITH RECURSIVE v AS (
 counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM classes LEFT JOIN counts USING (vec_id)
+""",
+    "op11_substrings": r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, unnest(range(1, len(words) - 11)) AS pos, words FROM texts WHERE len(words) >= 13
+), keyed AS (
+    SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 12], ' ')) AS k FROM windows
+), repeated AS (
+    SELECT doc_id, pos FROM keyed JOIN (SELECT k, min(doc_id) AS least FROM keyed GROUP BY k) USING (k) WHERE least < doc_id
+), placed AS (
+    SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM texts
+), judged AS (
+    SELECT placed.doc_id, placed.pos, word, max(CASE WHEN repeated.pos IS NULL THEN 0 ELSE 1 END)
+        OVER (PARTITION BY placed.doc_id ORDER BY placed.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone
+    FROM placed LEFT JOIN repeated ON repeated.doc_id = placed.doc_id AND repeated.pos = placed.pos
+), kept AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+    FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+""",
+    "op12_vector_codes": r"""
+WITH live AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+    SELECT vec_id, p, e[p * len(e) // 16 + 1:(p + 1) * len(e) // 16] AS x FROM live, (SELECT unnest(range(16)) AS p)
+), book0 AS (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS c
+    FROM parts WHERE vec_id IN (SELECT vec_id FROM live ORDER BY vec_id LIMIT 64)
+), near0 AS (
+    SELECT vec_id, p, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + k) AS m
+    FROM parts JOIN book0 USING (p) GROUP BY vec_id, p
+), mean0 AS (
+    SELECT p, k, list(v ORDER BY i) AS c FROM (
+        SELECT p, m % 64 AS k, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v
+        FROM (SELECT p, m, unnest(x) AS v, unnest(range(len(x))) AS i FROM near0) GROUP BY ALL
+    ) GROUP BY p, k
+), book1 AS (
+    SELECT book0.p, book0.k, coalesce(mean0.c, book0.c) AS c FROM book0 LEFT JOIN mean0 ON book0.p = mean0.p AND book0.k = mean0.k
+), near1 AS (
+    SELECT vec_id, p, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + k) AS m
+    FROM parts JOIN book1 USING (p) GROUP BY vec_id, p
+), mean1 AS (
+    SELECT p, k, list(v ORDER BY i) AS c FROM (
+        SELECT p, m % 64 AS k, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v
+        FROM (SELECT p, m, unnest(x) AS v, unnest(range(len(x))) AS i FROM near1) GROUP BY ALL
+    ) GROUP BY p, k
+), book2 AS (
+    SELECT book1.p, book1.k, coalesce(mean1.c, book1.c) AS c FROM book1 LEFT JOIN mean1 ON book1.p = mean1.p AND book1.k = mean1.k
+), near2 AS (
+    SELECT vec_id, p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + k) AS m
+    FROM parts JOIN book2 USING (p) GROUP BY vec_id, p
+), coded AS (
+    SELECT vec_id, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM near2 GROUP BY vec_id
+), digest AS (
+    SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN live USING (vec_id), digest
+""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), lengths AS (
+    SELECT c, count(*) AS n FROM t GROUP BY c
+), hashed AS (
+    SELECT c, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ord((c::VARCHAR)[i])::UBIGINT)),
+        lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 9)::BIGINT AS h
+    FROM lengths
+), convs AS (
+    SELECT hashed.c, h, least(h, coalesce(b.n, 0)) AS m FROM hashed LEFT JOIN lengths b ON b.c = hashed.c - hashed.c % 5
+), r AS (
+    SELECT convs.c, t.pos AS d, role, text FROM convs JOIN t ON t.c = convs.c - convs.c % 5 WHERE t.pos <= h
+    UNION ALL
+    SELECT convs.c, m + t.pos - h, role, text FROM convs JOIN t ON t.c = convs.c WHERE t.pos > h
+), p AS (
+    SELECT c, d, strlen(text) AS bytes, md5(string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM r
+    UNION ALL
+    SELECT c, 0, 0, '' FROM convs
+), n AS (
+    SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved FROM p GROUP BY d, k
+), up AS (
+    SELECT n.d, n.k, n.saved, p.d AS above_d, p.k AS above_k FROM n JOIN p ON p.c = n.conv_id AND p.d <= n.d
+), kids AS (
+    SELECT above_d AS d, above_k AS k, count(*) AS n_children FROM up WHERE above_d = d - 1 GROUP BY ALL
+), sums AS (
+    SELECT above_d AS d, above_k AS k, count(*) FILTER (kids.n_children IS NULL) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM up LEFT JOIN kids ON kids.d = up.d AND kids.k = up.k GROUP BY above_d, above_k
+), ends AS (
+    SELECT d, k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS x FROM p WHERE (c, d) IN (SELECT c, max(d) FROM p GROUP BY c) GROUP BY d, k
+), parents AS (
+    SELECT up.d, up.k, n.conv_id AS parent_conv_id FROM up JOIN n ON n.d = up.above_d AND n.k = up.above_k WHERE up.above_d = up.d - 1
+)
+SELECT n.conv_id, n.d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(x, sha256('')) AS ends_sha256
+FROM n JOIN sums USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN ends USING (d, k) LEFT JOIN parents USING (d, k)
 """,
 }
