@@ -1,4 +1,5 @@
-"""Distances and coverage of polylines in metres, on the plane about the mean latitude of what is compared.
+"""Distances and coverage of polylines in metres, on the plane about the mean latitude of what is compared: the mean of both
+sides' own means, so that it does not matter how many vertices a side is written with.
 
 Small numpy helpers for the refine step of the spatial join: one call judges one pair of geometries."""
 
@@ -15,17 +16,17 @@ ROUNDING = 1e-6
 
 
 def planar(*lines: np.ndarray) -> list[np.ndarray]:
-    """The lines (rows of lon, lat) in metres about their joint mean latitude, each unbroken at the antimeridian and in the
-    branch nearest the first line's start."""
-    lat0 = np.concatenate([x[:, 1] for x in lines]).mean()
-    scale = EARTH_METRES * np.cos(np.radians(lat0))
+    """The lines (rows of lon, lat) in metres about the mean of their mean latitudes, each unbroken at the antimeridian and in
+    the branch nearest the first line's start."""
+    scale = EARTH_METRES * np.cos(np.radians(np.mean([x[:, 1].mean() for x in lines])))
+    return [np.column_stack([np.radians(unbroken(x, lines[0][0, 0])[:, 0]) * scale, np.radians(x[:, 1]) * EARTH_METRES]) for x in lines]
 
-    def unbroken(x: np.ndarray) -> np.ndarray:
-        start = x[0, 0] - 360 * np.round((x[0, 0] - lines[0][0, 0]) / 360)
-        east = x[:, 0] - x[0, 0]
-        return start + east - 360 * np.round(east / 360)
 
-    return [np.column_stack([np.radians(unbroken(x)) * scale, np.radians(x[:, 1]) * EARTH_METRES]) for x in lines]
+def unbroken(line: np.ndarray, near: float) -> np.ndarray:
+    """The line in degrees without a break at the antimeridian, its start in the branch nearest a longitude."""
+    start = line[0, 0] - 360 * np.round((line[0, 0] - near) / 360)
+    east = line[:, 0] - line[0, 0]
+    return np.column_stack([start + east - 360 * np.round(east / 360), line[:, 1]])
 
 
 def to_segments(points: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -59,18 +60,31 @@ def length(line: np.ndarray) -> float:
 
 
 def samples(line: np.ndarray, step: float = STEP) -> np.ndarray:
-    """Points of a planar line every step metres along its whole length, and its end once."""
-    walked = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(line, axis=0).T))]) if len(line) > 1 else np.zeros(1)
+    """Points of an unbroken line in degrees every step metres along its whole length, and its end once."""
+    if len(line) < 2:
+        return line
+    walked = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(planar(line)[0], axis=0).T))])
     if walked[-1] == 0:
         return line[:1]
     at = np.append(np.arange(0.0, walked[-1], step), walked[-1])
     return np.column_stack([np.interp(at, walked, line[:, k]) for k in (0, 1)])
 
 
+def coverage(a: np.ndarray, b: np.ndarray, reach: float) -> float:
+    """The share of a's samples that lie within reach of b, each on the plane about the mean of its own latitude and b's."""
+    points = samples(unbroken(a, b[0, 0]))
+    b = unbroken(b, b[0, 0])
+    scale = np.column_stack([np.cos(np.radians((points[:, 1] + b[:, 1].mean()) / 2)), np.ones(len(points))]) * EARTH_METRES
+    start, step = (b, np.zeros_like(b)) if len(b) == 1 else (b[:-1], np.diff(b, axis=0))
+    off, step = np.radians(points[:, None] - start[None]) * scale[:, None], np.radians(step)[None] * scale[:, None]
+    square = (step**2).sum(axis=2)
+    share = np.clip((off * step).sum(axis=2) / np.where(square > 0, square, 1.0), 0.0, 1.0)
+    return float((np.sqrt(((off - share[:, :, None] * step) ** 2).sum(axis=2)).min(axis=1) <= reach + ROUNDING).mean())
+
+
 def symmetric_coverage(a: np.ndarray, b: np.ndarray, reach: float) -> float:
     """The smaller share of either line's samples that lie within reach of the other."""
-    a, b = planar(a, b)
-    return min(float((to_segments(samples(x), y) <= reach + ROUNDING).mean()) for x, y in ((a, b), (b, a)))
+    return min(coverage(a, b, reach), coverage(b, a, reach))
 
 
 def distance_rows(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,15 +98,15 @@ def distance_rows(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def judge_short(a: np.ndarray, b: np.ndarray, points: np.ndarray, others: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """(metres, coverage) of many pairs at once, each side a point or a line of two ends: a and b hold the ends (pairs, 2, 2),
     a point's twice; points and others say which are points. coverage is nan beyond reach and between points."""
-    weight = [np.where(p, 1, 2) for p in (points, others)]
-    lat = sum(np.where(p, x[:, 0, 1], x[:, :, 1].sum(axis=1)) for x, p in ((a, points), (b, others))) / (weight[0] + weight[1])
-    scale = EARTH_METRES * np.cos(np.radians(lat))
+    scale = EARTH_METRES * np.cos(np.radians((a[:, :, 1].mean(axis=1) + b[:, :, 1].mean(axis=1)) / 2))
 
-    def planar_ends(x: np.ndarray) -> list[np.ndarray]:
+    def unbroken_ends(x: np.ndarray) -> np.ndarray:
         start = x[:, 0, 0] - 360 * np.round((x[:, 0, 0] - a[:, 0, 0]) / 360)
         east = x[:, 1, 0] - x[:, 0, 0]
-        lon = start, start + east - 360 * np.round(east / 360)
-        return [np.column_stack([np.radians(lon[k]) * scale, np.radians(x[:, k, 1]) * EARTH_METRES]) for k in (0, 1)]
+        return np.stack([np.column_stack([start, start + east - 360 * np.round(east / 360)]), x[:, :, 1]], axis=2)
+
+    def planar_ends(x: np.ndarray) -> list[np.ndarray]:
+        return [np.column_stack([np.radians(x[:, k, 0]) * scale, np.radians(x[:, k, 1]) * EARTH_METRES]) for k in (0, 1)]
 
     def own_length(x: np.ndarray) -> np.ndarray:
         east = x[:, 1, 0] - x[:, 0, 0]
@@ -101,24 +115,30 @@ def judge_short(a: np.ndarray, b: np.ndarray, points: np.ndarray, others: np.nda
     def side(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
         return np.sign((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]))
 
-    (p, q), (r, s) = planar_ends(a), planar_ends(b)
+    x, y = unbroken_ends(a), unbroken_ends(b)
+    (p, q), (r, s) = planar_ends(x), planar_ends(y)
     metres = np.minimum.reduce([distance_rows(p, r, s), distance_rows(q, r, s), distance_rows(r, p, q), distance_rows(s, p, q)])
     metres[(side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)] = 0.0
     coverage = np.full(len(a), np.nan)
     at = np.flatnonzero((metres <= reach) & (np.maximum(own_length(a), own_length(b)) >= POINT_METRES))
     if len(at):
-        p, q, r, s = (x[at] for x in (p, q, r, s))
-        coverage[at] = np.minimum(within(p, q, r, s, reach), within(r, s, p, q, reach))
+        coverage[at] = np.minimum(within(x[at], y[at], reach), within(y[at], x[at], reach))
     return metres, coverage
 
 
-def within(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray, reach: float) -> np.ndarray:
-    """Row by row, the share of the samples of the planar line p to q that lie within reach of the segment r to s."""
-    long = np.hypot(*(q - p).T)
+def within(x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
+    """Row by row, the share of the samples of line x (its ends in degrees, unbroken) that lie within reach of line y, each on
+    the plane about the mean of its own latitude and y's."""
+    own, other = x[:, :, 1].mean(axis=1), y[:, :, 1].mean(axis=1)
+    run = np.radians(x[:, 1] - x[:, 0]) * EARTH_METRES
+    long = np.hypot(run[:, 0] * np.cos(np.radians(own)), run[:, 1])
     steps = np.ceil(long / STEP).astype(np.int64)
     n = steps + 1  # and the end; a line without length is its start alone
-    row = np.repeat(np.arange(len(p)), n)
+    row = np.repeat(np.arange(len(x)), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     share = np.where(k == steps[row], 1.0, k * STEP / np.where(long > 0, long, 1.0)[row])
-    near = distance_rows(p[row] + (q - p)[row] * share[:, None], r[row], s[row]) <= reach + ROUNDING
-    return np.bincount(row, weights=near, minlength=len(p)) / n
+    point = x[row, 0] + (x[row, 1] - x[row, 0]) * share[:, None]
+    scale = np.column_stack([np.cos(np.radians((point[:, 1] + other[row]) / 2)), np.ones(len(row))]) * EARTH_METRES
+    r, s = (np.radians(y[row, k] - point) * scale for k in (0, 1))
+    near = distance_rows(np.zeros_like(r), r, s) <= reach + ROUNDING
+    return np.bincount(row, weights=near, minlength=len(x)) / n

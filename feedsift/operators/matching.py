@@ -17,52 +17,109 @@ from ..functions.columns import EARTH_METRES, coordinates, normal_road
 from ..sources.storage import written
 from .reconcile import REACH, SURE
 
-#: The share of both geometries that has to coincide.
+#: The share of both geometries that has to coincide; what else of a zone corroborates a pair.
 LEAST_COVERAGE = 0.6
-ATTRIBUTES = ("publisher_key", "pos", "vertices", "data_source_id", "roads", "direction", "start_us", "end_us")
+ATTRIBUTES = ("data_source_id", "roads", "direction", "start_us", "end_us")
 
 
-def cells(columns: int, size: float) -> Column:
-    """The grid cells that a geometry touches, walked in steps of at most half a cell."""
-    v = F.col("vertices")
+class Grid:
+    """Cells of about twice the reach, as columns over longitude and latitude. Rows are strips of equal height; each band of
+    BAND rows has as many columns as fit at its latitude furthest from the equator, so a zone near a pole widens its own
+    band's cells and no others'."""
 
-    def walk(i: Column) -> Column:
-        a, b = F.get(v, i), F.get(v, F.least(i + 1, F.size(v) - 1))
-        east = F.get(b, F.lit(0)) - F.get(a, F.lit(0))
-        east = (east - 360 * F.bround(east / 360)) / 360 * columns
-        north = F.radians(F.get(b, F.lit(1)) - F.get(a, F.lit(1))) * EARTH_METRES / size
-        n = F.greatest(F.ceil(2 * F.greatest(F.abs(east), F.abs(north))).cast("int"), F.lit(1))
-        x0, y0 = F.get(a, F.lit(0)) / 360 * columns, F.radians(F.get(a, F.lit(1))) * EARTH_METRES / size
-        return F.transform(F.sequence(F.lit(0), n), lambda j: F.floor(y0 + north * j / n) * columns + F.pmod(F.floor(x0 + east * j / n), F.lit(columns)))
+    BAND = 400
 
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 2, F.lit(0))), walk)))
+    def __init__(self, reach: float):
+        self.size = 2 * reach
 
+    def row(self, lat: Column) -> Column:
+        return F.floor(F.radians(lat) * EARTH_METRES / self.size)
 
-def around(column: str, columns: int) -> Column:
-    """These cells and their eight neighbours; columns wrap."""
+    def columns(self, row: Column) -> Column:
+        """How many cells the band of a row has around the globe."""
+        band = F.floor(row / self.BAND)
+        far = F.greatest(F.abs(band), F.abs(band + 1)) * (self.BAND * self.size / EARTH_METRES)
+        around = F.floor(math.tau * EARTH_METRES / self.size * F.cos(F.least(far, F.lit(math.pi / 2))))
+        return F.greatest(around, F.lit(1)).cast("long")
 
-    def near(c: Column) -> Column:
-        x, row = F.pmod(c, F.lit(columns)), F.floor(c / columns)
-        return F.array(*((row + b) * columns + F.pmod(x + a, F.lit(columns)) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    @staticmethod
+    def cell(row: Column, column: Column) -> Column:
+        return row * (1 << 32) + column
 
-    return F.array_distinct(F.flatten(F.transform(column, near)))
+    def touched(self, vertices: str) -> Column:
+        """The cells (row, column) that a geometry touches, walked in steps of at most half a cell."""
+        v = F.col(vertices)
+
+        def walk(i: Column) -> Column:
+            a, b = F.get(v, i), F.get(v, F.least(i + 1, F.size(v) - 1))
+            x0, y0 = F.get(a, F.lit(0)), F.get(a, F.lit(1))
+            east, north = F.get(b, F.lit(0)) - x0, F.get(b, F.lit(1)) - y0
+            east = east - 360 * F.bround(east / 360)
+            ends = [self.columns(self.row(y)) for y in (y0, y0 + north)]
+            most = F.when(y0 * (y0 + north) <= 0, self.columns(F.lit(0))).otherwise(F.greatest(*ends))  # the narrowest cells on the way
+            steps = F.greatest(F.abs(east) / 360 * most, F.abs(F.radians(north)) * EARTH_METRES / self.size)
+            n = F.greatest(F.ceil(2 * steps).cast("int"), F.lit(1))
+
+            def at(j: Column) -> Column:
+                row = self.row(y0 + north * j / n)
+                columns = self.columns(row)
+                return F.struct(row.alias("row"), F.pmod(F.floor((x0 + east * j / n) / 360 * columns), columns).alias("column"))
+
+            return F.transform(F.sequence(F.lit(0), n), at)
+
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 2, F.lit(0))), walk)))
+
+    def around(self, cells: str) -> Column:
+        """Every cell that holds a point within reach of one in these cells: those of the rows above, below and of their own that
+        meet the cell's longitudes widened by a cell and more; where the next row is of another band, by that band's columns."""
+
+        def near(c: Column) -> Column:
+            own = self.columns(c["row"])
+
+            def beside(step: Column) -> Column:
+                row = c["row"] + step
+                columns = self.columns(row)
+                more = F.greatest(F.lit(1.0), 0.5 * own / columns + 0.5)
+                low, high = F.floor((c["column"] - more) * columns / own), F.floor((c["column"] + 1 + more) * columns / own)
+                return F.transform(F.sequence(low, F.least(high, low + columns - 1)), lambda x: self.cell(row, F.pmod(x, columns)))
+
+            return F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), beside))
+
+        return F.array_distinct(F.flatten(F.transform(cells, near)))
+
+
+def boxed(rows: DataFrame) -> DataFrame:
+    """Adds __box: the middle and half the width of the longitudes (unbroken at the antimeridian) and the latitudes' ends."""
+    first = F.get(F.get("vertices", F.lit(0)), F.lit(0))
+    east = F.transform("vertices", lambda p: (F.get(p, F.lit(0)) - first) - 360 * F.bround((F.get(p, F.lit(0)) - first) / 360))
+    low, high, lat = F.array_min(east), F.array_max(east), coordinates("vertices", 1)
+    return rows.withColumn("__box", F.struct((first + (low + high) / 2).alias("middle"), ((high - low) / 2).alias("half"), F.array_min(lat).alias("south"), F.array_max(lat).alias("north")))
+
+
+def apart(left: str, right: str, reach: float) -> Column:
+    """Whether two boxes are surely more than reach metres from each other."""
+    a, b, degrees = F.col(left), F.col(right), math.degrees(reach * 1.001 / EARTH_METRES)
+    far = F.greatest(F.abs(a["south"]), F.abs(a["north"]), F.abs(b["south"]), F.abs(b["north"])) + degrees
+    gap = a["middle"] - b["middle"]
+    gap = F.abs(gap - 360 * F.bround(gap / 360)) - a["half"] - b["half"]
+    beside = (far < 89) & (gap * F.cos(F.radians(far)) > degrees)
+    return beside | (a["south"] - b["north"] > degrees) | (b["south"] - a["north"] > degrees)
 
 
 def candidates(zones: DataFrame, reach: float = REACH) -> DataFrame:
-    """Each pair of zones of different publishers that may be within reach metres, once, with both sides' attributes
-    (l_..., r_...). Zones without geometry take no part.
-
-    Cells measure twice the reach where columns are narrowest, and lines are walked at half a cell, so no pair within reach is
-    more than one cell apart. A pair that meets in several cells is kept in the least of them, which needs no shuffle."""
-    size = 2 * reach
-    rows = zones.filter(F.size("vertices") > 0).withColumn("roads", F.array_distinct(F.transform("road_names", normal_road))).select(*ATTRIBUTES)
-    top = rows.agg(F.max(F.array_max(F.transform("vertices", lambda p: F.abs(F.get(p, F.lit(1))))))).first()[0]
-    columns = max(1, math.floor(EARTH_METRES * math.radians(360.0) * math.cos(math.radians(min(89.9999, (top or 0.0) + 1.0))) / size))
-    rows = rows.withColumn("cells", cells(columns, size))
-    left = rows.select(*(F.col(c).alias(f"l_{c}") for c in ATTRIBUTES), F.col("cells").alias("l_cells"), F.explode("cells").alias("cell"))
-    right = rows.withColumn("near", around("cells", columns)).select(*(F.col(c).alias(f"r_{c}") for c in ATTRIBUTES), F.col("near").alias("r_cells"), F.explode("near").alias("cell"))
-    met = left.join(right, "cell").filter(F.col("l_publisher_key") < F.col("r_publisher_key"))
-    return met.filter(F.col("cell") == F.array_min(F.array_intersect("l_cells", "r_cells"))).drop("cell", "l_cells", "r_cells")
+    """Each pair of zones of different publishers that may be within reach metres, once: publisher_key, pos and vertices of both
+    sides (l_..., r_...). Zones without geometry take no part.
+
+    One side stands in its cells, the other asks its cells and what lies around them, by equi-join; no pair within reach is
+    missed at poles, at the antimeridian, or where bands meet. A pair that meets in several cells is kept in the least of
+    them, which needs no shuffle. What else a zone has stays behind (see matches)."""
+    grid, own = Grid(reach), ("publisher_key", "pos", "vertices", "__box")
+    rows = boxed(zones.filter(F.size("vertices") > 0).select(*own[:3])).withColumn("cells", grid.touched("vertices"))
+    standing = F.transform("cells", lambda c: grid.cell(c["row"], c["column"]))
+    left = rows.withColumn("cells", standing).select(*(F.col(c).alias(f"l_{c}") for c in own), F.col("cells").alias("l_cells"), F.explode("cells").alias("cell"))
+    right = rows.withColumn("near", grid.around("cells")).select(*(F.col(c).alias(f"r_{c}") for c in own), F.col("near").alias("r_cells"), F.explode("near").alias("cell"))
+    met = left.join(right, "cell").filter(F.col("l_publisher_key") < F.col("r_publisher_key")).filter(~apart("l___box", "r___box", reach))
+    return met.filter(F.col("cell") == F.array_min(F.array_intersect("l_cells", "r_cells"))).drop("cell", "l_cells", "r_cells", "l___box", "r___box")
 
 
 def judge_geometry(reach: float) -> Column:
@@ -93,10 +150,15 @@ def judge_geometry(reach: float) -> Column:
     return judged("l_vertices", "r_vertices")
 
 
-def matches(pairs: DataFrame, reach: float = REACH, sure: float = SURE) -> DataFrame:
-    """The pairs within reach: metres, coverage (null between points), matched, tier and what corroborates them. A pair within
-    reach whose coverage is too small stays, unmatched."""
-    judged = pairs.withColumn("__g", judge_geometry(reach)).filter(F.col("__g.metres") <= reach)
+def matches(pairs: DataFrame, zones: DataFrame, reach: float = REACH, sure: float = SURE) -> DataFrame:
+    """The pairs of zones within reach: metres, coverage (null between points), matched, tier and what corroborates them. A pair
+    within reach whose coverage is too small stays, unmatched.
+
+    Only pairs found within reach get their zones' other attributes, by two joins."""
+    judged = pairs.select("l_publisher_key", "l_pos", "r_publisher_key", "r_pos", judge_geometry(reach).alias("__g")).filter(F.col("__g.metres") <= reach)
+    known = zones.filter(F.size("vertices") > 0).withColumn("roads", F.array_distinct(F.transform("road_names", normal_road)))
+    for side in ("l", "r"):
+        judged = judged.join(known.select(F.col("pos").alias(f"{side}_pos"), *(F.col(c).alias(f"{side}_{c}") for c in ATTRIBUTES)), f"{side}_pos")
     same_source = F.coalesce((F.col("l_data_source_id") == F.col("r_data_source_id")) & (F.col("l_data_source_id") != ""), F.lit(False))
     overlap = F.coalesce((F.col("l_start_us") <= F.col("r_end_us")) & (F.col("r_start_us") <= F.col("l_end_us")), F.lit(True))
     return judged.select(

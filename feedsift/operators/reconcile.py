@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EARTH_METRES, normal_road, point_distance
-
 #: Metres up to which two points may be one zone, and up to which a shared source makes it sure.
 REACH, SURE = 150.0, 1.0
 
@@ -20,34 +16,6 @@ def drop_duplicate_ids(zones: DataFrame) -> DataFrame:
     return named.unionByName(zones.filter(F.col("feature_id").isNull()))
 
 
-def point_candidates(zones: DataFrame, reach: float = REACH) -> DataFrame:
-    """Pairs of point zones of different publishers within reach metres: (left_publisher, left_pos, right_publisher, right_pos,
-    metres, same_source, shared_road, same_direction, dates_overlap).
-
-    A grid with cells of at least reach metres: one side stands in its cell, the other asks the cell and its neighbours, by
-    equi-join. The grid's scale holds at the data's greatest latitude plus one degree; columns wrap at the antimeridian."""
-    points = zones.filter(F.col("lon").isNotNull() & (F.col("length") == 0))
-    top = points.agg(F.max(F.abs("lat"))).first()[0]
-    lat0 = min(89.9999, (top or 0.0) + 1.0)
-    columns = max(1, math.floor(EARTH_METRES * math.radians(360.0) * math.cos(math.radians(lat0)) / reach))
-    roads = F.array_distinct(F.transform("road_names", normal_road))
-    points = points.select("publisher_key", "pos", "lon", "lat", "data_source_id", roads.alias("roads"), "direction", "start_us", "end_us",
-                           F.pmod(F.floor(F.col("lon") / 360 * columns), F.lit(columns)).alias("column"), F.floor(F.radians("lat") * EARTH_METRES / reach).alias("row"))
-    left = points.select(*(F.col(c).alias(f"l_{c}") for c in points.columns if c not in ("column", "row")), "column", "row")
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    right = points.withColumn("__s", F.explode(steps)).withColumn("column", F.pmod(F.col("column") + F.col("__s.a"), F.lit(columns))).withColumn("row", F.col("row") + F.col("__s.b")).drop("__s")
-    pairs = left.join(right, ["column", "row"]).filter((F.col("l_publisher_key") < F.col("publisher_key")))
-    pairs = pairs.withColumn("metres", point_distance(F.col("l_lon"), F.col("l_lat"), F.col("lon"), F.col("lat"))).filter(F.col("metres") <= reach)
-    known = (F.col("direction") != "unknown") & (F.col("direction") == F.col("l_direction"))
-    overlap = F.coalesce((F.col("l_start_us") <= F.col("end_us")) & (F.col("start_us") <= F.col("l_end_us")), F.lit(True))
-    return pairs.select(F.col("l_publisher_key").alias("left_publisher"), F.col("l_pos").alias("left_pos"), F.col("publisher_key").alias("right_publisher"), F.col("pos").alias("right_pos"), "metres",
-                        ((F.col("data_source_id") == F.col("l_data_source_id")) & (F.col("data_source_id") != "")).alias("same_source"), F.arrays_overlap("roads", "l_roads").alias("shared_road"), known.alias("same_direction"), overlap.alias("dates_overlap"))
-
-
-def tiers(pairs: DataFrame, sure: float = SURE) -> DataFrame:
-    return pairs.withColumn("tier", F.when(F.col("same_source") & (F.col("metres") <= sure), "TIER_1").otherwise("TIER_2"))
-
-
 def corroboration(pairs: DataFrame) -> DataFrame:
-    """Per tier: pairs, and how many agree in road, direction and dates."""
-    return tiers(pairs).groupBy("tier").agg(F.count(F.lit(1)).alias("pairs"), *(F.count_if(c).alias(c) for c in ("shared_road", "same_direction", "dates_overlap")))
+    """Per tier: matched pairs, and how many agree in road, direction and dates."""
+    return pairs.groupBy("tier").agg(F.count(F.lit(1)).alias("pairs"), *(F.count_if(c).alias(c) for c in ("shared_road", "same_direction", "dates_overlap")))

@@ -16,7 +16,8 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.matches(matching.candidates(kept(spark, sf_dir)))
+    zones = kept(spark, sf_dir)
+    return matching.matches(matching.candidates(zones), zones)
 
 
 def adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,21 @@ def adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.adjudicated(pairs, adapters.zone_verdicts(pairs))
 
 
+def join_spatial_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of any geometry that the grid brings together and that do lie within reach."""
+    return judged(spark, sf_dir).select("left_publisher", "left_pos", "right_publisher", "right_pos", F.round(F.col("metres") * 100).cast("long").alias("centimetres"), "tier")
+
+
+def fn_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's row, and the columns, that each zone touches (they all run along one latitude)."""
+    rows = kept(spark, sf_dir).filter(F.size("vertices") > 0).select("publisher_key", "pos", matching.Grid(reconcile.REACH).touched("vertices").alias("cells"))
+    return rows.select("publisher_key", "pos", F.get("cells", F.lit(0))["row"].alias("row"), F.array_join(F.transform("cells", lambda c: c["column"].cast("string")), ",").alias("columns"))
+
+
+def agg_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.corroboration(judged(spark, sf_dir).filter("matched"))
+
+
 def join_spatial_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).select("left_publisher", "left_pos", "right_publisher", "right_pos", F.round(F.col("metres") * 100).cast("long").alias("centimetres"), F.round(F.col("coverage") * 1e6).cast("long").alias("coverage_ppm"), "matched", "tier")
 
@@ -44,8 +60,8 @@ def agg_distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_line_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged(spark, sf_dir).filter("matched")
-    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("pairs"), *(F.count_if(c).alias(c) for c in ("shared_road", "same_direction", "dates_overlap")))
+    """As agg_corroboration, for pairs with a line."""
+    return reconcile.corroboration(judged(spark, sf_dir).filter("matched AND coverage IS NOT NULL"))
 
 
 def join_adjudications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +193,7 @@ def join_viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        join_spatial_match, top_rejected_sample, agg_tier_counts, agg_distance_bands, agg_line_corroboration, join_adjudications, agg_adjudication_counts, grp_constrained_components,
+        join_spatial_candidates, fn_grid_cells, agg_corroboration, join_spatial_match, top_rejected_sample, agg_tier_counts, agg_distance_bands, agg_line_corroboration, join_adjudications, agg_adjudication_counts, grp_constrained_components,
         zone_build, agg_reconciliation_snapshot, zone_assign_identity, sink_new_identity_entries, win_primary_source, win_resolve_field, pub_missing_required, agg_missing_fields,
         pub_exclusion_reason, agg_exclusions, agg_output_artifact, pub_to_feature, agg_feed_info, pub_self_validation_gate, sink_merged_feed, sink_change_only_zones, join_admitted_feeds,
         agg_source_composition, agg_direction_usability, agg_update_date_scope, join_viewport,
@@ -251,12 +267,20 @@ g AS (
     FROM claims
 )"""
 
+ROW_SQL, COLUMNS_SQL = "floor(radians(lat) * 6371008.8::DOUBLE / 300)", "greatest(1, floor(2 * pi() * 6371008.8::DOUBLE / 300 * cos(least(greatest(abs(band), abs(band + 1)) * (400 * 300 / 6371008.8::DOUBLE), pi() / 2))))::BIGINT"
+CORROBORATION = "SELECT tier, count(*) AS pairs, count(*) FILTER (shared_road) AS shared_road, count(*) FILTER (same_direction) AS same_direction, count(*) FILTER (dates_overlap) AS dates_overlap FROM judged WHERE matched"
+
 ORACLE_SQL = {
+    "join_spatial_candidates": f"WITH {MATCHES} SELECT left_publisher, left_pos, right_publisher, right_pos, CAST(round(metres * 100) AS BIGINT) AS centimetres, tier FROM judged",
+    "fn_grid_cells": f"""WITH {ZONES}, r AS (SELECT *, {ROW_SQL}::BIGINT AS grid_row FROM kept WHERE lon IS NOT NULL), b AS (SELECT *, floor(grid_row / 400::DOUBLE) AS band FROM r), c AS (SELECT *, {COLUMNS_SQL} AS n FROM b),
+        w AS (SELECT *, greatest(1, ceil(2 * (length / 360 * n)))::BIGINT AS steps FROM c), x AS (SELECT *, list_transform(range(0, steps + 1), lambda j: (floor((lon + length * j / steps) / 360 * n)::BIGINT % n + n) % n) AS held FROM w)
+        SELECT publisher_key, pos, grid_row AS row, array_to_string(list_filter(held, lambda h, i: i = 1 OR held[i - 1] <> h), ',') AS columns FROM x""",
+    "agg_corroboration": f"WITH {MATCHES} {CORROBORATION} GROUP BY tier",
     "join_spatial_match": f"WITH {MATCHES} SELECT left_publisher, left_pos, right_publisher, right_pos, CAST(round(metres * 100) AS BIGINT) AS centimetres, CAST(round(coverage * 1e6::DOUBLE) AS BIGINT) AS coverage_ppm, matched, tier FROM judged",
     "top_rejected_sample": f"WITH {MATCHES} SELECT left_publisher, left_pos, right_publisher, right_pos FROM judged WHERE NOT matched ORDER BY ALL LIMIT 50",
     "agg_tier_counts": f"WITH {MATCHES} SELECT count(*) FILTER (tier = 'TIER_1') AS tier_1, count(*) FILTER (tier = 'TIER_2') AS tier_2 FROM judged WHERE matched",
     "agg_distance_bands": f"WITH {MATCHES} SELECT (CASE WHEN metres <= 1 THEN 1 WHEN metres <= 10 THEN 10 WHEN metres <= 50 THEN 50 ELSE 150 END)::BIGINT AS band, count(*) AS pairs FROM judged WHERE matched GROUP BY 1",
-    "agg_line_corroboration": f"WITH {MATCHES} SELECT tier, count(*) AS pairs, count(*) FILTER (shared_road) AS shared_road, count(*) FILTER (same_direction) AS same_direction, count(*) FILTER (dates_overlap) AS dates_overlap FROM judged WHERE matched GROUP BY tier",
+    "agg_line_corroboration": f"WITH {MATCHES} {CORROBORATION} AND coverage IS NOT NULL GROUP BY tier",
     "join_adjudications": f"WITH {MATCHES} SELECT left_pos, right_pos, tier, verdict, verdict IN ('DETERMINISTIC', 'DUPLICATE') AS accepted FROM adjudicated",
     "agg_adjudication_counts": f"WITH {MATCHES} SELECT verdict, count(*) AS pairs FROM adjudicated WHERE tier = 'TIER_2' GROUP BY 1",
     "zone_assign_identity": f"WITH {IDENTITY} SELECT * FROM assigned",

@@ -123,15 +123,6 @@ def fn_normalize_road(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", normal_road(F.col("name")).alias("road"))
 
 
-def join_spatial_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = reconcile.tiers(reconcile.point_candidates(reconcile.drop_duplicate_ids(adapters.zones(spark, sf_dir))))
-    return pairs.select("left_publisher", "left_pos", "right_publisher", "right_pos", F.round(F.col("metres") * 100).cast("long").alias("centimetres"), "tier")
-
-
-def agg_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.corroboration(reconcile.point_candidates(reconcile.drop_duplicate_ids(adapters.zones(spark, sf_dir))))
-
-
 def scr_screen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = adapters.texts(spark, sf_dir)
     return screening.incidents(screening.screened(texts, screening.screen(texts, NEEDLES)))
@@ -154,7 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         prd_poll_status, win_consecutive_failures, win_unchanged_streak, src_latest_n_per_key, win_dedupe_polls, asof_carry_forward, win_hash_changes_day, win_r5_frozen,
         rule_results_long, fold_most_severe, fold_trust_state, fold_transition, asof_states_at, agg_publisher_daily, agg_poll_outcomes, agg_rule_coverage, agg_fired_rules_day,
         join_registry_diff, chk_registry_short_read, chk_registry_duplicate_key, agg_registry_audit, fn_poll_interval, win_drop_duplicate_ids, fn_normalize_road,
-        join_spatial_candidates, agg_corroboration, scr_screen_sources, win_first_seen_text, flt_scheme_allowed,
+        scr_screen_sources, win_first_seen_text, flt_scheme_allowed,
     )
 }
 
@@ -306,10 +297,10 @@ def road_sql(name: str) -> str:
 
 ZONES = """
 zones AS (
-    SELECT 'p' || (l_suppkey % 6) AS publisher_key, ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS pos,
+    SELECT 'p' || (l_suppkey % 6) AS publisher_key, l_orderkey * 1048576 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_returnflag, l_linestatus) AS pos,
         l_orderkey || '-' || CASE WHEN l_linenumber = 7 THEN 1 ELSE l_linenumber END AS feature_id,
-        CASE WHEN l_orderkey % 400 <> 0 THEN -111 + (l_partkey % 50) * 0.02::DOUBLE + (l_suppkey % 6) * 0.0005::DOUBLE * (l_partkey % 4) END AS lon,
-        CASE WHEN l_orderkey % 400 <> 0 THEN 40 + (l_partkey // 50) * 0.02::DOUBLE END AS lat,
+        CASE WHEN l_orderkey % 400 <> 0 THEN (69 + 2 * ((l_partkey // 50 + 5000) // 6000)) % 360 - 180 + (l_partkey % 50) * 0.02::DOUBLE + (l_suppkey % 6) * 0.0005::DOUBLE * (l_partkey % 4) END AS lon,
+        CASE WHEN l_orderkey % 400 <> 0 THEN 40 + ((l_partkey // 50 + 5000) % 6000 - 5000) * 0.02::DOUBLE END AS lat,
         l_linenumber % 2 = 1 AS point, l_returnflag AS source, [p_name, 'State Route ' || (l_partkey % 9)] AS road_names, l_linestatus = 'O' AS north,
         epoch_us(l_shipdate) AS start_us, epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) * 86400000000 AS end_us,
         l_partkey AS part_key, l_orderkey AS order_key, CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE 0.001::DOUBLE * (1 + l_quantity % 10) END AS length,
@@ -319,17 +310,6 @@ zones AS (
     SELECT * FROM zones QUALIFY row_number() OVER (PARTITION BY publisher_key, feature_id ORDER BY pos) = 1
 )"""
 
-PAIRS = ZONES + f""", points AS (
-    SELECT *, list_transform(road_names, lambda x: {road_sql("x")}) AS roads FROM kept WHERE point AND lon IS NOT NULL
-), pairs AS (
-    SELECT a.publisher_key AS left_publisher, a.pos AS left_pos, b.publisher_key AS right_publisher, b.pos AS right_pos,
-        sqrt(pow(6371008.8 * radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(6371008.8 * radians(b.lat - a.lat), 2)) AS metres,
-        a.source = b.source AS same_source, list_has_any(a.roads, b.roads) AS shared_road, a.north AND b.north AS same_direction, a.start_us <= b.end_us AND b.start_us <= a.end_us AS dates_overlap
-    FROM points a JOIN points b ON a.part_key = b.part_key AND a.publisher_key < b.publisher_key AND b.lat BETWEEN a.lat - 0.002 AND a.lat + 0.002 AND b.lon BETWEEN a.lon - 0.01 AND a.lon + 0.01
-), near AS (
-    SELECT *, CASE WHEN same_source AND metres <= 1 THEN 'TIER_1' ELSE 'TIER_2' END AS tier FROM pairs WHERE metres <= 150
-)"""
-
 SCREENED = """
 rows AS (
     SELECT source AS publisher_key, doc_id AS seen_at, sha256(text) AS digest,
@@ -391,8 +371,6 @@ ORACLE_SQL: dict[str, str] = {
     "fn_poll_interval": f"WITH {PULLS} SELECT publisher_key, {seconds('cadence')} AS cadence_seconds, least(greatest({seconds('cadence')}, 300), 3600) AS interval_seconds FROM pull2",
     "win_drop_duplicate_ids": f"WITH {ZONES} SELECT publisher_key, feature_id, pos FROM kept",
     "fn_normalize_road": f"WITH {ZONES}, names AS (SELECT DISTINCT unnest(road_names) AS name FROM zones) SELECT name, {road_sql('name')} AS road FROM names",
-    "join_spatial_candidates": f"WITH {PAIRS} SELECT left_publisher, left_pos, right_publisher, right_pos, CAST(round(metres * 100) AS BIGINT) AS centimetres, tier FROM near",
-    "agg_corroboration": f"WITH {PAIRS} SELECT tier, count(*) AS pairs, count(*) FILTER (shared_road) AS shared_road, count(*) FILTER (same_direction) AS same_direction, count(*) FILTER (dates_overlap) AS dates_overlap FROM near GROUP BY tier",
     "scr_screen_sources": f"WITH {SCREENED} SELECT publisher_key, CASE WHEN category IS NULL THEN 'PASS' ELSE 'BLOCK' END AS verdict, category, count(*) AS occurrences, count(DISTINCT digest) AS texts FROM rows GROUP BY ALL",
     "win_first_seen_text": f"WITH {SCREENED} SELECT digest, min(seen_at) AS first_seen, min_by(publisher_key, seen_at) AS first_publisher, count(DISTINCT publisher_key) AS publishers FROM rows WHERE category IS NOT NULL GROUP BY digest",
     "flt_scheme_allowed": "SELECT lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN ('http', 'https') AS allowed, count(*) AS pages, sum(strlen(html))::BIGINT AS wire_bytes FROM pages GROUP BY ALL",

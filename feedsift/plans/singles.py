@@ -275,7 +275,7 @@ def join_cross_publisher_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_dedup_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of two publishers within reach, matched or rejected. Only their zones are indexed."""
     two = merge.kept(spark, sf_dir).filter(F.col("publisher_key").isin("p1", "p4"))
-    return matching.matches(matching.candidates(two)).select("left_pos", "right_pos", F.round(F.col("metres") * 100).cast("long").alias("centimetres"), "matched")
+    return matching.matches(matching.candidates(two), two).select("left_pos", "right_pos", F.round(F.col("metres") * 100).cast("long").alias("centimetres"), "matched")
 
 
 # identity

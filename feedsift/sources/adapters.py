@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Cadences and versions dealt to the registry's entries, fields of which a zone needs either.
@@ -11,6 +11,8 @@ VERIFIED = (
     ("is_start_date_verified", "start_date_accuracy"), ("is_start_position_verified", "beginning_accuracy"),
     ("is_end_date_verified", "end_date_accuracy"), ("is_end_position_verified", "ending_accuracy"),
 )
+#: Rows that one order may have: what its zones' places are numbered up to.
+LINES = 1 << 20
 #: Users that make one publisher of the poll log: their number grows with the table, the polls of each do not.
 USERS = 30
 VERSIONS = ("3.1", "4", "4.1", "4.2", "CWZ 1.0")
@@ -95,18 +97,24 @@ def registry_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point and line zones of six publishers; a line runs east from its first point for `length` degrees."""
-    lines = table(spark, sf_dir, "lineitem")
+    """Point and line zones of six publishers; a line runs east from its first point for `length` degrees.
+
+    pos numbers the zones in feed order: by order, then by the row's place among the order's rows, of which there may be LINES
+    (rows that are equal throughout take either place). Places keep a distance of some 2 km between latitudes -60 and
+    60, then go on two degrees further east; beyond some 50 million parts they meet again."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").withColumn("place", F.row_number().over(place))
+    step = F.floor(F.col("l_partkey") / 50) + 5000
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     g = F.col("l_suppkey") % 6
     present = F.col("l_orderkey") % 400 != 0
     start = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_partkey").alias("part_key"), F.col("l_orderkey").alias("order_key"),
-        F.concat(F.lit("p"), g).alias("publisher_key"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("pos"),
+        F.concat(F.lit("p"), g).alias("publisher_key"), (F.col("l_orderkey") * LINES + F.col("place")).alias("pos"),
         F.concat("l_orderkey", F.lit("-"), F.when(F.col("l_linenumber") == 7, 1).otherwise(F.col("l_linenumber"))).alias("feature_id"),
-        F.when(present, -111 + (F.col("l_partkey") % 50) * 0.02 + g * 0.0005 * (F.col("l_partkey") % 4)).alias("lon"),
-        F.when(present, 40 + F.floor(F.col("l_partkey") / 50) * 0.02).alias("lat"),
+        F.when(present, (69 + 2 * F.floor(step / 6000)) % 360 - 180 + (F.col("l_partkey") % 50) * 0.02 + g * 0.0005 * (F.col("l_partkey") % 4)).alias("lon"),
+        F.when(present, 40 + (step % 6000 - 5000) * 0.02).alias("lat"),
         F.when(F.col("l_linenumber") % 2 == 1, F.lit(0.0)).otherwise(0.001 * (1 + F.col("l_quantity") % 10)).alias("length"),
         F.col("l_returnflag").alias("data_source_id"), F.array("p_name", F.concat(F.lit("State Route "), F.col("l_partkey") % 9)).alias("road_names"),
         F.when(F.col("l_linestatus") == "O", "northbound").otherwise("unknown").alias("direction"),

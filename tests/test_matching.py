@@ -22,6 +22,23 @@ def test_coverage_does_not_depend_on_how_finely_a_line_is_written():
     assert geometry.symmetric_coverage(short, coarse, 1.0) == pytest.approx(geometry.symmetric_coverage(short, fine, 1.0))
 
 
+def test_evenly_inserted_vertices_change_nothing():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (np.array([[10.0, 60.0], [10.0, 60.0]]) + rng.uniform(-0.02, 0.02, (2, 2)) for _ in range(2))
+        fine = np.column_stack([np.linspace(*a[:, k], 401) for k in (0, 1)])
+        assert geometry.min_distance(a, b) == pytest.approx(geometry.min_distance(fine, b), abs=1e-6)
+        assert geometry.min_distance(b[:1], a) == pytest.approx(geometry.min_distance(b[:1], fine), abs=1e-6)
+        assert geometry.symmetric_coverage(a, b, 150.0) == pytest.approx(geometry.symmetric_coverage(fine, b, 150.0), abs=0.02)
+
+
+def test_the_plane_lies_about_the_mean_of_the_means():
+    point, line = np.array([[0.0, 60.0]]), np.array([[0.002, 61.0], [0.002, 60.0], [0.002, 59.0]])
+    metres = 6371008.8 * np.radians(0.002) * np.cos(np.radians(60.0))
+    assert geometry.min_distance(point, line) == pytest.approx(metres)
+    assert geometry.min_distance(point, line[:2]) == pytest.approx(6371008.8 * np.radians(0.002) * np.cos(np.radians((60 + 60.5) / 2)))
+
+
 def test_lines_that_cross_and_lines_over_the_antimeridian():
     assert geometry.min_distance(np.array([[0.0, -1.0], [0.0, 1.0]]), np.array([[-1.0, 0.0], [1.0, 0.0]])) == 0.0
     assert geometry.min_distance(np.array([[179.9995, 10.0]]), np.array([[-179.9995, 10.0]])) == pytest.approx(109.5, abs=0.5)
@@ -37,7 +54,8 @@ def test_candidates_miss_no_pair_within_reach(spark):
         zones.append((f"p{pos % 4}", pos, [[(float(x) + 180) % 360 - 180, float(y)] for x, y in line], "s", ["I-70"], "unknown", 0, 1))
     frame = spark.createDataFrame(zones, "publisher_key string, pos long, vertices array<array<double>>, data_source_id string, road_names array<string>, direction string, start_us long, end_us long")
     empty = spark.createDataFrame([("p9", 999, [], "s", ["x"], "unknown", 0, 1)], frame.schema)
-    rows = matching.matches(matching.candidates(frame.union(empty))).collect()
+    frame = frame.union(empty)
+    rows = matching.matches(matching.candidates(frame), frame).collect()
     got = {frozenset((r["left_pos"], r["right_pos"])) for r in rows}
     want = {frozenset((a[1], b[1])) for a, b in itertools.combinations(zones, 2) if a[0] != b[0] and geometry.min_distance(np.array(a[2]), np.array(b[2])) <= 150}
     assert got == want and len(rows) == len(got) > 20
@@ -97,3 +115,48 @@ def test_the_largest_fragment_keeps_a_claimed_id(spark):
     assert (rows["g1"]["canonical_id"], rows["g1"]["supersedes"], rows["g1"]["minted"]) == ("Y", ["X"], False)
     assert rows["g2"]["minted"] and rows["g2"]["supersedes"] == ["Y"] and rows["g2"]["first_mapped_at"] == 7
     assert rows["g3"]["minted"] and rows["g3"]["supersedes"] == []
+
+
+SCHEMA = "publisher_key string, pos long, vertices array<array<double>>, data_source_id string, road_names array<string>, direction string, start_us long, end_us long"
+
+
+def as_zones(spark, lines):
+    return spark.createDataFrame([(f"p{k % 5}", k, [[(float(x) + 180) % 360 - 180, float(y)] for x, y in line], "s", ["I-70"], "unknown", 0, 1) for k, line in enumerate(lines)], SCHEMA)
+
+
+def test_no_pair_is_missed_at_poles_antimeridian_and_where_bands_meet(spark):
+    rng = np.random.default_rng(7)
+    strip = 400 * 300 / 6371008.8 * 180 / np.pi  # degrees of latitude of a band
+    places = [(0.0, 0.0), (179.9999, 30.0), (10.0, 88.99), (40.0, 89.95), (0.0, -89.9), *((20.0 * k, b * strip) for k, b in enumerate((-40, -3, 1, 20, 55, 80, 82)))]
+    lines = []
+    for lon, lat in places:
+        wide = 0.003 / max(np.cos(np.radians(lat)), 0.005)
+        for _ in range(24):
+            start = np.array([lon + rng.uniform(-wide, wide), np.clip(lat + rng.uniform(-0.003, 0.003), -89.9999, 89.9999)])
+            lines.append([start] + [np.array([start[0] + rng.uniform(-wide, wide), np.clip(start[1] + rng.uniform(-0.003, 0.003), -89.9999, 89.9999)]) for _ in range(int(rng.integers(0, 3)))])
+    frame = as_zones(spark, lines)
+    held = {r["pos"]: np.array(r["vertices"]) for r in frame.collect()}
+    got = [tuple(sorted((r["l_pos"], r["r_pos"]))) for r in matching.candidates(frame).collect()]
+    want = {(a, b) for a, b in itertools.combinations(held, 2) if a % 5 != b % 5 and geometry.min_distance(held[a], held[b]) <= 150}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 300
+
+
+def test_a_zone_at_the_pole_changes_no_other_cells(spark):
+    grid = matching.Grid(150.0)
+    few = as_zones(spark, [[(10.0, 45.0), (10.02, 45.01)], [(-100.0, 30.0)]])
+    more = as_zones(spark, [[(10.0, 45.0), (10.02, 45.01)], [(-100.0, 30.0)], [(0.0, 89.9)]])
+    of = lambda f: {r["pos"]: r["c"] for r in f.select("pos", grid.touched("vertices").alias("c")).collect()}
+    assert of(few).items() <= of(more).items()
+
+
+def test_keys_are_unique_and_places_on_the_globe_at_large_scale(spark, tmp_path):
+    from feedsift.sources import adapters
+
+    lines = [(60_000_000, 7, 2_000_000, 100_000), (60_000_000, 7, 2_000_000, 100_000), (60_000_000, 7, 1_999_999, 1), (600_000_000_000, 1, 20_000_000_000, 5), (13, 2, 300_000, 3), (1294, 4, 123, 0), (1294, 4, 123, 0)]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    rows.selectExpr("*", "date'1995-01-01' AS l_shipdate", "5.0D AS l_quantity", "'N' AS l_returnflag", "'O' AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows.selectExpr("l_partkey AS p_partkey", "'x' AS p_name").distinct().write.parquet(str(tmp_path / "part.parquet"))
+    found = adapters.zones(spark, str(tmp_path)).collect()
+    assert len({r["pos"] for r in found}) == len(found) == len(lines)
+    assert all(r["lat"] is None or (-60 <= r["lat"] <= 60 and -180 <= r["lon"] < 180) for r in found)
+    assert [r["part_key"] for r in sorted(found, key=lambda r: r["pos"]) if r["order_key"] == 60_000_000] == [1_999_999, 2_000_000, 2_000_000]
