@@ -1,5 +1,6 @@
 """Streams against the batch results, and what bodies give."""
 
+import itertools
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedsift.operators import bodies, evidence, rules
 from feedsift.plans import queries
-from feedsift.streaming import trust
+from feedsift.streaming import buffered, trust
 
 SF = "/root/testdata/sf0.001"
 STATE = ["event_id", "publisher_key", "polled_us", "from_state", "state", "clean", "streak", "latches"]
@@ -20,25 +21,60 @@ def evaluated(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-def test_state_carried_over_batches_equals_the_batch_fold(spark, evaluated, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    cuts = evaluated.selectExpr("percentile_approx(polled_us, array(0.0, 0.3, 0.6))").first()[0]
-
-    def stream():
-        return trust.trust_states(spark.readStream.schema(evaluated.schema).parquet(source))
-
-    for low, high in zip(cuts, [*cuts[1:], 2**62], strict=True):
-        part = evaluated.filter((F.col("polled_us") >= low) & (F.col("polled_us") < high))
-        part.write.mode("append").parquet(source)
-        rows = trust.drained(stream(), out)  # begins anew each time and goes on from the checkpoint
-    got = sorted(tuple(r) for r in rows.select(*STATE).collect())
-    assert got == sorted(tuple(r) for r in rules.trust_states(evaluated).select(*STATE).collect())
-    assert not rows.filter("late").count()
-    evaluated.orderBy("polled_us").limit(1).write.mode("append").parquet(source)
-    late = trust.drained(stream(), out).filter("late").collect()
+def streamed(spark, tmp_path, name, waves, **how):
+    return trust.fed(waves, lambda rows: buffered.trust_states(rows, **how), str(tmp_path / f"{name}-in"), str(tmp_path / f"{name}-out"))
+
+
+def test_disordered_polls_give_the_batch_states_but_for_those_behind_the_watermark(spark, evaluated, tmp_path):
+    cuts = [*evaluated.selectExpr("percentile_approx(polled_us, array(0.0, 0.3, 0.6))").first()[0], 2**62]
+    parts = [evaluated.filter((F.col("polled_us") >= a) & (F.col("polled_us") < b)).orderBy(F.desc("polled_us")) for a, b in itertools.pairwise(cuts)]
+    rows = streamed(spark, tmp_path, "all", [*parts, evaluated.orderBy("polled_us").limit(1)])
+    got = sorted(tuple(r) for r in rows.filter("NOT late").select(*STATE).collect())
+    want = sorted(tuple(r) for r in rules.trust_states(evaluated).select(*STATE).collect())
+    assert set(got) <= set(want) and len(got) > 0.9 * len(want)  # the last hour waits
+    end = evaluated.agg(F.max("polled_us")).first()[0] - 2 * buffered.BUCKET_US
+    assert {r for r in want if r[2] < end} <= set(got)
+    late = rows.filter("late").collect()
     assert len(late) == 1 and late[0]["state"] == late[0]["from_state"]
 
 
+def test_a_lost_checkpoint_is_made_up_by_the_fleet_table(spark, evaluated, tmp_path):
+    cut = evaluated.selectExpr("percentile_approx(polled_us, 0.5)").first()[0]
+    first = streamed(spark, tmp_path, "first", [evaluated.filter(F.col("polled_us") < cut)])
+    fleet = buffered.fleet_table(first)
+    fleet.write.parquet(str(tmp_path / "fleet"))
+    seen = first.agg(F.max("polled_us")).first()[0] // buffered.BUCKET_US
+    rest = evaluated.filter(F.floor(F.col("polled_us") / buffered.BUCKET_US) > seen)
+    second = streamed(spark, tmp_path, "second", [rest], fleet=spark.read.parquet(str(tmp_path / "fleet")))
+    whole = {r["event_id"]: tuple(r) for r in rules.trust_states(evaluated).select(*STATE).collect()}
+    got = first.union(second).select(*STATE).collect()
+    assert all(tuple(r) == whole[r["event_id"]] for r in got) and len(got) > 0.9 * len(whole)
+    alone = streamed(spark, tmp_path, "alone", [rest]).select(*STATE).collect()
+    assert any(tuple(r) != whole[r["event_id"]] for r in alone)  # without it states are others
+
+
+def test_the_window_counts_as_a_plain_reading_does():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(30):
+        window, polls, us = buffered.Window(), [], 0
+        for k in range(150):
+            us += rng.choice([600, 3600, 30_000]) * 1_000_000
+            polls.append((us, rng.choice("aaaab"), None if rng.random() < 0.3 else rng.randrange(40)))
+            run = list(itertools.takewhile(lambda p: p[1] == polls[-1][1], reversed(polls)))
+            inside = [p for p in run if p[0] >= us - 86_400_000_000]
+            before = polls[len(polls) - len(inside) - 1] if len(inside) < len(polls) else None
+            last, advances = before[2] if before else None, 0
+            for _, _, stamp in reversed(inside):
+                if stamp is not None:
+                    advances += last is not None and stamp > last
+                    last = stamp
+            assert window.step(*polls[-1]) == (polls[0][0], run[-1][0], len(inside), advances)
+            if k % 17 == 0:
+                window = buffered.Window(window.held(), list(window.rows))
+
+
 def test_a_repeated_poll_is_dropped(spark, tmp_path):
     polls = queries.polls(spark, SF)
     polls.union(polls).write.parquet(str(tmp_path / "in"))
