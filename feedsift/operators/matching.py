@@ -22,6 +22,11 @@ LEAST_COVERAGE = 0.6
 ATTRIBUTES = ("data_source_id", "roads", "direction", "start_us", "end_us")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it stands there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 class Grid:
     """Cells of about twice the reach, as columns over longitude and latitude. Rows are strips of equal height; each band of
     BAND rows has as many columns as fit at its latitude furthest from the equator, so a zone near a pole widens its own
@@ -52,20 +57,18 @@ class Grid:
 
         def walk(i: Column) -> Column:
             a, b = F.get(v, i), F.get(v, F.least(i + 1, F.size(v) - 1))
-            x0, y0 = F.get(a, F.lit(0)), F.get(a, F.lit(1))
-            east, north = F.get(b, F.lit(0)) - x0, F.get(b, F.lit(1)) - y0
-            east = east - 360 * F.bround(east / 360)
-            ends = [self.columns(self.row(y)) for y in (y0, y0 + north)]
-            most = F.when(y0 * (y0 + north) <= 0, self.columns(F.lit(0))).otherwise(F.greatest(*ends))  # the narrowest cells on the way
-            steps = F.greatest(F.abs(east) / 360 * most, F.abs(F.radians(north)) * EARTH_METRES / self.size)
-            n = F.greatest(F.ceil(2 * steps).cast("int"), F.lit(1))
+            ends = F.struct(F.get(a, F.lit(0)).alias("x"), F.get(a, F.lit(1)).alias("y"), (F.get(b, F.lit(0)) - F.get(a, F.lit(0))).alias("east"), (F.get(b, F.lit(1)) - F.get(a, F.lit(1))).alias("north"))
+            return let(ends, lambda e: let(F.struct(e["x"].alias("x"), e["y"].alias("y"), (e["east"] - 360 * F.bround(e["east"] / 360)).alias("east"), e["north"].alias("north"), steps(e).alias("n")), samples))
 
-            def at(j: Column) -> Column:
-                row = self.row(y0 + north * j / n)
-                columns = self.columns(row)
-                return F.struct(row.alias("row"), F.pmod(F.floor((x0 + east * j / n) / 360 * columns), columns).alias("column"))
+        def steps(e: Column) -> Column:
+            far = F.when(e["y"] * (e["y"] + e["north"]) <= 0, 0.0).otherwise(F.least(F.abs(e["y"]), F.abs(e["y"] + e["north"])))  # where cells are narrowest on the way
+            east = F.abs(e["east"] - 360 * F.bround(e["east"] / 360)) / 360 * self.columns(self.row(far))
+            return F.greatest(F.ceil(2 * F.greatest(east, F.abs(F.radians(e["north"])) * EARTH_METRES / self.size)).cast("int"), F.lit(1))
 
-            return F.transform(F.sequence(F.lit(0), n), at)
+        def samples(e: Column) -> Column:
+            at = F.transform(F.sequence(F.lit(0), e["n"]), lambda j: F.struct(self.row(e["y"] + e["north"] * j / e["n"]).alias("row"), (e["x"] + e["east"] * j / e["n"]).alias("x")))
+            wide = F.transform(at, lambda p: F.struct(p["row"].alias("row"), p["x"].alias("x"), self.columns(p["row"]).alias("n")))
+            return F.transform(wide, lambda p: F.struct(p["row"].alias("row"), F.pmod(F.floor(p["x"] / 360 * p["n"]), p["n"]).alias("column")))
 
         return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 2, F.lit(0))), walk)))
 
@@ -74,16 +77,12 @@ class Grid:
         meet the cell's longitudes widened by a cell and more; where the next row is of another band, by that band's columns."""
 
         def near(c: Column) -> Column:
-            own = self.columns(c["row"])
-
-            def beside(step: Column) -> Column:
-                row = c["row"] + step
-                columns = self.columns(row)
-                more = F.greatest(F.lit(1.0), 0.5 * own / columns + 0.5)
-                low, high = F.floor((c["column"] - more) * columns / own), F.floor((c["column"] + 1 + more) * columns / own)
-                return F.transform(F.sequence(low, F.least(high, low + columns - 1)), lambda x: self.cell(row, F.pmod(x, columns)))
+            return let(self.columns(c["row"]), lambda own: F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda step: let(F.struct((c["row"] + step).alias("row"), self.columns(c["row"] + step).alias("n"), own.alias("own")), lambda r: beside(c["column"], r)))))
 
-            return F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), beside))
+        def beside(column: Column, r: Column) -> Column:
+            more = F.greatest(F.lit(1.0), 0.5 * r["own"] / r["n"] + 0.5)
+            low, high = F.floor((column - more) * r["n"] / r["own"]), F.floor((column + 1 + more) * r["n"] / r["own"])
+            return F.transform(F.sequence(low, F.least(high, low + r["n"] - 1)), lambda x: self.cell(r["row"], F.pmod(x, r["n"])))
 
         return F.array_distinct(F.flatten(F.transform(cells, near)))
 
@@ -114,10 +113,10 @@ def candidates(zones: DataFrame, reach: float = REACH) -> DataFrame:
     missed at poles, at the antimeridian, or where bands meet. A pair that meets in several cells is kept in the least of
     them, which needs no shuffle. What else a zone has stays behind (see matches)."""
     grid, own = Grid(reach), ("publisher_key", "pos", "vertices", "__box")
-    rows = boxed(zones.filter(F.size("vertices") > 0).select(*own[:3])).withColumn("cells", grid.touched("vertices"))
-    standing = F.transform("cells", lambda c: grid.cell(c["row"], c["column"]))
-    left = rows.withColumn("cells", standing).select(*(F.col(c).alias(f"l_{c}") for c in own), F.col("cells").alias("l_cells"), F.explode("cells").alias("cell"))
-    right = rows.withColumn("near", grid.around("cells")).select(*(F.col(c).alias(f"r_{c}") for c in own), F.col("near").alias("r_cells"), F.explode("near").alias("cell"))
+    rows = boxed(zones.filter(F.size("vertices") > 0).select(*own[:3])).withColumn("touched", grid.touched("vertices"))
+    rows = written(rows.withColumn("cells", F.transform("touched", lambda c: grid.cell(c["row"], c["column"]))).withColumn("near", grid.around("touched")).drop("touched"), "cells")  # both sides read it
+    left = rows.select(*(F.col(c).alias(f"l_{c}") for c in own), F.col("cells").alias("l_cells"), F.explode("cells").alias("cell"))
+    right = rows.select(*(F.col(c).alias(f"r_{c}") for c in own), F.col("near").alias("r_cells"), F.explode("near").alias("cell"))
     met = left.join(right, "cell").filter(F.col("l_publisher_key") < F.col("r_publisher_key")).filter(~apart("l___box", "r___box", reach))
     return met.filter(F.col("cell") == F.array_min(F.array_intersect("l_cells", "r_cells"))).drop("cell", "l_cells", "r_cells", "l___box", "r___box")
 

@@ -16,7 +16,7 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = kept(spark, sf_dir)
+    zones = written(kept(spark, sf_dir), "zones")  # read for the grid and for both sides' attributes
     return matching.matches(matching.candidates(zones), zones)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,4 +23,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(archive))
+    # the worker that starts a stream's stateful operator on the driver is given no Python files, but this
+    path = spark.sparkContext.environment
+    path["PYTHONPATH"] = os.pathsep.join(filter(None, [str(archive), path.get("PYTHONPATH")]))
     _shipped.add(app)
