@@ -10,7 +10,7 @@ import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
-from struct import pack
+from struct import Struct, pack
 
 import numpy as np
 
@@ -149,6 +149,8 @@ def byte_level(text: str) -> str:
 
 BLANK, word = byte_level(" "), re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 LETTERS = {c: byte_level(chr(c)) for c in [0x20, *range(0xC0, 0x250)]}
+#: How to pack so many ids as little-endian unsigned 32-bit numbers.
+PACK = [Struct(f"<{n}I").pack for n in range(64)]
 
 
 class PieceIds(dict):
@@ -156,16 +158,16 @@ class PieceIds(dict):
     piece of plain signs is cut as the pattern cuts it and its parts go straight to the merges; any other goes to the
     tokenizer. Pieces not asked for since the table was last full are forgotten."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.tokenizer, self.most, self.old = tokenizer(path), most, {}
         self.tokenize = self.tokenizer.model.tokenize
         self.special = any(PLAIN_SIGNS.fullmatch(t.content) and "<|" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.pop(key, None)
-        if found is None and word(key) and not self.special:  # by far the most
-            ids = [t.id for t in self.tokenize(BLANK + (key if key.isascii() else key.translate(LETTERS)))]
-            found = pack(f"<{len(ids)}I", *ids)
+        if found is None and not self.special and (key.isalpha() if key.isascii() else word(key)):  # by far the most
+            ids = [t.id for t in self.tokenize(BLANK + (key if key.isascii() else byte_level(key)))]
+            found = PACK[len(ids)](*ids) if len(ids) < len(PACK) else pack(f"<{len(ids)}I", *ids)
         self[key] = found = self.encode(piece_of(key)) if found is None else found
         return found
 
