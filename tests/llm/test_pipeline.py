@@ -115,3 +115,18 @@ def test_extra_columns_with_clashing_names_stay(spark):
         assert docs.columns == ["doc_id", "text", "lang", *names]
         assert all(r["node"] == str(r["doc_id"]) for r in docs.collect())
     assert corpus_pipeline.packed(spark, docs, "").count() >= 1
+
+
+def test_a_leader_of_many_pairs_is_dealt_to_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(0, 900, 300)]
+    texts = [" ".join([*words[:k % 290], f"new{k}", *words[k % 290 + 1 :]]) for k in range(3000)] + [" ".join(f"other{k}x{x}" for x in range(60)) for k in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 3000)] + [(k + 1, k) for k in range(3000, 3038)], "a long, b long")
+    monkeypatch.setattr(shingles, "BUCKET_BYTES", 100_000)
+    dealt = shingles.dealt_pairs(pairs, frame)
+    held = dealt.join(frame.withColumnRenamed("node", "a"), "a").groupBy(dealt.columns[0]).agg({"text": "count"}).collect()
+    assert dealt.count() == 3037 and max(r[1] for r in held) * len(texts[0]) < 6 * 100_000
+    got = {(r["a"], r["b"]) for r in shingles.judged(pairs, frame).collect()}
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    assert got == {(r["a"], r["b"]) for r in pairs.collect() if 5 * len(sets[r["a"]] & sets[r["b"]]) >= 4 * len(sets[r["a"]] | sets[r["b"]])}
