@@ -167,8 +167,8 @@ def ends_digests(ends: DataFrame) -> DataFrame:
 
 def prefix_trie(rows: DataFrame, heads: Column | None = None, least: int = 8, every: int = 5, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The nodes of the rebuilt conversations' trie: (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens,
-    ends_sha256), as op13 defines them. heads: how many turns come from the conversation whose id is the next smaller multiple
-    of `every` (a column over conv; `least` at most; none without it, so that conversations stay as they are).
+    ends_sha256), as op13 defines them. heads: how many turns come from the conversation of id c - c % `every`, as SQL has
+    remainders (a column over conv; `least` at most; none without it, so that conversations stay as they are).
 
     Turns are ordered by turn (null first), equal ones by role and then by hashes of role and text; null roles and texts are
     empty; a repeated row is one more turn. Rows without a conv_id belong to no conversation and are left. Other columns are
