@@ -10,9 +10,22 @@ from pyspark.sql import functions as F
 from .views import violations
 
 
+def vertices(geometry: Column) -> Column:
+    """The (lon, lat) of a GeoJSON geometry (variant): of a Point its one, of a LineString or MultiPoint all in order, MultiPoints as
+    lines; none of any other kind. Entries that are too short or hold no numbers are left out."""
+
+    def pair(x: Column) -> Column:
+        return F.array(F.try_variant_get(x, "$[0]", "double"), F.try_variant_get(x, "$[1]", "double"))
+
+    kind, coordinates = F.try_variant_get(geometry, "$.type", "string"), F.try_variant_get(geometry, "$.coordinates", "variant")
+    line = F.transform(F.try_variant_get(coordinates, "$", "array<variant>"), pair)
+    found = F.when(kind == "Point", F.array(pair(coordinates))).when(kind.isin("LineString", "MultiPoint"), line)
+    return F.coalesce(F.filter(found, lambda p: F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull()), F.array().cast("array<array<double>>"))
+
+
 def features(bodies: DataFrame) -> DataFrame:
-    """(feed_key, pos, feature_id, shape, start_date, end_date, event_status, description, road_names, raw): a row for each
-    feature in feed order. Core fields are read from core_details if that is an object, else from the properties."""
+    """(feed_key, pos, feature_id, shape, vertices, start_date, end_date, event_status, description, road_names, direction,
+    data_source_id, raw): a row for each feature in feed order. Core fields are read from core_details if that is an object, else from the properties."""
     body = F.try_parse_json("body")
     rows = bodies.select("feed_key", F.posexplode(F.try_variant_get(body, "$.features", "array<variant>")).alias("pos", "f"))
 
@@ -25,7 +38,8 @@ def features(bodies: DataFrame) -> DataFrame:
         "feed_key", F.col("pos").cast("long").alias("pos"), *(F.try_variant_get("f", f"$.{path}", "string").alias(name) for path, name in text.items()),
         F.try_variant_get("f", "$.geometry.type", "string").alias("shape"), F.try_variant_get("f", "$.geometry", "string").alias("geometry"),
         F.coalesce(core("event_status", "string"), F.try_variant_get("f", "$.properties.event_status", "string")).alias("event_status"),
-        core("description", "string").alias("description"), core("road_names", "array<string>").alias("road_names"), F.to_json("f").alias("raw"),
+        core("description", "string").alias("description"), core("road_names", "array<string>").alias("road_names"), core("direction", "string").alias("direction"), core("data_source_id", "string").alias("data_source_id"),
+        vertices(F.try_variant_get("f", "$.geometry", "variant")).alias("vertices"), F.to_json("f").alias("raw"),
     )
 
 

@@ -213,9 +213,9 @@ def agg_description_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.description_similarity(pairs)
 
 
-def pipe_fleet_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cycle's report as (step, outcome, items): the registry's changes, who is due, verdicts, texts screened, zones merged
-    and left out. Every step is one plan over the cycle's tables; only counts leave it."""
+def pipe_cycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a cycle's single steps as (step, outcome, items), each over its own tables: the registry's changes, who is due,
+    verdicts, bodies, feeds, zones left out. (pipe_fleet_cycle is the chain in which steps feed each other.)"""
     steps = {
         "registry": (join_registry_diff(spark, sf_dir), "event"),
         "due": (cycles.fn_due(spark, sf_dir), "due"),
@@ -234,7 +234,7 @@ QUERIES = {
         prj_registry_fields, src_registry_active, prj_publisher_key, prj_declared_version, prj_us_state, fn_parse_cadence, fn_send_conditional, win_last_validator, join_missing_bodies,
         agg_schema_error_day, agg_oldest_poll, agg_evidence_depth, prj_churn_status, top_recent_observations, top_daily_window, top_embedded_observations, top_fleet_sort,
         set_rules_changed_since, set_superseded_packets, fn_safe_doc_id, fn_truncate_utf8, fn_pair_key, prj_road_label, prj_geometry_codec, agg_bbox, fn_length_m, agg_schema_violations,
-        src_manifest_verify, sink_idempotent_upsert, agg_description_similarity, pipe_fleet_cycle,
+        src_manifest_verify, sink_idempotent_upsert, agg_description_similarity, pipe_cycle_counts,
     )
 }
 
@@ -296,7 +296,7 @@ ORACLE_SQL = {
     SELECT feed_key, path, kind, count(*) AS violations FROM broken GROUP BY ALL""",
     "src_manifest_verify": "SELECT 'page-' || page_id AS name, CASE WHEN page_id % 13 = 0 THEN 'MISSING' WHEN page_id % 17 = 0 THEN 'UNLISTED' WHEN page_id % 11 = 0 THEN 'CHANGED' ELSE 'OK' END AS outcome FROM pages WHERE page_id % 13 <> 0 OR page_id % 17 <> 0",
     "sink_idempotent_upsert": f"WITH {POLLS} SELECT publisher_key, polled_us, max(event_id) AS event_id, arg_max(http_status, event_id) AS http_status FROM polls GROUP BY ALL",
-    "pipe_fleet_cycle": " UNION ALL ".join(
+    "pipe_cycle_counts": " UNION ALL ".join(
         f"SELECT '{step}' AS step, coalesce({column}::VARCHAR, 'PUBLISHED') AS outcome, count(*) AS items FROM ({sql}) GROUP BY ALL"
         for step, column, sql in (
             ("registry", "event", QUERIES_SQL["join_registry_diff"]), ("due", "due", cycles.ORACLE_SQL["fn_due"]), ("verdict", "state", boards.ORACLE_SQL["asof_snapshot_at"]), ("body", "reason", MISSING_BODIES),
