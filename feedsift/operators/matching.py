@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -234,15 +235,62 @@ def greedy(edges: Iterable[tuple]) -> Iterator[tuple[str, int, int]]:
         yield from (("member", node, lead) for node in members)
 
 
-def groups(pairs: DataFrame) -> DataFrame:
+EDGE = ["a", "b", "pa", "pb", "tier", "metres", "refused"]
+
+
+def settled(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(dropped, united, live): edges of large components decided side by side, as their order would decide them, and those that
+    are left after so many rounds.
+
+    An edge whose groups already share a publisher, or were judged apart, stays refused however they grow: it is dropped at once.
+    An edge that comes first at both its groups meets them as they are now, whatever happens elsewhere: it unites them. No
+    group has two such edges, so a round decides all of them by joins on groups, which hold no more nodes than there
+    are publishers; where order is not against it, edges get fewer by a share each round."""
+    accepted = edges.filter("NOT refused").withColumn("o", F.struct("tier", "metres", "pa", "pb", "a", "b"))
+    apart = edges.filter("refused").select("a", "b")
+    labels = accepted.select(F.col("a").alias("node"), F.col("pa").alias("owner")).union(accepted.select("b", "pb")).distinct().withColumn("grp", F.col("node"))
+    live, dropped, united = accepted, [], []
+    for _ in range(rounds):
+        of = written(labels.join(labels.groupBy("grp").agg(F.collect_set("owner").alias("owners")), "grp").select("node", "owner", "grp", "owners"), "labels")
+        left, right = (of.select(F.col("node").alias(n), F.col("grp").alias(f"g{n}"), F.col("owners").alias(f"o{n}")) for n in ("a", "b"))
+        pair = [F.least("ga", "gb").alias("low"), F.greatest("ga", "gb").alias("high")]
+        parted = apart.join(left, "a").join(right, "b").select(*pair).distinct().withColumn("parted", F.lit(True))
+        met = live.join(left, "a").join(right, "b").filter("ga <> gb").select("*", *pair).join(parted, ["low", "high"], "left")
+        met = written(met.withColumn("bad", F.arrays_overlap("oa", "ob") | F.coalesce("parted", F.lit(False))), "met")
+        dropped.append(met.filter("bad").select(*EDGE))
+        free = met.filter("NOT bad")
+        if free.isEmpty():
+            live = free
+            break
+        first = free.select(F.col("ga").alias("g"), "o").union(free.select("gb", "o")).groupBy("g").agg(F.min("o").alias("least"))
+        chosen = written(free.join(first.select(F.col("g").alias("ga"), F.col("least").alias("o")), ["ga", "o"]).join(first.select(F.col("g").alias("gb"), F.col("least").alias("o")), ["gb", "o"]), "chosen")
+        united.append(chosen.select(*EDGE))
+        labels = of.join(chosen.select(F.col("high").alias("grp"), F.col("low").alias("into")), "grp", "left").select("node", "owner", F.coalesce("into", "grp").alias("grp"))
+        live = written(free.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select(*EDGE, "o"), "live")
+    none = edges.limit(0).select(*EDGE)
+    return reduce(DataFrame.union, dropped, none), reduce(DataFrame.union, united, none), live.select(*EDGE)
+
+
+def groups(pairs: DataFrame, most_edges: int = 1_000_000, rounds: int = 60) -> DataFrame:
     """(kind, a, b) of all components of the accepted pairs: ('member', node, lead) and ('dropped', a, b). Pairs judged DISTINCT
-    never share a group.
+    never share a group. A pair stands there once.
 
     Edges of different components cannot interact, so each component is decided by itself, in the order (tier, metres,
-    publishers, positions). Its edges stream past in that order, sorted by Spark; a task holds a component's nodes, never its
-    edges. A group of zones never holds more members than there are publishers."""
+    publishers, positions). Components of more than most_edges edges are first decided side by side as far as that goes (see
+    settled), which breaks them up. Then a component's edges stream past in order, sorted by Spark; a task holds a component's
+    nodes, never its edges. A group of zones never holds more members than there are publishers."""
     rows = pairs.filter("accepted OR verdict = 'DISTINCT'")
     edges = written(rows.select(F.col("left_pos").alias("a"), F.col("right_pos").alias("b"), F.col("left_publisher").alias("pa"), F.col("right_publisher").alias("pb"), "tier", "metres", (~F.col("accepted")).alias("refused")), "pairs")
+    held = written(edges.join(components(edges.filter("NOT refused")).withColumnRenamed("node", "a"), "a").withColumn("turn", F.when(F.col("refused"), 0).otherwise(2)), "held")
+    large = held.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_edges)
+    gone = None
+    if not large.isEmpty():
+        many = written(held.join(large.select("component"), "component", "left_semi").select(*EDGE), "large")
+        gone, united, live = settled(many, rounds)
+        left = written(united.withColumn("turn", F.lit(1)).union(live.withColumn("turn", F.lit(2))), "left")
+        anew = components(left).withColumnRenamed("node", "a")
+        again = left.union(many.filter("refused").withColumn("turn", F.lit(0))).join(anew, "a")
+        held = held.join(large.select("component"), "component", "left_anti").select(*again.columns).union(again)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b", "pa", "pb", "refused")), strict=True))
@@ -255,9 +303,16 @@ def groups(pairs: DataFrame) -> DataFrame:
         if found:
             yield as_batch(found)
 
-    held = edges.join(components(edges.filter("NOT refused")).withColumnRenamed("node", "a"), "a")
-    order = ["component", F.desc("refused"), "tier", "metres", "pa", "pb", "a", "b"]
-    return held.repartition("component").sortWithinPartitions(*order).mapInArrow(run, "kind string, a long, b long")
+    order = ["component", "turn", "tier", "metres", "pa", "pb", "a", "b"]
+    out = held.repartition("component").sortWithinPartitions(*order).mapInArrow(run, "kind string, a long, b long")
+    return out if gone is None else out.union(alone_and_dropped(many, left, gone))
+
+
+def alone_and_dropped(many: DataFrame, left: DataFrame, gone: DataFrame) -> DataFrame:
+    """What the streams do not see of large components: edges dropped before, and nodes that lost all their edges."""
+    ends = many.filter("NOT refused").select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    alone = ends.join(left.select(F.explode(F.array("a", "b")).alias("a")), "a", "left_anti")
+    return alone.select(F.lit("member").alias("kind"), "a", F.col("a").alias("b")).union(gone.select(F.lit("dropped"), "a", "b"))
 
 
 def as_batch(found: list[tuple[str, int, int]]) -> pa.RecordBatch:

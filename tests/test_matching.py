@@ -160,3 +160,36 @@ def test_keys_are_unique_and_places_on_the_globe_at_large_scale(spark, tmp_path)
     assert len({r["pos"] for r in found}) == len(found) == len(lines)
     assert all(r["lat"] is None or (-60 <= r["lat"] <= 60 and -180 <= r["lon"] < 180) for r in found)
     assert [r["part_key"] for r in sorted(found, key=lambda r: r["pos"]) if r["order_key"] == 60_000_000] == [1_999_999, 2_000_000, 2_000_000]
+
+
+def as_pairs(spark, edges):
+    """Pairs of (a, b, publisher of a, publisher of b, tier, metres, verdict)."""
+    rows = [(a, b, p, q, tier, float(m), v != "DISTINCT", v) for a, b, p, q, tier, m, v in edges]
+    return spark.createDataFrame(rows, "left_pos long, right_pos long, left_publisher string, right_publisher string, tier string, metres double, accepted boolean, verdict string")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_components_are_decided_side_by_side_as_in_order(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = {}
+    for _ in range(700):
+        a, b = sorted(int(x) for x in rng.integers(0, 150, 2))
+        if a % 7 != b % 7:
+            edges[a, b] = (a, b, f"p{a % 7}", f"p{b % 7}", f"TIER_{rng.integers(1, 3)}", int(rng.integers(0, 20)), "DISTINCT" if rng.random() < 0.15 else "DUPLICATE")
+    rows = sorted(edges.values(), key=lambda e: (e[6] != "DISTINCT", *((e[4], e[5], e[2], e[3], e[0], e[1]) if e[6] != "DISTINCT" else ())))
+    want = set(matching.greedy((a, b, p, q, v == "DISTINCT") for a, b, p, q, _, _, v in rows))
+    pairs = as_pairs(spark, edges.values())
+    whole, few, all_rounds = (matching.groups(pairs, **how).collect() for how in ({}, {"most_edges": 10, "rounds": 2}, {"most_edges": 10}))
+    for found in (whole, few, all_rounds):
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_a_long_chain_breaks_into_small_groups(spark):
+    n = 3000
+    order = np.random.default_rng(1).permutation(n)
+    pairs = as_pairs(spark, [(k, k + 1, f"p{k % 3}", f"p{(k + 1) % 3}", "TIER_2", int(order[k]), "DUPLICATE") for k in range(n)])
+    edges = pairs.selectExpr("left_pos AS a", "right_pos AS b", "left_publisher AS pa", "right_publisher AS pb", "tier", "metres", "NOT accepted AS refused")
+    dropped, united, live = matching.settled(edges, 40)
+    assert live.count() == 0 and dropped.count() + united.count() == n
+    got = matching.components(united).groupBy("component").count().agg({"count": "max"}).first()[0]
+    assert got <= 3
