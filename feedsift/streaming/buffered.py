@@ -66,7 +66,8 @@ class Buffered(StatefulProcessor):
                 yield self.table(self.late(key[0], frame[behind].values.tolist()))
             for at, part in frame[~behind].groupby(end[~behind]):
                 bucket = (int(at),)
-                known = json.loads(self.waiting.getValue(bucket)[0]) if self.waiting.containsKey(bucket) else []
+                held = self.waiting.getValue(bucket)
+                known = json.loads(held[0]) if held else []
                 if not known:
                     self.handle.registerTimer(bucket[0])
                 self.waiting.updateValue(bucket, (json.dumps(known + [plain(r) for r in part.values.tolist()]),))
@@ -118,10 +119,10 @@ class TrustStates(Buffered):
         self.kept.update((state, latches, int(streak), -1 if since is None or since != since else int(since), int(last_us), int(last_id)))
 
     def known(self) -> tuple[Fold, tuple[int, int]]:
-        fold = Fold(self.rules)
-        if not self.kept.exists():
+        fold, held = Fold(self.rules), self.kept.get()
+        if not held:
             return fold, (-(2**63), -(2**63))
-        fold.state, latches, fold.streak, since, us, event = self.kept.get()
+        fold.state, latches, fold.streak, since, us, event = held
         fold.latches, fold.since = set(filter(None, latches.split(","))), None if since < 0 else since
         return fold, (us, event)
 
@@ -194,7 +195,8 @@ class Frozen(Buffered):
         self.polls = handle.getListState("polls", "us long, stamped boolean, advance int, stamp_pos long")
 
     def fold(self, key: str, rows: list[list]) -> Iterator[tuple]:
-        window = Window(self.kept.get(), self.polls.get()) if self.kept.exists() else Window()
+        held = self.kept.get()
+        window = Window(held, self.polls.get()) if held else Window()
         for k, (us, event, structure, stamp) in enumerate(rows):
             if k + 1 == len(rows) or rows[k + 1][0] != us:
                 yield (event, key, us, *window.step(us, structure, stamp), False)
