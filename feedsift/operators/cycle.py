@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
-from .history import by_time, carry_forward, earlier, poll_status, unchanged_streak
+from .history import carry_forward, over_days, poll_status, unchanged_streak
 
 
 def due(polls: DataFrame, now_us: int, cycle_seconds: int = 300, calm: int = 12) -> DataFrame:
@@ -22,8 +22,8 @@ def due(polls: DataFrame, now_us: int, cycle_seconds: int = 300, calm: int = 12)
 
 def body_snapshots(polls: DataFrame) -> DataFrame:
     """(publisher_key, stored_us, content_hash, writes): the body that stands, and how often a changed one was written."""
-    rows = poll_status(polls).filter(F.col("has_body") & F.col("content_hash").isNotNull()).withColumn("__before", F.lag("content_hash").over(by_time()))
-    changed = rows.filter(~F.col("content_hash").eqNullSafe(F.col("__before")))
+    rows = over_days(poll_status(polls).filter(F.col("has_body") & F.col("content_hash").isNotNull()), lasts={"stood": F.col("content_hash")})
+    changed = rows.filter(~F.col("content_hash").eqNullSafe(F.col("stood")))
     newest = F.max_by(F.struct("polled_us", "content_hash"), F.struct("polled_us", "event_id"))
     return changed.groupBy("publisher_key").agg(newest.alias("n"), F.count(F.lit(1)).alias("writes")).select("publisher_key", F.col("n.polled_us").alias("stored_us"), F.col("n.content_hash").alias("content_hash"), "writes")
 
@@ -42,8 +42,8 @@ def last_measured(polls: DataFrame) -> DataFrame:
 def validators(polls: DataFrame) -> DataFrame:
     """(publisher_key, behaviour, avoidable): whether a publisher answers 304 or serves the same body again, and how many whole
     bodies were the same as the one before."""
-    rows = poll_status(polls).withColumn("__before", F.last_value("content_hash", F.lit(True)).over(earlier()))
-    again = F.count_if(F.col("has_body") & F.coalesce(F.col("content_hash") == F.col("__before"), F.lit(False)))
+    rows = over_days(poll_status(polls), lasts={"known_hash": F.col("content_hash")})
+    again = F.count_if(F.col("has_body") & F.coalesce(F.col("content_hash") == F.col("known_hash"), F.lit(False)))
     honours = F.count_if(F.col("not_modified") & ~F.col("failed")) > 0
     return rows.groupBy("publisher_key").agg(F.when(honours, "HONOURS").when(again > 0, "IGNORES").otherwise("INCONCLUSIVE").alias("behaviour"), again.alias("avoidable"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import by_time
+from .history import by_time, numbered
 
 
 def packets(changes: DataFrame) -> DataFrame:
@@ -23,10 +23,10 @@ def windows(found: DataFrame, polls: DataFrame, embedded: int = 50) -> DataFrame
     that fired rested on (depth).
 
     Polls are numbered per publisher, and a packet asks for its numbers by equi-join: no range join, whatever the history."""
-    numbered = polls.select("publisher_key", "polled_us", "event_id", F.row_number().over(by_time()).alias("n"))
-    opened = found.join(numbered.select("event_id", "n"), "event_id")
+    places = numbered(polls.select("publisher_key", "polled_us", "event_id"))
+    opened = found.join(places.select("event_id", "n"), "event_id")
     asked = opened.select("packet_id", "publisher_key", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("depth") + 1), F.col("n"))).alias("n"))
-    rows = asked.join(numbered, ["publisher_key", "n"]).groupBy("packet_id")
+    rows = asked.join(places, ["publisher_key", "n"]).groupBy("packet_id")
     return rows.agg(F.min("polled_us").alias("window_start"), F.max("polled_us").alias("window_end"), F.count(F.lit(1)).alias("observations"), (F.count(F.lit(1)) > embedded).alias("truncated"))
 
 

@@ -1,25 +1,35 @@
-"""Ordered logic over a publisher's polls. All windows share one exchange and sort by (publisher_key; polled_us, event_id)."""
+"""Ordered logic over a publisher's polls, by (polled_us, event_id). A publisher's history may be a third of all polls: it is cut
+into days, worked on side by side (scan.running), so that no window spans more than two of its days. Polls without a time come
+first and are a chunk of their own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_US, day_of, has_body, poll_failed, poll_unreached
+from .scan import running
 
 ORDER = ["polled_us", "event_id"]
+#: The chunk of polls without a time, below all days.
+UNDATED = -(1 << 40)
 
 
-def by_time(*more: str) -> WindowSpec:
-    return Window.partitionBy("publisher_key", *more).orderBy(*ORDER)
+def by_time() -> WindowSpec:
+    return Window.partitionBy("publisher_key").orderBy(*ORDER)
 
 
-def so_far(*more: str) -> WindowSpec:
-    return by_time(*more).rowsBetween(Window.unboundedPreceding, 0)
+def day_number() -> Column:
+    return F.coalesce(F.floor(F.col("polled_us") / DAY_US), F.lit(UNDATED)).cast("long")
 
 
-def earlier() -> WindowSpec:
-    return by_time().rowsBetween(Window.unboundedPreceding, -1)
+def numbered(polls: DataFrame) -> DataFrame:
+    """Adds n: the poll's number in its publisher's history, from 1."""
+    return over_days(polls, since={"n": F.lit(False)})
+
+
+def over_days(polls: DataFrame, **found: dict[str, Column]) -> DataFrame:
+    return running(polls, ["publisher_key"], day_number(), ORDER, **found)
 
 
 def poll_status(polls: DataFrame) -> DataFrame:
@@ -28,17 +38,17 @@ def poll_status(polls: DataFrame) -> DataFrame:
 
 def consecutive_failures(polls: DataFrame) -> DataFrame:
     """Adds failures: the run of failed polls ending here; a poll that never left this side stops it and has null itself."""
-    rows = poll_status(polls).withColumn("__counts", F.col("failed") & ~F.col("unreached"))
-    rows = rows.withColumn("__island", F.sum(F.when(F.col("__counts"), 0).otherwise(1)).over(so_far()))
-    return rows.withColumn("failures", F.when(~F.col("unreached"), F.sum(F.col("__counts").cast("long")).over(so_far("__island")))).drop("__counts", "__island")
+    rows = poll_status(polls)
+    rows = over_days(rows, since={"failures": ~F.col("failed") | F.col("unreached")})
+    return rows.withColumn("failures", F.when(~F.col("unreached"), F.col("failures")))
 
 
 def unchanged_streak(polls: DataFrame) -> DataFrame:
     """Adds unchanged: how many polls back, this one included, had this content hash without a failure between; 0 if failed."""
-    rows = poll_status(polls).withColumn("__before", F.lag("content_hash").over(by_time()))
-    breaks = F.when(F.col("failed") | F.col("content_hash").isNull() | ~F.coalesce(F.col("content_hash") == F.col("__before"), F.lit(False)), 1).otherwise(0)
-    rows = rows.withColumn("__run", F.sum(breaks).over(so_far()))
-    return rows.withColumn("unchanged", F.when(F.col("failed") | F.col("content_hash").isNull(), 0).otherwise(F.row_number().over(by_time("__run"))).cast("long")).drop("__before", "__run")
+    rows = over_days(poll_status(polls), lasts={"before": F.struct("content_hash")})
+    lost = F.col("failed") | F.col("content_hash").isNull()
+    rows = over_days(rows, since={"unchanged": lost | ~F.coalesce(F.col("content_hash") == F.col("before.content_hash"), F.lit(False))})
+    return rows.withColumn("unchanged", F.when(lost, 0).otherwise(F.col("unchanged") + 1).cast("long")).drop("before")
 
 
 def latest_polls(polls: DataFrame, n: int) -> DataFrame:
@@ -63,20 +73,20 @@ def carry_forward(polls: DataFrame) -> DataFrame:
     """A not-modified poll takes the body's fields from the latest earlier poll with a content hash; schema errors never."""
     fields = ["update_us", "active_count", "active_with_past_end_date", "active_undated", "content_hash", "structural_hash"]
     body = F.struct(*fields)
-    rows = poll_status(polls).withColumn("__last", F.last_value(F.when(F.col("has_body") & F.col("content_hash").isNotNull(), body), F.lit(True)).over(earlier()))
-    carried = F.col("not_modified") & ~F.col("failed") & F.col("__last").isNotNull()
+    rows = over_days(poll_status(polls), lasts={"last_body": F.when(F.col("has_body") & F.col("content_hash").isNotNull(), body)})
+    carried = F.col("not_modified") & ~F.col("failed") & F.col("last_body").isNotNull()
     rows = rows.withColumn("carried_forward", carried)
     for f in fields:
-        rows = rows.withColumn(f, F.when(F.col("carried_forward"), F.col(f"__last.{f}")).otherwise(F.col(f)))
+        rows = rows.withColumn(f, F.when(F.col("carried_forward"), F.col(f"last_body.{f}")).otherwise(F.col(f)))
     age = (F.col("polled_us") - F.col("update_us")) / 1_000_000
-    return rows.withColumn("update_age_seconds", F.when(F.col("carried_forward"), age).otherwise(F.col("update_age_seconds"))).drop("__last")
+    return rows.withColumn("update_age_seconds", F.when(F.col("carried_forward"), age).otherwise(F.col("update_age_seconds"))).drop("last_body")
 
 
 def hash_changes(polls: DataFrame) -> DataFrame:
     """(publisher_key, day, hash_changes): content hashes unlike the last one known, carried over midnight; the first ever
     is no change."""
-    rows = polls.withColumn("__before", F.last_value("content_hash", F.lit(True)).over(earlier()))
-    changed = F.col("content_hash").isNotNull() & F.col("__before").isNotNull() & (F.col("content_hash") != F.col("__before"))
+    rows = over_days(polls, lasts={"known_hash": F.col("content_hash")})
+    changed = F.col("content_hash").isNotNull() & F.col("known_hash").isNotNull() & (F.col("content_hash") != F.col("known_hash"))
     return rows.groupBy("publisher_key", day_of("polled_us").alias("day")).agg(F.count_if(changed).alias("hash_changes"))
 
 
@@ -86,14 +96,19 @@ def frozen(polls: DataFrame) -> DataFrame:
 
     Stamps are compared with the last known one before them; the poll before the window is its baseline, so a stamp that is
     the first known in the window counts only if the known one before it is that baseline."""
-    usable = dedupe_polls(poll_status(polls).filter(~F.col("failed") & F.col("structural_hash").isNotNull() & F.col("polled_us").isNotNull()))
-    rows = usable.withColumn("__pos", F.row_number().over(by_time())).withColumn("__before", F.lag("structural_hash").over(by_time()))
-    rows = rows.withColumn("__run", F.sum(F.when(F.col("structural_hash") == F.col("__before"), 0).otherwise(1)).over(so_far())).withColumn("oldest", F.min("polled_us").over(so_far()))
-    known = F.struct(F.col("update_us").alias("stamp"), F.col("__pos").alias("pos"))
-    rows = rows.withColumn("__last", F.last_value(F.when(F.col("update_us").isNotNull(), known), F.lit(True)).over(earlier()))
-    rows = rows.withColumn("__advance", F.coalesce(F.col("update_us") > F.col("__last.stamp"), F.lit(False)).cast("long"))
-    day = Window.partitionBy("publisher_key", "__run").orderBy("polled_us").rangeBetween(-DAY_US, 0)
-    first = F.first_value(F.when(F.col("update_us").isNotNull(), F.struct("__advance", F.col("__last.pos").alias("pos"))), F.lit(True)).over(day)
-    rows = rows.withColumn("run_start", F.min("polled_us").over(so_far("__run"))).withColumn("n", F.count(F.lit(1)).over(day)).withColumn("__sum", F.sum("__advance").over(day)).withColumn("__first", first)
-    lost = F.when(F.col("__first.pos") < F.col("__pos") - F.col("n"), F.col("__first.__advance")).otherwise(0)
-    return rows.select("event_id", "oldest", "run_start", "n", (F.col("__sum") - lost).alias("advances"))
+    usable = poll_status(polls).filter(~F.col("failed") & F.col("structural_hash").isNotNull() & F.col("polled_us").isNotNull())
+    best = F.max_by(F.struct("structural_hash", "update_us"), "event_id").alias("best")
+    rows = usable.groupBy("publisher_key", "polled_us").agg(F.max("event_id").alias("event_id"), best).select("publisher_key", "polled_us", "event_id", "best.*")
+    at = F.col("polled_us").alias("at")
+    known = F.when(F.col("update_us").isNotNull(), F.struct(F.col("update_us").alias("stamp"), at))
+    rows = over_days(rows, lasts={"before": F.struct("structural_hash", at), "known": known}, least={"oldest": F.col("polled_us")})
+    rows = rows.withColumn("__begins", F.when(F.coalesce(F.col("structural_hash") == F.col("before.structural_hash"), F.lit(False)), None).otherwise(F.col("polled_us")))
+    rows = over_days(rows, lasts={"run_start": F.col("__begins")}).withColumn("run_start", F.coalesce("__begins", "run_start"))
+    rows = rows.withColumn("__advance", F.coalesce(F.col("update_us") > F.col("known.stamp"), F.lit(False)).cast("long"))
+    # the last 24 hours of a run lie in a poll's day and the one before: a poll is looked at in its own day and lent to the next
+    rows = rows.withColumn("__day", F.explode(F.array(day_number(), day_number() + 1)))
+    day = Window.partitionBy("publisher_key", "__day", "run_start").orderBy("polled_us").rangeBetween(-DAY_US, 0)
+    first = F.first_value(F.when(F.col("update_us").isNotNull(), F.struct("__advance", F.col("known.at").alias("at"))), F.lit(True)).over(day)
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(day), "__sum": F.sum("__advance").over(day), "__first": first, "__base": F.first_value("before.at").over(day)})
+    lost = F.when(F.col("__first.at") < F.col("__base"), F.col("__first.__advance")).otherwise(0)
+    return rows.filter(F.col("__day") == day_number()).select("event_id", "oldest", "run_start", "n", (F.col("__sum") - lost).alias("advances"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import has_body
-from .history import earlier, frozen
+from .history import frozen, over_days
 
 #: Versions with a schema, the short ways to write two of them, rules that need a body, states in order of concern.
 KNOWN_VERSIONS = ("3.0", "3.1", "4.0", "4.1", "4.2")
@@ -79,10 +79,10 @@ def violations(rows: DataFrame, keys: Sequence[str], constraints: Sequence[tuple
 def last_validators(polls: DataFrame) -> DataFrame:
     """(event_id, conditional, etag, last_modified): what a poll may send. It is conditional once an earlier poll of the publisher
     measured a body; both validators come from one poll, the newest earlier one that carried either."""
-    body = F.max(F.col("content_hash").isNotNull() & has_body()).over(earlier())
+    body = F.when(F.col("content_hash").isNotNull() & has_body(), F.lit(True))
     carried = F.when((F.coalesce("etag", F.lit("")) != "") | (F.coalesce("last_modified", F.lit("")) != ""), F.struct("etag", "last_modified"))
-    rows = polls.withColumn("__body", F.coalesce(body, F.lit(False))).withColumn("__v", F.last_value(carried, F.lit(True)).over(earlier()))
-    return rows.select("event_id", F.col("__body").alias("conditional"), *(F.when(F.col("__body"), F.col(f"__v.{c}")).alias(c) for c in ("etag", "last_modified")))
+    rows = over_days(polls, lasts={"measured": body, "sent": carried}).withColumn("conditional", F.coalesce("measured", F.lit(False)))
+    return rows.select("event_id", "conditional", *(F.when(F.col("conditional"), F.col(f"sent.{c}")).alias(c) for c in ("etag", "last_modified")))
 
 
 def without_body(publishers: DataFrame, fed: DataFrame, polls: DataFrame) -> DataFrame:

@@ -407,7 +407,7 @@ def top_decided_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_extend_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets with the three polls after their opening; a closed one refuses them."""
     packets = written(boards.win_packet_episodes(spark, sf_dir), "packets")
-    numbered = polls(spark, sf_dir).select("publisher_key", "event_id", F.row_number().over(history.by_time()).alias("n"))
+    numbered = history.numbered(polls(spark, sf_dir).select("publisher_key", "polled_us", "event_id")).select("publisher_key", "event_id", "n")
     opened = packets.select("packet_id", "event_id").join(numbered, "event_id").select("packet_id", "publisher_key", F.explode(F.sequence(F.col("n") + 1, F.col("n") + 3)).alias("n"))
     later = opened.join(numbered, ["publisher_key", "n"]).select("packet_id", "event_id")
     held = packets.select("packet_id", F.lit("APPROVED").alias("approval_state"), "closed_us", F.array("event_id").alias("observation_ids"))
