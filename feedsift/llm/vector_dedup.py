@@ -2,8 +2,9 @@
 
 Each direction is rotated at random once and stored as the packed signs of its coordinates with a correction factor, from
 which the inner product with any other vector can be estimated without bias; the error has a known scale. Sign bits of
-further rotations key the candidate buckets. In a bucket, stored codes that differ in too many bits are left; of the other
-pairs, those whose upper confidence bound reaches the threshold are computed again, exactly, on the original vectors."""
+further rotations key the candidate buckets. Through the buckets go the codes alone. Only rows whose code is close enough to
+another's in a block of a bucket meet their vectors and factors; of such pairs, those whose upper confidence bound reaches
+the threshold are computed again, exactly, on the original vectors. Counts and a spanning forest leave a block, never its pairs."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_groups
+from .common import joined, stored, whole_groups
 from .graph import components, forest, pair_blocks
 from .vectors import dimension, matrix, rotations, usable
 
@@ -59,11 +60,14 @@ class Codes:
         found = np.einsum("ij,ij->i", signs, other @ self.first.T) / factor
         return found, self.sigmas * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / np.sqrt(max(1, self.d - 1))
 
+    def close(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """(left, right): which codes do not differ in too many bits."""
+        return sum(np.bitwise_count(left[:, None, w] ^ right[None, :, w]).astype(np.int16) for w in range(left.shape[1])) <= self.apart
+
     def linked(self, x: np.ndarray, y: np.ndarray, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Positions (i, j) of all pairs of rows of x and y whose cosine is at least the threshold; left and right: their codes
         and factors. Codes that differ in too many bits are left, then pairs whose bound stays below; the rest is computed."""
-        apart = sum(np.bitwise_count(left[0][:, None, w] ^ right[0][None, :, w]).astype(np.int16) for w in range(left[0].shape[1]))
-        i, j = np.nonzero(apart <= self.apart)
+        i, j = np.nonzero(self.close(left[0], right[0]))
         u, v, hits = self.unit(x), self.unit(y), []
         for p, q in zip(np.array_split(i, max(1, len(i) // PAIRS)), np.array_split(j, max(1, len(j) // PAIRS)), strict=True):
             found, above = self.estimate(left[0][p], left[1][p], v[q])
@@ -104,12 +108,42 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sigmas: float = 6.0,
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())
             yield pa.RecordBatch.from_arrays([batch.column("__rep"), batch.column("__lab"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), lists], names=["__rep", "__lab", "__code", "__factor", "__keys"])
 
-    # labels as hashes: the block keys are numbers; two labels of one hash would need 10^9 labels
-    coded = stored(nodes.select("__rep", F.xxhash64("__label").alias("__lab"), "__v").mapInArrow(encode, "__rep long, __lab long, __code binary, __factor double, __keys array<long>"), "codes")
-    keyed = coded.select("__rep", "__lab", F.posexplode("__keys").alias("__table", "__key"))
-    held = nodes.select("__rep", "__size", "__v").join(coded.select("__rep", "__code", "__factor"), "__rep")
-    blocks = pair_blocks(keyed, ["__lab", "__table", "__key"], "__rep", BLOCK).join(held, "__rep")
+    # a label's number is the least __rep of its nodes: block keys are numbers, and unlike labels never share one
+    labels = stored(nodes.groupBy("__label").agg(F.min("__rep").alias("__lab"), F.count(F.lit(1)).alias("__nodes")), "labels")
+    total = labels.agg(F.sum("__nodes")).first()[0] or 0
+    named = joined(nodes.select("__label", "__rep", "__v"), labels, ["__label"], F.col("__nodes") > total * 0.001)
+    coded = stored(named.select("__rep", "__lab", "__v").mapInArrow(encode, "__rep long, __lab long, __code binary, __factor double, __keys array<long>"), "codes")
+    keyed = coded.select("__rep", "__lab", "__code", F.posexplode("__keys").alias("__table", "__key"))
     keys = ["__lab", "__table", "__key", "__low", "__high"]
+    coded_blocks = pair_blocks(keyed, keys[:3], "__rep", BLOCK).select(*keys, "__chunk", "__rep", "__code")
+
+    def partnered(part: pa.Table) -> np.ndarray:
+        """Which rows of a block have a close partner in it."""
+        rep, chunk = part.column("__rep").to_numpy(), part.column("__chunk").to_numpy()
+        low, high = (part.column(c)[0].as_py() for c in ("__low", "__high"))
+        code = np.frombuffer(b"".join(part.column("__code").to_pylist()), dtype="<u8").reshape(len(rep), -1)
+        a, b = (np.flatnonzero(chunk == low), np.flatnonzero(chunk == high))
+        near = codes.close(code[a], code[b]) & (rep[a][:, None] != rep[b][None, :])
+        out = np.zeros(len(rep), dtype=bool)
+        out[a[near.any(axis=1)]] = out[b[near.any(axis=0)]] = True
+        return out
+
+    def in_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for group in whole_groups(batches, keys, BLOCK):
+            starts = [0, *(np.flatnonzero(np.any([np.diff(group.column(c).to_numpy()) != 0 for c in keys], axis=0)) + 1).tolist(), group.num_rows]
+            for at, end in zip(starts[:-1], starts[1:], strict=True):
+                yield group.slice(at, end - at)
+
+    def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_blocks(batches):
+            kept = partnered(part)
+            if kept.any():
+                yield from part.filter(pa.array(kept)).select([*keys, "__chunk", "__rep"]).combine_chunks().to_batches()
+
+    schema = "__lab long, __table int, __key long, __low int, __high int, __chunk int, __rep long"
+    sifted = coded_blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(sift, schema)
+    held = nodes.select("__rep", "__size", "__v").join(coded.select("__rep", "__code", "__factor"), "__rep")
+    blocks = sifted.join(held, "__rep")
 
     def block(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         rep, size, chunk, factor = (part.column(c).to_numpy() for c in ("__rep", "__size", "__chunk", "__factor"))
@@ -132,11 +166,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sigmas: float = 6.0,
         yield rep[some], rep[some], n[some].astype(np.int64)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, keys, BLOCK):
-            starts = [0, *(np.flatnonzero(np.any([np.diff(group.column(c).to_numpy()) != 0 for c in keys], axis=0)) + 1).tolist(), group.num_rows]
-            for at, end in zip(starts[:-1], starts[1:], strict=True):
-                for a, b, n in block(group.slice(at, end - at)):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+        for part in in_blocks(batches):
+            for a, b, n in block(part):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
 
     found = stored(blocks.select(*keys, "__chunk", "__rep", "__size", "__v", "__code", "__factor").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, n long"), "links")
     counts = found.groupBy(F.col("a").alias("__rep")).agg(F.sum("n").alias("__n"))
@@ -144,6 +176,6 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sigmas: float = 6.0,
     known = nodes.join(counts, "__rep", "left").join(classes, "__rep", "left").withColumn("component", F.coalesce("component", "__rep"))
     least = known.groupBy("component").agg(F.min("__first").alias("__least"))
     known = stored(known.join(least, "component").select("__label", "__v", (F.col("__size") - 1 + F.coalesce("__n", F.lit(0))).alias("n_links"), F.col("__least").alias("component")), "known")
-    joined = base.join(known, ["__label", "__v"], "left")
+    judged = base.join(known, ["__label", "__v"], "left")
     alone = F.col(id_col).isNull() | F.col("n_links").isNull()
-    return joined.select(id_col, F.when(alone, 0).otherwise(F.col("n_links")).alias("n_links"), F.when(alone, F.col(id_col)).otherwise(F.col("component")).cast(rows.schema[id_col].dataType).alias("component_id"))
+    return judged.select(id_col, F.when(alone, 0).otherwise(F.col("n_links")).alias("n_links"), F.when(alone, F.col(id_col)).otherwise(F.col("component")).cast(rows.schema[id_col].dataType).alias("component_id"))
