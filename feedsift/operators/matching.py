@@ -373,3 +373,42 @@ def assign_identity(members: DataFrame, held: DataFrame, at: int, mint: Callable
 def new_entries(members: DataFrame, assigned: DataFrame, held: DataFrame) -> DataFrame:
     """(source_key, canonical_id) of the map that this cycle added or pointed elsewhere."""
     return members.join(assigned, "group_key").select("source_key", "canonical_id").join(held.select("source_key", "canonical_id"), ["source_key", "canonical_id"], "left_anti")
+
+
+def densified(zones: DataFrame) -> DataFrame:
+    """The zones with samples: points (lon, lat) every 25 m along the line and its end once; a point is its own sample, and
+    without vertices there is none."""
+
+    @F.arrow_udf("array<array<double>>")
+    def walk(vertices: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else geometry.samples(np.array(v, dtype=np.float64)).tolist() if v else [] for v in vertices.to_pylist()], pa.list_(pa.list_(pa.float64())))
+
+    return zones.withColumn("samples", walk("vertices"))
+
+
+def covered(pairs: DataFrame, zones: DataFrame, reach: float) -> DataFrame:
+    """The pairs (left_pos, right_pos) with left_share and right_share: how much of either side lies within reach of the other.
+    Keys and vertices alone are joined."""
+    sides = (zones.filter(F.size("vertices") > 0).select(F.col("pos").alias(f"{side}_pos"), F.col("vertices").alias(f"{side}_vertices")) for side in ("left", "right"))
+
+    @F.arrow_udf("struct<left_share: double, right_share: double>")
+    def both(left: pa.Array, right: pa.Array) -> pa.Array:
+        lines = [(np.array(a, dtype=np.float64), np.array(b, dtype=np.float64)) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)]
+        shares = [pa.array([geometry.coverage(*x, reach) for x in way], pa.float64()) for way in (lines, [(b, a) for a, b in lines])]
+        return pa.StructArray.from_arrays(shares, names=["left_share", "right_share"])
+
+    rows = pairs
+    for side, key in zip(sides, ("left_pos", "right_pos"), strict=True):
+        rows = rows.join(side, key)
+    return rows.withColumn("__shares", both("left_vertices", "right_vertices")).withColumns({c: F.col(f"__shares.{c}") for c in ("left_share", "right_share")}).drop("__shares", "left_vertices", "right_vertices")
+
+
+def pair_sort_key() -> Column:
+    """The total order of pairs: tier, then distance (none known is farthest), then publishers, then places."""
+    distance = F.coalesce("metres", F.lit(float("inf"))).alias("metres")
+    return F.struct("tier", distance, "left_publisher", "right_publisher", "left_pos", "right_pos")
+
+
+def first_pairs(pairs: DataFrame) -> DataFrame:
+    """Of each left zone its first pair in the order of pairs."""
+    return pairs.groupBy("left_pos").agg(F.min(pair_sort_key()).alias("__first")).select("left_pos", "__first.right_publisher", "__first.right_pos", "__first.tier")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns, text
-from ..operators import bodies, evidence, history, matching, republish, rules, screening
+from ..operators import bodies, evidence, history, matching, reconcile, republish, rules, screening
 from ..sources import adapters
 from ..sources.storage import new_folder, written
 from ..streaming import trust
@@ -238,6 +238,30 @@ def fn_symmetric_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.judged(spark, sf_dir).filter("coverage IS NOT NULL").select("left_pos", "right_pos", F.round(F.col("coverage") * 1e6).cast("long").alias("coverage_ppm"))
 
 
+@query(f"WITH {MATCHES} SELECT pos, CASE WHEN long_m > 0 THEN ceil(long_m / 25)::BIGINT + 1 ELSE 1 END AS samples FROM sides")
+def fn_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many samples each zone's line has."""
+    zones = merge.kept(spark, sf_dir).filter(F.size("vertices") > 0).select("pos", "vertices")
+    return matching.densified(zones).select("pos", F.size("samples").cast("long").alias("samples"))
+
+
+@query(f"""WITH {MATCHES} SELECT {PAIR}, CAST(round({merge.share("a", "b")} * 1e6::DOUBLE) AS BIGINT) AS left_ppm, CAST(round({merge.share("b", "a")} * 1e6::DOUBLE) AS BIGINT) AS right_ppm
+    FROM judged JOIN sides a ON a.pos = left_pos JOIN sides b ON b.pos = right_pos WHERE coverage IS NOT NULL""")
+def fn_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each way's coverage of the pairs within reach that have a line."""
+    zones = written(merge.kept(spark, sf_dir), "zones")
+    pairs = matching.matches(matching.candidates(zones), zones).filter("coverage IS NOT NULL").select("left_pos", "right_pos")
+    found = matching.covered(pairs, zones.select("pos", "vertices"), reconcile.REACH)
+    return found.select("left_pos", "right_pos", *(F.round(F.col(f"{side}_share") * 1e6).cast("long").alias(f"{side}_ppm") for side in ("left", "right")))
+
+
+@query(f"WITH {MATCHES} SELECT left_pos, x[1] AS right_publisher, x[2] AS right_pos, x[3] AS tier FROM (SELECT left_pos, arg_min((right_publisher, right_pos, tier), (tier, CAST(round(metres * 100) AS BIGINT), left_publisher, right_publisher, left_pos, right_pos)) AS x FROM judged WHERE matched GROUP BY left_pos)")
+def fn_pair_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each left zone's first matched pair in the order of pairs, distances in whole centimetres."""
+    pairs = merge.judged(spark, sf_dir).filter("matched").withColumn("metres", F.round(F.col("metres") * 100).cast("long") / 100)
+    return matching.first_pairs(pairs)
+
+
 @query(f"WITH {MATCHES} SELECT {PAIR}, tier FROM judged WHERE matched")
 def fn_classify_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.judged(spark, sf_dir).filter("matched").select("left_pos", "right_pos", "tier")
