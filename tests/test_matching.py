@@ -61,6 +61,14 @@ def test_candidates_miss_no_pair_within_reach(spark):
     assert got == want and len(rows) == len(got) > 20
 
 
+def test_line_corroboration_counts_every_matched_pair(spark):
+    sf = "/root/testdata/sf0.001"
+    matched = [r for r in merge.join_spatial_match(spark, sf).collect() if r["matched"]]
+    want = {t: sum(r["tier"] == t for r in matched) for t in ("TIER_1", "TIER_2")}
+    assert {r["tier"]: r["pairs"] for r in merge.agg_line_corroboration(spark, sf).collect()} == {t: n for t, n in want.items() if n}
+    assert {r["coverage_ppm"] is None for r in matched} == {False, True}  # lines, and pairs of points
+
+
 def test_groups_hold_one_zone_of_a_publisher_and_keep_the_better_edge():
     edges = [(1, 2, "a", "b", False), (2, 3, "b", "a", False), (3, 4, "a", "c", False), (2, 4, "b", "c", False)]
     found = list(matching.greedy(edges))
