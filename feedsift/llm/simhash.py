@@ -84,6 +84,27 @@ def over(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return greater
 
 
+def plus(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum's bits and the carries of three numbers of one bit in each lane."""
+    differ = a ^ b
+    return differ ^ c, a & b | differ & c
+
+
+def count_planes(state: list[np.ndarray], x: list[np.ndarray]) -> None:
+    """Adds STRIDE planes to the counters, of which the last holds what ran over: carries are saved until planes of their weight are
+    added."""
+    one, a = plus(x[0], x[1], x[2])
+    two, b = plus(x[3], x[4], x[5])
+    three, c = plus(one, two, x[6])
+    state[0], d = plus(state[0], three, x[7])
+    four, e = plus(a, b, c)
+    state[1], f = plus(state[1], four, d)
+    state[2], carry = plus(state[2], e, f)
+    for k in range(3, len(state) - 1):
+        state[k], carry = state[k] ^ carry, state[k] & carry
+    state[-1] |= carry
+
+
 def close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of all fingerprints left[i], right[j] that differ in at most radius bits. A fingerprint is a number or
     a row of numbers of 64 bits."""
@@ -93,19 +114,16 @@ def close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray,
     hits: list[tuple[np.ndarray, np.ndarray]] = []
     for base in range(0, len(left), 256):
         own = left[base : base + 256].astype("<u8")
+        asks = np.unpackbits(own.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").T * ~np.uint64(0)  # all ones where the query's bit is 1
         query, word = np.divmod(np.arange(len(own) * sliced.shape[1]), sliced.shape[1])
-        state = [np.zeros(len(query), dtype=np.uint64) for _ in range(size + 1)]  # counter bits, and what ran over them
-        for bit in range(len(sliced)):
-            ask = (~((own[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)) - np.uint64(1)))[query]  # all ones where the query's bit is 1
-            carry = sliced[bit][word] ^ ask
-            for k in range(size):
-                state[k], carry = state[k] ^ carry, state[k] & carry
-            state[size] |= carry
-            if bit % STRIDE == STRIDE - 1:
+        state, whole = [np.zeros(len(query), dtype=np.uint64) for _ in range(size + 1)], True  # counter bits, and what ran over them
+        for bit in range(0, len(sliced), STRIDE):
+            count_planes(state, [(sliced[k] ^ asks[k][:, None]).ravel() if whole else sliced[k][word] ^ asks[k][query] for k in range(bit, bit + STRIDE)])
+            if bit + STRIDE > radius:
                 dead = state[size] | over(state[:size], radius)
                 alive = dead != ~np.uint64(0)
-                if bit == len(sliced) - 1 or alive.sum() < 0.7 * len(alive):
-                    query, word, state = query[alive], word[alive], [s[alive] for s in state]
+                if bit + STRIDE == len(sliced) or alive.sum() < 0.7 * len(alive):
+                    query, word, state, whole = query[alive], word[alive], [s[alive] for s in state], False
                     if not len(query):
                         break
         if len(query):

@@ -130,3 +130,24 @@ def test_a_leader_of_many_pairs_is_dealt_to_many_tasks(spark, monkeypatch):
     got = {(r["a"], r["b"]) for r in shingles.judged(pairs, frame).collect()}
     sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
     assert got == {(r["a"], r["b"]) for r in pairs.collect() if 5 * len(sets[r["a"]] & sets[r["b"]]) >= 4 * len(sets[r["a"]] | sets[r["b"]])}
+
+
+def test_table_keys_are_bits_of_the_simhash():
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, (301, 2), dtype=np.uint64)
+    bits = 5
+    mixed = shingles.mixers(shingles.COMPARED + shingles.tables(bits) * bits)
+    of_one = np.array([np.unpackbits(shingles.fingerprint(hashes[k : k + 1], mixed).view(np.uint8), bitorder="little") for k in range(301)])
+    majority = of_one.sum(axis=0) > 150
+    want = [(t << bits) + sum(int(majority[shingles.COMPARED + t * bits + k]) << k for k in range(bits)) for t in range(shingles.tables(bits))]
+    assert shingles.table_keys(shingles.fingerprint(hashes, mixed), bits).tolist() == want
+
+
+@pytest.mark.parametrize("bits", [6, 9, 12])
+def test_pairs_just_at_the_similarity_share_a_key(bits):
+    rng = np.random.default_rng(bits)
+    mixed = shingles.mixers(shingles.COMPARED + shingles.tables(bits) * bits)
+    for _ in range(100):  # 120 of 150 shingles in common: 0.8
+        h = rng.integers(0, 1 << 63, (150, 2), dtype=np.uint64)
+        one, two = (shingles.fingerprint(x, mixed) for x in (h[:135], h[15:]))
+        assert (shingles.table_keys(one, bits) == shingles.table_keys(two, bits)).any()
+        assert np.bitwise_count((one ^ two)[: len(shingles.MARKS)].view(np.uint64)).sum() <= shingles.RADIUS
