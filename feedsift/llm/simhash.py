@@ -186,10 +186,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     prints = stored(fingerprints(docs, width, id_col, text_col), "fingerprints")
     nodes = stored(prints.groupBy("fingerprint").agg(F.min(id_col).alias("first")), "nodes")
     classes = components(links(nodes, radius))
-    named = nodes.join(classes.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    named = nodes.join(classes.withColumnRenamed("node", "fingerprint").hint("merge"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = stored(named.join(first, "component").select("fingerprint", "component_id"), "classes")
-    return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+    named = stored(named.join(first.hint("merge"), "component").select("fingerprint", "component_id"), "classes")
+    return prints.join(named.hint("merge"), "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
 def hexadecimal(fingerprint: str) -> Column:

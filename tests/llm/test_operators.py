@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from feedsift.llm import bpe, language, line_dedup, lm_scoring, nearest, packing, queries, simhash, token_counts, url_filter, vector_dedup
+from feedsift.llm import bpe, graph, language, line_dedup, lm_scoring, nearest, packing, queries, simhash, token_counts, url_filter, vector_dedup
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens long, score double, component_id long, kept string, ids string, host string"
@@ -124,6 +124,12 @@ def test_simhash(docs, empty, rows):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_counts_of_buckets_are_not_broadcast(spark):
+    rows = spark.range(1000).select(F.col("id").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(34))).alias("key"))
+    plan = graph.pair_blocks(rows, ["key"], "item", 64)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_hot_buckets_are_cut_and_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = np.random.default_rng(1)
